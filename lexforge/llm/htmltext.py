@@ -2,7 +2,7 @@
 
 The standard library's parser streams its events; they are folded into lines, one for each block of text, with the
 characters and tags of each. The text-to-tag ratios of the lines are smoothed with a Gaussian kernel, and two
-clusters are split by a threshold between their means. The regions (articles, sections, table cells, other containers)
+clusters are split by a threshold between their means. The regions (articles, sections, other containers)
 that hold lines of the upper cluster are the content, each with all of its lines, so that a short paragraph between
 long ones stays. What the page's own markup sets apart (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) takes part in the ratios but is never content; where a region that the page marks as its article is among
@@ -31,7 +31,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _RAW = frozenset("script style noscript template svg math head title iframe object canvas audio video".split())
 _APART = frozenset("nav header footer aside form button select textarea dialog menu label fieldset".split())
 _MAIN = frozenset("article main".split())
-_REGIONS = _MAIN | _APART | frozenset("body section div td th li dd center".split())
+_REGIONS = _MAIN | _APART | frozenset("body section div center".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of a class or id that set a block apart; compared with whole words of the attribute.
 _WORDS = frozenset(
@@ -41,7 +41,6 @@ _WORDS = frozenset(
 )
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_SPACE = re.compile(r"\s+")
 
 
 def set_apart(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -76,9 +75,12 @@ class Blocks(HTMLParser):
         self.raw = self.skip = self.main = self.regions = 0
         self.region = [0]
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are of no use here
+
     def line(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", "".join(self.parts)).strip()
+            text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
                 self.lines.append((text, self.tags, self.region[-1], self.main > 0, self.skip > 0))
@@ -86,10 +88,11 @@ class Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
-        if tag in _INLINE and not attrs:
+        if tag in _INLINE:
+            if attrs and set_apart(tag, attrs):
+                self._push(tag, attrs)
             return
-        if tag not in _INLINE:
-            self.line()
+        self.line()
         if tag in _VOID:
             return
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):  # one ends where the next begins
@@ -128,14 +131,15 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in _INLINE:
-            self.line()
+        if tag in _INLINE:
+            if self.open and self.open[-1][0] == tag:
+                self._pop(len(self.open) - 1)
+            return
+        self.line()
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._pop(at)
                 return
-            if tag in _INLINE and self.open[at][0] not in _INLINE:
-                return
             if tag == "p" and self.open[at][2]:
                 return
 
