@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +45,19 @@ class Scratch:
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application; their Python workers import it from there."""
+    context = spark.sparkContext
+    if getattr(context, "_lexforge_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexforge-")  # executors fetch from the driver until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "lexforge_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    context._lexforge_shipped = True
