@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from lexforge.session import ship
+
 #: Arrow batches are bounded by bytes as well as rows, so that a run of very long texts stays small in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Get a session ready for the Python operators: small Arrow batches, and this package on the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

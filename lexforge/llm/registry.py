@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tokencount", "packing", "htmltext", "toxicity", "decontaminate")
+MODULES = ("tokencount", "packing", "htmltext", "toxicity", "decontaminate", "sketch", "linedup")
 
 
 def _modules():
