@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tokencount", "packing", "htmltext", "toxicity", "decontaminate", "sketch", "linedup", "neardup")
+MODULES = ("quality", "tokencount", "linedup", "packing", "htmltext", "sketch", "toxicity", "decontaminate", "licences", "neardup")
 
 
 def _modules():
