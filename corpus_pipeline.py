@@ -1,10 +1,68 @@
-"""The corpus pipeline; its stages follow."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
+columns of ``documents``. A stage's result is written as Parquet before the next one reads it, so that a lost
+executor costs a stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexforge.llm import decontaminate, linedup, neardup, packing, quality
+from lexforge.session import Scratch, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the co-trained classifiers reject."""
+    return quality.reject(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes boilerplate lines. A document of which nothing is left is dropped; lengths follow the new texts."""
+    cleaned = linedup.remove_boilerplate(docs)
+    emptied = (F.col("__n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
+    cleaned = cleaned.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("__n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return cleaned.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
+    return neardup.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold benchmark passages in a twentieth of their words or more."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences; one row for each piece."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("near-duplicate removal", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: The classifier and the packing cannot be stated in SQL; tests hold the pipeline against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        new = scratch.cut(stage(spark, docs, sf_dir), f"stage{number}")
+        if number:
+            scratch.drop(docs)
+        docs = new
+    return docs

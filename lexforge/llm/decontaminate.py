@@ -269,6 +269,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
+    """The rows of *docs* that are not contaminated, all columns. Each batch of rows is a shard; only texts reach Python."""
+    bounded_batches(docs.sparkSession)
+    phrases = Phrases.of(collect_items(benchmark), window)
+
+    @F.pandas_udf("boolean")
+    def contaminated(texts: pd.Series) -> pd.Series:
+        lists = [words_of(t) for t in texts]
+        hits = [sum(b - a for a, b in s) for s in search_shard(lists, phrases)[0]]
+        return pd.Series([n > 0 and n * share >= len(ws) for n, ws in zip(hits, lists, strict=True)], dtype=bool)
+
+    return docs.where(~contaminated(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
