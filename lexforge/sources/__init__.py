@@ -1 +1 @@
-
+"""Readers of decisions, texts, names, logs and documents."""
