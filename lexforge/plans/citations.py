@@ -9,7 +9,8 @@ from lexforge.operators import citelist, references
 from lexforge.plans import domain
 from lexforge.plans.domain import LINES_SQL, REFS_SQL
 
-_CSV = F.array_join("enums", ",").alias("enums")
+def _csv():
+    return F.array_join("enums", ",").alias("enums")
 
 
 def _lines(spark, sf):
@@ -21,11 +22,11 @@ def _refs(spark, sf):
 
 
 def cite_index_lines(spark, sf):
-    return _lines(spark, sf).orderBy("key", "court", "canton", "date").select("key", "court", "canton", "date", _CSV, "id")
+    return _lines(spark, sf).orderBy("key", "court", "canton", "date").select("key", "court", "canton", "date", _csv(), "id")
 
 
 def cite_index_dedup(spark, sf):
-    return citelist.deduplicated(_lines(spark, sf)).select("key", "court", "canton", "date", _CSV, "id")
+    return citelist.deduplicated(_lines(spark, sf)).select("key", "court", "canton", "date", _csv(), "id")
 
 
 def cite_drop_counts(spark, sf):

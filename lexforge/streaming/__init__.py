@@ -1 +1,28 @@
+"""The daily rollup as a stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def daily_stream(rows: DataFrame, delay: str = "1 day") -> DataFrame:
+    """day, downloads, unique, bots of a stream (at timestamp, addr, bot); a day is given once the watermark has passed its end."""
+    windowed = rows.withWatermark("at", delay).groupBy(F.window("at", "1 day"))
+    people = F.collect_set(F.when(~F.col("bot"), F.col("addr")))
+    counts = windowed.agg(F.count_if(~F.col("bot")).alias("downloads"), F.size(people).cast("long").alias("unique"), F.count_if("bot").alias("bots"))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "downloads", "unique", "bots")
+
+
+def record_stream(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the days to a Parquet record; a batch that is given again adds no day twice."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            batch = batch.join(spark.read.parquet(path).select("day").distinct(), "day", "left_anti")
+        batch.write.mode("append").parquet(path)
+
+    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(append).trigger(availableNow=True).start()
