@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators import evaluation, identifiers
 from lexforge.session import table
+from lexforge.sources import docx
 
 
 def _docs(spark, sf):
@@ -80,6 +81,25 @@ def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(identifiers.html_text(F.col("html"))).alias("digest"))
 
 
+def _files(spark, sf):
+    """Each conversation as a word-processor file, a paragraph for each turn."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return docx.files_of(c.select(F.col("conv_id").cast("string").alias("path"), F.transform("t", lambda x: x["text"]).alias("texts")))
+
+
+def docx_parts(spark, sf):
+    found = docx.parts(_files(spark, sf)).where("part = 'body'")
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("index").cast("long").alias("index"), F.md5("text").alias("digest"))
+
+
+def docx_copy(spark, sf):
+    """The first five characters of every paragraph masked in a copy, and the copy read again."""
+    files = _files(spark, sf)
+    places = docx.parts(files).where("part = 'body' AND length(text) >= 5").select("path", "file", "index", F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("X.____").alias("label"))
+    found = docx.parts(docx.copies(files, places)).where("part = 'body'")
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("index").cast("long").alias("index"), F.md5("text").alias("digest"))
+
+
 def people(spark, sf):
     """People of each conversation: runs of capitalised words in its turns."""
     c = table(spark, sf, "conversations")
@@ -125,7 +145,7 @@ def name_forms(spark, sf):
     return evaluation.forms(n)
 
 
-QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms)}
+QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, docx_parts, docx_copy, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms)}
 
 _MAILS = r"mails AS (SELECT id, lang, i - 1 AS start, ms[i] AS value FROM (SELECT doc_id AS id, lang, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS ms FROM documents)))"
 _ENTRIES = r"""forms AS (SELECT id, 'i:mail:' || lower(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g')) AS key, value, count(*) AS n, min(start) AS first FROM mails GROUP BY ALL),
@@ -174,3 +194,8 @@ SELECT "group", count(*)::BIGINT AS entities, count(*) FILTER (WHERE c)::BIGINT
 SELECT f || ' ' || l AS name, form, written FROM (SELECT f, l, unnest(['surname', 'full', 'possessive', 'capitals', 'initial', 'double', 'mail', 'spelt_out']) AS form,
   unnest([l, f || ' ' || l, l || 's', upper(l), substr(f, 1, 1) || '. ' || l, l || '-' || l, lower(f) || '.' || lower(l) || '@gmail.com', replace(replace(replace(l, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')]) AS written FROM n)""",
 }
+_TURNS = "turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS index, coalesce(text, '') AS text FROM conversations)"
+ORACLE_SQL |= {
+    "docx_parts": f"WITH {_TURNS} SELECT conv_id, index, md5(text) AS digest FROM turns WHERE regexp_matches(text, '[\\pL\\pN_]')",
+    "docx_copy": f"WITH {_TURNS}, c AS (SELECT conv_id, index, CASE WHEN length(text) >= 5 AND regexp_matches(text, '[\\pL\\pN_]') THEN 'X.____' || substr(text, 6) ELSE text END AS text FROM turns) SELECT conv_id, index, md5(text) AS digest FROM c WHERE regexp_matches(text, '[\\pL\\pN_]')",
+}

@@ -216,6 +216,30 @@ def _rewrite(raw: bytes, places: list[tuple[int, int, int, str]], hidden: set[st
     return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 
 
+def plain_file(texts: list[str]) -> bytes:
+    """A minimal file with one paragraph for each text; characters that XML cannot hold become spaces."""
+    root = ET.Element(f"{W}document")
+    body = ET.SubElement(root, f"{W}body")
+    for text in texts:
+        run = ET.SubElement(ET.SubElement(body, f"{W}p"), f"{W}r")
+        ET.SubElement(run, f"{W}t").text = re.sub("[^\t\n\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", " ", text)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml", FIXED_DATE), ET.tostring(root, encoding="utf-8", xml_declaration=True), zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def files_of(rows: DataFrame) -> DataFrame:
+    """path, content: one file for each row of (path, texts)."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("binary")
+    def build(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: plain_file([x or "" for x in t]))
+
+    return rows.select("path", build("texts").alias("content"))
+
+
 def parts(files: DataFrame) -> DataFrame:
     """path, part, file, note, index, text of every text of the files (path, content)."""
     ship(files.sparkSession)
