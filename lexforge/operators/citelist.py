@@ -22,8 +22,7 @@ def labelled(decisions: DataFrame, aliases: DataFrame) -> DataFrame:
     own = base.select("decision_id", "court", "canton", "date", "id", F.explode(F.array("docket_number", "docket_number_2")).alias("docket"))
     other = aliases.select(F.col("canonical_decision_id").alias("decision_id"), F.translate("alias_docket_norm", "_", " ").alias("docket"))
     other = base.select("decision_id", "court", "canton", "date", "id").join(other, "decision_id").select(*own.columns)
-    rows = own.unionByName(other).withColumn("key", keys.key_for(F.col("court"), F.col("docket")))
-    return rows.where("key IS NOT NULL").select(*LINE, "id", "decision_id")
+    return keys.with_key(own.unionByName(other)).select(*LINE, "id", "decision_id")
 
 
 def lines(decisions: DataFrame, numbering: DataFrame, aliases: DataFrame) -> DataFrame:

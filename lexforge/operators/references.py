@@ -18,14 +18,6 @@ COURTS = (("bger", "bundesgericht|tribunal fédéral|tribunale federale"), ("bvg
 PAGE_REACH = 200
 
 
-def _made(df: DataFrame, *columns: Column) -> DataFrame:
-    """*df* with more columns that are computed once, behind a generator.
-
-    As plain columns the optimizer would repeat their patterns wherever a later column uses them.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*columns))))
-
-
 def pinpoints(text: Column) -> Column:
     """All cited numbers: after the mark of a consideration, as a list or range ("E. 2.3 und 2.4", "consid. 3-5")."""
     more = r"((?<![A-Za-z])(?:E|Erw|consid|cons)\.?\s*\d+(?:\.\d+)*[a-z]{0,2}(?:/[a-z]{1,2})*(?:\s*(?:,|und|et|e|-|bis|f{1,2}\.)\s*\d+(?:\.\d+)*[a-z]{0,2}(?:/[a-z]{1,2})*(?![\d/_]))*)"
@@ -48,11 +40,11 @@ def continued(text: Column) -> Column:
 def parsed(references: DataFrame) -> DataFrame:
     """ref_id with label, key, courts (named before the label), written_date, invalid_date, pinpoints and the first of them."""
     rows = references.select("ref_id", keys.normalise(F.col("prose")).alias("plain"))
-    rows = _made(rows, F.nullif(F.regexp_extract("plain", LABEL, 1), F.lit("")).alias("label"), dates.parts(F.col("plain")).alias("at"), pinpoints(F.col("plain")).alias("pinpoints"))
+    rows = keys.computed(rows, F.nullif(F.regexp_extract("plain", LABEL, 1), F.lit("")).alias("label"), dates.parts(F.col("plain")).alias("at"), pinpoints(F.col("plain")).alias("pinpoints"))
     before = F.lower(F.coalesce(F.split_part("plain", "label", F.lit(1)), "plain"))
     named = F.filter(F.array(*[F.when(before.rlike(words), code) for code, words in COURTS]), lambda c: c.isNotNull())
     part = lambda i: F.regexp_extract("label", r"^(?:BGE|ATF|DTF) (\d+) (\w+) (\d+)$", i)
-    rows = _made(rows, named.alias("courts"), part(1).alias("v"), part(2).alias("p"), part(3).alias("n"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
+    rows = keys.computed(rows, named.alias("courts"), part(1).alias("v"), part(2).alias("p"), part(3).alias("n"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
     key = F.when(F.col("v") != "", keys.collection_key(F.col("v"), F.col("p"), F.col("n"))).when(F.col("label").isNotNull(), keys.docket_key(F.col("label")))
     return rows.select("ref_id", "label", key.alias("key"), "courts", "written_date", "invalid_date", F.get("pinpoints", F.lit(0)).alias("pinpoint"), "pinpoints", F.lit(None).cast("string").alias("canton"))
 

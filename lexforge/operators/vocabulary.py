@@ -73,7 +73,7 @@ def word_statistics(docs: DataFrame, first_names: DataFrame) -> DataFrame:
     Hot words are reduced in every task before they are dealt out.
     """
     rows = word_rows(docs)
-    names = F.broadcast(first_names.select(F.col("name").alias("__first")).distinct().limit(1_000_000))
+    names = first_names.select(F.col("name").alias("__first")).distinct()
     rows = rows.withColumn("lead", F.when(F.col("before").rlike(r"^\p{Lu}\p{L}+$"), F.lower("before"))).join(names, F.col("lead") == F.col("__first"), "left")
     titled = F.col("cap") & F.coalesce(F.col("before").isin(*TITLES), F.lit(False))
     counts = {"cap": F.col("cap"), "low": ~F.col("cap"), "upper": F.col("cap") & F.col("upper"), "titled": titled, "firsted": F.col("cap") & ~titled & F.col("__first").isNotNull()}

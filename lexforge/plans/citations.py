@@ -43,7 +43,7 @@ def manifest_totals(spark, sf):
 
 def absent_volumes(spark, sf):
     # Volumes of whole years are all there; the years' odd pages leave gaps to find.
-    rows = _lines(spark, sf).where("key LIKE 'BGE%'").withColumn("key", F.concat(F.lit("BGE "), F.lpad((F.substring("key", -4, 4).cast("int") * 3 % 200 + 1).cast("string"), 3, "0"), F.lit(" I 0001")))
+    rows = _lines(spark, sf).where("key LIKE 'BGE%'").withColumn("key", F.concat(F.lit("BGE "), F.lpad((F.substring("key", -4, 4).cast("int") * 6 % 200 + 1).cast("string"), 3, "0"), F.lit(" I 0001")))
     return citelist.absent_volumes(rows)
 
 
@@ -148,9 +148,14 @@ def gap_fill_source(spark, sf):
 
 
 def joined_applications(spark, sf):
-    rows = _lines(spark, sf).where("key LIKE '4P%'").select(F.concat(F.col("key"), F.lit("_"), F.lit("9/2000")).alias("key"))
-    asked = _lines(spark, sf).select(F.col("id").alias("ref_id"), "key")
-    return citelist.joined_applications(asked, rows.distinct()).distinct()
+    """Application numbers that are listed as the first of two joined ones."""
+    from lexforge.session import table
+
+    year = (F.year("o_orderdate") % 100).cast("string")
+    number = lambda c: F.concat((F.col(c) % 2000).cast("string"), F.lit("/"), year)
+    o = table(spark, sf, "orders")
+    listed = o.select(F.concat_ws("_", number("o_orderkey"), number("o_custkey")).alias("key")).distinct()
+    return citelist.joined_applications(o.select(F.col("o_orderkey").alias("ref_id"), number("o_custkey").alias("key")), listed)
 
 
 QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications)}
@@ -207,7 +212,7 @@ SELECT court, min(canton) AS canton, count(*)::BIGINT AS decisions, count(n.deci
 FROM decisions d LEFT JOIN (SELECT DISTINCT decision_id FROM enums) n USING (decision_id) GROUP BY court""",
     "manifest_totals": f"""{_W} SELECT (SELECT count(*) FROM decisions)::BIGINT AS decisions, (SELECT count(*) FROM lines)::BIGINT AS labels,
   (SELECT count(*) FROM decisions WHERE decision_id IN (SELECT decision_id FROM enums))::BIGINT AS with_numbering""",
-    "absent_volumes": f"""{_W}, v AS (SELECT DISTINCT (CAST(right(key, 4) AS BIGINT) * 3 % 200 + 1) AS volume FROM lines WHERE key LIKE 'BGE%'),
+    "absent_volumes": f"""{_W}, v AS (SELECT DISTINCT (CAST(right(key, 4) AS BIGINT) * 6 % 200 + 1) AS volume FROM lines WHERE key LIKE 'BGE%'),
 span AS (SELECT min(volume) AS first, max(volume) AS last FROM v)
 SELECT first, last, volume FROM (SELECT first, last, unnest(range(first, last + 1)) AS volume FROM span) WHERE volume NOT IN (SELECT volume FROM v)""",
     "lookup_exact": f"{_R} SELECT key, ref_id, court, date, id FROM parsed JOIN lines USING (key)",
@@ -226,9 +231,9 @@ SELECT ref_id, written_date, d AS before FROM parsed p ASOF LEFT JOIN days ON p.
 missing AS (SELECT * FROM parsed WHERE key NOT IN (SELECT key FROM lines) AND key NOT LIKE 'BGE%'),
 wanted AS (SELECT DISTINCT key FROM missing),
 near AS (SELECT DISTINCT w.key, l.key AS variant FROM wanted w JOIN (SELECT DISTINCT key FROM lines WHERE key NOT LIKE 'BGE%') l
-  ON right(w.key, 2) = right(l.key, 2) AND abs(length(w.key) - length(l.key)) <= 1 AND damerau_levenshtein(w.key, l.key) = 1
+  ON right(w.key, 2) = right(l.key, 2) AND abs(length(w.key) - length(l.key)) <= 1 AND damerau_levenshtein(w.key, l.key) = 1 AND regexp_replace(w.key, '[0-9A-Z]', '', 'g') = regexp_replace(l.key, '[0-9A-Z]', '', 'g')
   UNION SELECT DISTINCT w.key, l.key FROM wanted w JOIN (SELECT DISTINCT key FROM lines WHERE key NOT LIKE 'BGE%') l
-  ON left(w.key, 3) = left(l.key, 3) AND abs(length(w.key) - length(l.key)) <= 1 AND damerau_levenshtein(w.key, l.key) = 1),
+  ON left(w.key, 3) = left(l.key, 3) AND abs(length(w.key) - length(l.key)) <= 1 AND damerau_levenshtein(w.key, l.key) = 1 AND regexp_replace(w.key, '[0-9A-Z]', '', 'g') = regexp_replace(l.key, '[0-9A-Z]', '', 'g')),
 met AS (SELECT m.ref_id, l.key, l.court, l.canton, l.date, l.date = m.written_date AS same,
   CASE WHEN l.date = m.written_date THEN 0 ELSE 4 END + CASE WHEN len(list_filter(string_split(l.enums, ','), lambda e: e = m.pinpoint OR starts_with(e, m.pinpoint || '.'))) > 0 THEN 0 ELSE 2 END
   + CASE WHEN m.named IS NULL OR m.named = l.court THEN 0 ELSE 1 END AS score
@@ -254,6 +259,7 @@ SELECT key, court, canton, date, 'https://decisions.example/' || id || coalesce(
   CASE WHEN key LIKE 'BGE %' THEN 'BGE ' || CAST(substr(key, 5, 3) AS INT) || ' ' || replace(replace(split_part(key, ' ', 3), 'IA', 'Ia'), 'IB', 'Ib') || ' ' || CAST(right(key, 4) AS INT) ELSE key END AS label,
   CASE WHEN date LIKE '%-01-01' THEN substr(date, 1, 4) ELSE CAST(substr(date, 9, 2) AS INT) || '.' || CAST(substr(date, 6, 2) AS INT) || '.' || substr(date, 1, 4) END AS shown_date FROM b""",
     "gap_fill_source": f"""WITH {domain.SQL} SELECT court, CASE WHEN court LIKE 'c1%' THEN 'store' ELSE 'export' END AS origin, count(*)::BIGINT AS n FROM decisions GROUP BY ALL""",
-    "joined_applications": f"""{_W}, j AS (SELECT DISTINCT key || '_9/2000' AS listed, split_part(key, '_', 1) AS head FROM lines WHERE key LIKE '4P%')
-SELECT DISTINCT l.id AS ref_id, l.key, j.listed FROM lines l JOIN j ON l.key = j.head""",
+    "joined_applications": """WITH o AS (SELECT o_orderkey, (o_orderkey % 2000) || '/' || (year(o_orderdate) % 100) AS a, (o_custkey % 2000) || '/' || (year(o_orderdate) % 100) AS b FROM orders),
+j AS (SELECT DISTINCT a || '_' || b AS listed, a AS head FROM o)
+SELECT o_orderkey AS ref_id, b AS key, listed FROM o JOIN j ON o.b = j.head""",
 }

@@ -40,10 +40,10 @@ def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """alias_docket_norm, canonical_decision_id: other labels of some decisions; some name a decision that is not there."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0")
+    """alias_docket_norm, canonical_decision_id: other labels of decisions; a fifth name a decision that is not there."""
+    o = table(spark, sf_dir, "orders")
     alias = F.concat(F.lit("4P_"), (F.col("o_orderkey") % 400).cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"))
-    target = F.when(F.col("o_orderkey") % 200 == 0, F.lit("d0")).otherwise(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")))
+    target = F.when(F.col("o_orderkey") % 5 == 0, F.lit("d0")).otherwise(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")))
     return o.select(alias.alias("alias_docket_norm"), target.alias("canonical_decision_id"))
 
 
@@ -69,8 +69,8 @@ enums AS (
   WHERE regexp_matches(e, '^[0-9]+([.][0-9]+)*([a-z]{{1,2}})?(/[a-z]{{1,2}})*$')),
 aliases AS (
   SELECT '4P_' || (o_orderkey % 400) || '/' || year(o_orderdate) AS alias_docket_norm,
-    CASE WHEN o_orderkey % 200 = 0 THEN 'd0' ELSE 'd' || o_orderkey END AS canonical_decision_id
-  FROM orders WHERE o_orderkey % 40 = 0)"""
+    CASE WHEN o_orderkey % 5 = 0 THEN 'd0' ELSE 'd' || o_orderkey END AS canonical_decision_id
+  FROM orders)"""
 
 
 def docket_key_sql(x: str) -> str:

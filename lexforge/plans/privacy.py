@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexforge.operators import evaluation, identifiers
+from lexforge.operators import anonymize, evaluation, identifiers
 from lexforge.session import table
 from lexforge.sources import docx
 
@@ -100,6 +100,15 @@ def docx_copy(spark, sf):
     return found.select(F.col("path").cast("long").alias("conv_id"), F.col("index").cast("long").alias("index"), F.md5("text").alias("digest"))
 
 
+def anonymization_check(spark, sf):
+    """Conversations checked against the words of five or more documents."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    lexicon = anonymize.vocabulary(common.select("word", F.lit("").alias("mark")))
+    parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.lit("body").alias("kind"), F.col("turn").alias("index"), "text")
+    return anonymize.check_documents(parts, lexicon)
+
+
 def people(spark, sf):
     """People of each conversation: runs of capitalised words in its turns."""
     c = table(spark, sf, "conversations")
@@ -119,7 +128,7 @@ def recall_by_form(spark, sf):
 
 
 def _spans(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_partkey")  # the mentions of this trial
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     start = F.col("l_partkey") % 900
     return l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("mention"), start.alias("start"), (start + 5 + F.col("l_partkey") % 7).alias("end")).distinct()
 
@@ -145,14 +154,14 @@ def name_forms(spark, sf):
     return evaluation.forms(n)
 
 
-QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, docx_parts, docx_copy, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms)}
+QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, docx_parts, docx_copy, anonymization_check, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms)}
 
 _MAILS = r"mails AS (SELECT id, lang, i - 1 AS start, ms[i] AS value FROM (SELECT doc_id AS id, lang, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS ms FROM documents)))"
 _ENTRIES = r"""forms AS (SELECT id, 'i:mail:' || lower(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g')) AS key, value, count(*) AS n, min(start) AS first FROM mails GROUP BY ALL),
 entries AS (SELECT id, key, arg_max(value, (n, -first)) AS text, string_agg(value, ',' ORDER BY value) AS forms, sum(n)::BIGINT AS n, min(first)::BIGINT AS first FROM forms GROUP BY id, key)"""
 _MASKED = r"masked AS (SELECT conv_id * 100 + turn AS id, regexp_replace(coalesce(text, ''), '(^|[ \n])([A-Z])[a-z]{4,}', '\1\2.____', 'g') AS text FROM conversations)"
 _HOLDERS = r"holders AS (SELECT id, regexp_replace(form, '_{2,}', '________', 'g') AS form, count(*)::BIGINT AS n FROM (SELECT id, unnest(regexp_extract_all(text, '\b[A-Z]{1,3}\.?_{2,}|\[(?:\.\.\.|…)\]|\bX{3,}\b|\*{3,}')) AS form FROM masked) GROUP BY ALL)"
-_SPANS = "spans AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS mention, l_partkey % 900 AS s, l_partkey % 900 + 5 + l_partkey % 7 AS e FROM lineitem WHERE l_orderkey % 7 = 0)"
+_SPANS = "spans AS (SELECT DISTINCT l_orderkey AS doc, CAST(l_linenumber AS BIGINT) AS mention, l_partkey % 900 AS s, l_partkey % 900 + 5 + l_partkey % 7 AS e FROM lineitem)"
 _SHAPE = r"""CASE WHEN regexp_matches(c, '^([0-9]{1,2}\.[0-9]{1,2}\.([0-9]{2}|[0-9]{4})|[0-9]{4}-[0-9]{2}-[0-9]{2})$') THEN 'date'
   WHEN regexp_matches(c, '^[0-9]{1,3}(''[0-9]{3})+(\.[0-9]{2})?$|^[0-9]+\.[0-9]{2}$') THEN 'amount' WHEN regexp_matches(c, '^[0-9]{1,3}(\.[0-9]{1,3})+[a-z]?\.?$') THEN 'section'
   WHEN regexp_matches(c, '^[0-9]{1,4}-[0-9]{1,4}$') THEN 'span' WHEN regexp_matches(c, '^[0-9]{1,6}(/[0-9]{1,6})+$|^[A-Za-z]+[0-9]*([._/-][A-Za-z0-9]+)+$') THEN 'reference'
