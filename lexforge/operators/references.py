@@ -109,3 +109,40 @@ def numbered(findings: DataFrame, document: str = "document") -> DataFrame:
     order = Window.partitionBy(document).orderBy("paragraph", "start")
     nth = Window.partitionBy(document, "label").orderBy("paragraph", "start")
     return findings.withColumn("number", (F.row_number().over(order) - 1).cast("long")).withColumn("nth", (F.row_number().over(nth) - 1).cast("long"))
+
+
+# Law journals whose citations look like labels.
+JOURNALS = ("SJ", "JdT", "RtiD", "ZBl", "Pra", "JAR", "RDAF", "SZZP")
+LOOSE = rf"\b((?:{'|'.join(JOURNALS)}) \d{{4}} (?:I{{1,3}} )?\d{{1,4}}|[A-Z]{{2,4}}[. ]\d{{4}}[./]\d{{1,5}}|[A-Z]{{1,3}}\d? \d{{1,4}}/\d{{4}})\b"
+
+
+def loose_labels(paragraphs: DataFrame) -> DataFrame:
+    """paragraph, nth, label, kind: what looks like a label in a form the list cannot answer, accepted labels left out.
+
+    kind is ``collection`` for a journal's citation, else ``unknown_shape``.
+    """
+    bare = F.regexp_replace(keys.normalise(F.col("text")), LABEL, " ")
+    found = paragraphs.select("paragraph", F.posexplode(F.regexp_extract_all(bare, F.lit(LOOSE), F.lit(1))).alias("nth", "label"))
+    return found.select("paragraph", F.col("nth").cast("long").alias("nth"), "label", F.when(F.substring_index("label", " ", 1).isin(*JOURNALS), "collection").otherwise("unknown_shape").alias("kind"))
+
+
+def loose_status(labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Loose labels with their status: found if the list has them after all, else unchecked."""
+    listed = rows.select(F.col("key").alias("__key")).distinct()
+    met = labels.withColumn("__label", keys.docket_key(F.col("label"))).join(listed, F.col("__label") == F.col("__key"), "left")
+    return met.select("paragraph", "nth", "label", "kind", F.when(F.col("__key").isNotNull(), "found").otherwise("unchecked").alias("status"))
+
+
+def positions(paragraphs: DataFrame) -> DataFrame:
+    """document, paragraph, offset, position: characters before each paragraph, and their share of the document."""
+    w = Window.partitionBy("document").orderBy("paragraph")
+    size = F.length("text").cast("long") + 1
+    offset = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return paragraphs.select("document", "paragraph", offset.alias("offset"), F.round(offset / F.sum(size).over(Window.partitionBy("document")), 6).alias("position"))
+
+
+def applications(paragraphs: DataFrame) -> DataFrame:
+    """paragraph, number: application numbers of the human-rights court, where a clause names the court before them."""
+    clauses = paragraphs.select("paragraph", F.explode(F.split(keys.normalise(F.col("text")), ";")).alias("clause"))
+    named = F.regexp_extract_all("clause", F.lit(r"(?i)(?:EGMR|CourEDH|CEDU|ECtHR)[^;]{0,160}?\b(\d{1,6}/\d{2})\b"), F.lit(1))
+    return clauses.select("paragraph", F.explode(named).alias("number"))

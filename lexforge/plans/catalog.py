@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("citations", "words", "privacy", "traffic")
+MODULES: tuple[str, ...] = ("citations", "prose", "words", "privacy", "traffic")
 
 
 def _modules():
