@@ -38,7 +38,8 @@ KEPT_WORDS = 400_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_601)
-#: The universal family x -> (a x + b) mod 2^64, of which the upper half counts; a is odd.
+#: The universal family x -> (a x + b) mod 2^32 with odd a, over 32 bits of a shingle's hash; its values are mixed
+#: before the minimum is taken.
 _A = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _A32, _B32 = (_A >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_B >> np.uint64(31)).astype(np.uint32)
@@ -224,22 +225,23 @@ def _star_places(cand: DataFrame) -> DataFrame:
 
 def _rest_places(cand: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that hold several components, beside all members of the other components there."""
-    known = cand.select("key", "id", "body").join(comps, "id", "left")
-    known = known.select("key", "id", "body", F.coalesce("comp", "id").alias("comp"), F.col("comp").isNotNull().alias("big"))
+    counts = scratch.cut(comps.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    sized = comps.join(_small(counts), "comp")
+    known = cand.select("key", "id", "body").join(sized, "id", "left")
+    known = known.select("key", "id", "body", F.coalesce("comp", "id").alias("comp"), F.col("n"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
     rest = scratch.cut(known.join(mixed, "key", "left_semi"), "rest")
-    # Against components of several classes: all members of each, once.
-    there = rest.where("big").select("key", F.col("comp").alias("g")).distinct()
-    ask = rest.join(there, "key").where("comp <> g AND (NOT big OR g < comp)").select("g", "id", "body", "comp").distinct()
+    # Against components of several classes: all members of each, once. Of two such components the smaller one asks.
+    there = rest.where("n IS NOT NULL").select("key", F.col("comp").alias("g"), F.col("n").alias("gn")).distinct()
+    ask = rest.join(there, "key").where("comp <> g AND (n IS NULL OR n < gn OR (n = gn AND g < comp))").select("g", "gn", "id", "body", "comp").distinct()
+    ask = scratch.cut(ask, "ask")
     bodies = cand.select("id", "body").distinct()
-    asked = comps.join(ask.select(F.col("g").alias("comp")).distinct(), "comp", "left_semi")
-    sizes = asked.groupBy("comp").agg(F.count("*").alias("n")).select(F.col("comp").alias("g"), _blocks(F.col("n")).alias("blocks"))
     one = F.lit(1).alias("kind")
-    main = asked.join(bodies, "id").withColumnRenamed("comp", "g").join(sizes, "g")
-    main = main.select(one, "g", _dealt("id", F.col("blocks")).alias("block"), F.lit(0).alias("role"), "id", "body", F.col("g").alias("comp"))
-    ask = ask.join(sizes, "g").select(one, "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "body", "comp")
+    main = sized.join(_small(ask.select(F.col("g").alias("comp")).distinct()), "comp", "left_semi").join(bodies, "id")
+    main = main.select(one, F.col("comp").alias("g"), _dealt("id", _blocks(F.col("n"))).alias("block"), F.lit(0).alias("role"), "id", "body", "comp")
+    ask = ask.select(one, "g", F.explode(F.sequence(F.lit(0), _blocks(F.col("gn")) - 1)).alias("block"), F.lit(1).alias("role"), "id", "body", "comp")
     # Among the classes of a bucket that no link has met yet.
-    alone = rest.where("NOT big")
+    alone = rest.where("n IS NULL").drop("n")
     sizes = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", _blocks(F.col("n")).alias("blocks"))
     alone, two = alone.join(sizes, "key"), F.lit(2).alias("kind")
     held = alone.select(two, F.col("key").alias("g"), _dealt("id", F.col("blocks")).alias("block"), F.lit(0).alias("role"), "id", "body", "comp")
