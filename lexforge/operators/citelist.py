@@ -121,8 +121,8 @@ def neighbours(probes: DataFrame, rows: DataFrame) -> DataFrame:
     both = both.unionByName(asked.select("range", F.col("probe").alias("at"), F.lit(None).cast("string").alias("key"), "probe"))
     # A probe that is listed itself must not find itself on either side.
     prior = Window.partitionBy("range").orderBy("at", F.col("probe").isNull())
-    following = Window.partitionBy("range").orderBy(F.col("at"), F.col("probe").isNotNull())
-    inside = both.select("range", "probe", F.last("key", ignorenulls=True).over(prior.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("key", ignorenulls=True).over(following.rowsBetween(1, Window.unboundedFollowing)).alias("after")).where("probe IS NOT NULL")
+    following = Window.partitionBy("range").orderBy(F.desc("at"), F.col("probe").isNull())
+    inside = both.select("range", "probe", F.last("key", ignorenulls=True).over(prior.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.last("key", ignorenulls=True).over(following.rowsBetween(Window.unboundedPreceding, -1)).alias("after")).where("probe IS NOT NULL")
     # At most one edge row for each two-character prefix, so this side is small whatever the list holds.
     lower, upper = F.broadcast(edges.select(F.col("range").alias("r1"), "high")), F.broadcast(edges.select(F.col("range").alias("r2"), "low"))
     below = inside.where("before IS NULL").join(lower, F.col("r1") < F.col("range")).groupBy("probe").agg(F.max("high").alias("__b"))
@@ -159,12 +159,14 @@ def suggest(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """ref_id, rank, key, court, date, reason, score: listed lines one typing error from a missing label.
 
     A line with the written date counts most, then one that has the written number, then the named court; if any
-    scores below 4 only those stay. Ties go by key, court, canton, date. Variants are generated and joined by
-    equality, so the work grows with the references and not with references times lines.
+    scores below 4 only those stay. Ties go by key, court, canton, date. Variants are generated once a label and joined
+    by equality, so the work grows with the references and not with references times lines.
     """
-    tried = references.select("ref_id", "key", "written_date", "pinpoint", "courts", "canton", F.explode(one_edit_away(F.col("key"))).alias("variant"))
+    tried = references.select("key").distinct().select("key", F.explode(one_edit_away(F.col("key"))).alias("variant"))
+    # Most variants are not listed: they go before references or lines are touched.
+    tried = tried.join(rows.select(F.col("key").alias("variant")).distinct(), "variant", "left_semi")
     listed = rows.select(F.col("key").alias("variant"), F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), "date", "enums")
-    met = tried.join(listed, "variant")
+    met = references.select("ref_id", "key", "written_date", "pinpoint", "courts", "canton").join(tried, "key").join(listed, "variant")
     same = F.coalesce(F.col("date") == F.col("written_date"), F.lit(False))
     pin = F.coalesce(F.exists("enums", lambda e: (e == F.col("pinpoint")) | e.startswith(F.concat(F.col("pinpoint"), F.lit(".")))), F.lit(False))
     scope = keys.in_scope(F.col("courts"), F.col("canton"), F.col("row_court"), F.col("row_canton"))
