@@ -29,8 +29,8 @@ SHINGLE, PERCENT = 5, 80
 #: Bands and rows of each. At a similarity of 0.8 a pair shares no band with probability (1 - 0.8^6)^32 = 6e-5, and
 #: unlike texts (below 0.1) share one with less than 4e-5, so that chance buckets stay rare among many documents.
 BANDS, ROWS = 32, 6
-#: Members of a block that is compared at once.
-BLOCK = 256
+#: Members of a block that is compared at once, and the blocks whose rows may ask it in one task.
+BLOCK, ASKING = 256, 4
 #: A table of up to so many narrow rows (about 20 bytes each) is broadcast, a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 #: Words whose hashes a worker keeps.
@@ -123,9 +123,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def block_links(docs: DataFrame, places: DataFrame, size: int, percent: int, one_each: bool) -> DataFrame:
-    """Links (u, v) found by comparing, in each (kind, g, block), every row of role 1 with all rows of role 0.
+    """Links (u, v) found by comparing, in each (kind, g, block, part), every row of role 1 with all rows of role 0.
 
-    *places* holds (kind, g, block, role, id, body, comp); the sets are made from the texts of *docs*. Rows of one
+    *places* holds (kind, g, block, part, role, id, body, comp); the sets are made from the texts of *docs*. Rows of one
     component are not compared. With *one_each*, one link is given for each row of role 1 and component it meets.
     """
 
@@ -143,9 +143,9 @@ def block_links(docs: DataFrame, places: DataFrame, size: int, percent: int, one
         at, ids, comps, arrays, index = None, [], [], [], None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for kind, g, block, role, i, comp, raw in batch.itertuples(index=False, name=None):
-                if (kind, g, block) != at:
-                    at, ids, comps, arrays, index = (kind, g, block), [], [], [], None
+            for kind, g, block, part, role, i, comp, raw in batch.itertuples(index=False, name=None):
+                if (kind, g, block, part) != at:
+                    at, ids, comps, arrays, index = (kind, g, block, part), [], [], [], None
                 own = np.frombuffer(raw, dtype=np.uint64)
                 if role == 0:
                     ids.append(i), comps.append(comp), arrays.append(own)
@@ -168,9 +168,9 @@ def block_links(docs: DataFrame, places: DataFrame, size: int, percent: int, one
                 found.extend((max(i, j), min(i, j)) for j in all_ids[good].tolist())
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    rows = _keyed(docs).join(_small(places), ["id", "body"]).select("kind", "g", "block", "role", "id", "comp", "body", "text")
-    made = rows.mapInPandas(sets, "kind int, g long, block int, role int, id long, comp long, hashes binary")
-    dealt = made.repartition("kind", "g", "block").sortWithinPartitions("kind", "g", "block", "role")
+    rows = _keyed(docs).join(_small(places), ["id", "body"]).select("kind", "g", "block", "part", "role", "id", "comp", "body", "text")
+    made = rows.mapInPandas(sets, "kind int, g long, block int, part int, role int, id long, comp long, hashes binary")
+    dealt = made.repartition("kind", "g", "block", "part").sortWithinPartitions("kind", "g", "block", "part", "role")
     return dealt.mapInPandas(links, "u long, v long").where("u <> v").distinct()
 
 
@@ -211,16 +211,21 @@ def _dealt(id_column: str, blocks) -> F.Column:
     return F.pmod(F.xxhash64(id_column), blocks.cast("long")).cast("int")
 
 
+def _upto(last) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), last))
+
+
 def _star_places(cand: DataFrame) -> DataFrame:
     """Each member beside the head that it shares most buckets with (ties: the least id)."""
     shared = cand.where("id <> head").groupBy("id", "body", "head", "head_body").agg(F.count("*").alias("n"))
     best = shared.groupBy("id", "body").agg(F.max(F.struct("n", (-F.col("head")).alias("order"), "head", "head_body")).alias("best")).select("id", "body", "best.head", "best.head_body")
     sizes = best.groupBy("head").agg(F.count("*").alias("n"))
     members = best.join(sizes, "head").select("id", "body", "head", "head_body", _dealt("id", _blocks(F.col("n"))).alias("block"))
-    kind = F.lit(0).alias("kind")
-    main = members.select(kind, F.col("head").alias("g"), "block", F.lit(0).alias("role"), "id", "body", F.col("id").alias("comp"))
+    # One head asks each block, so a block needs no parts.
+    kind, part = F.lit(0).alias("kind"), F.lit(0).alias("part")
+    main = members.select(kind, F.col("head").alias("g"), "block", part, F.lit(0).alias("role"), "id", "body", F.col("id").alias("comp"))
     ask = members.select("head", "head_body", "block").distinct()
-    return main.unionByName(ask.select(kind, F.col("head").alias("g"), "block", F.lit(1).alias("role"), F.col("head").alias("id"), F.col("head_body").alias("body"), F.col("head").alias("comp")))
+    return main.unionByName(ask.select(kind, F.col("head").alias("g"), "block", part, F.lit(1).alias("role"), F.col("head").alias("id"), F.col("head_body").alias("body"), F.col("head").alias("comp")))
 
 
 def _rest_places(cand: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -237,15 +242,19 @@ def _rest_places(cand: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFra
     ask = scratch.cut(ask, "ask")
     bodies = cand.select("id", "body").distinct()
     one = F.lit(1).alias("kind")
-    main = sized.join(_small(ask.select(F.col("g").alias("comp")).distinct()), "comp", "left_semi").join(bodies, "id")
-    main = main.select(one, F.col("comp").alias("g"), _dealt("id", _blocks(F.col("n"))).alias("block"), F.lit(0).alias("role"), "id", "body", "comp")
-    ask = ask.select(one, "g", F.explode(F.sequence(F.lit(0), _blocks(F.col("gn")) - 1)).alias("block"), F.lit(1).alias("role"), "id", "body", "comp")
-    # Among the classes of a bucket that no link has met yet.
+    # Those who ask are dealt over parts, and every part has the members of the block.
+    asking = ask.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK * ASKING)).cast("int").alias("parts"))
+    asking = scratch.cut(asking, "asking")
+    main = sized.join(_small(asking.withColumnRenamed("g", "comp")), "comp").join(bodies, "id")
+    main = main.select(one, F.col("comp").alias("g"), _dealt("id", _blocks(F.col("n"))).alias("block"), _upto(F.col("parts") - 1).alias("part"), F.lit(0).alias("role"), "id", "body", "comp")
+    ask = ask.join(_small(asking), "g").select(one, "g", _upto(_blocks(F.col("gn")) - 1).alias("block"), _dealt("id", F.col("parts")).alias("part"), F.lit(1).alias("role"), "id", "body", "comp")
+    # Among the classes of a bucket that no link has met yet: each asks its own block and those above it.
     alone = rest.where("n IS NULL").drop("n")
     sizes = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", _blocks(F.col("n")).alias("blocks"))
-    alone, two = alone.join(sizes, "key"), F.lit(2).alias("kind")
-    held = alone.select(two, F.col("key").alias("g"), _dealt("id", F.col("blocks")).alias("block"), F.lit(0).alias("role"), "id", "body", "comp")
-    asks = alone.select(two, F.col("key").alias("g"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "body", "comp")
+    alone = alone.join(sizes, "key").withColumn("own", _dealt("id", F.col("blocks")))
+    two, part = F.lit(2).alias("kind"), F.floor(F.col("own") / F.lit(ASKING)).cast("int")
+    held = alone.select(two, F.col("key").alias("g"), F.col("own").alias("block"), _upto(part).alias("part"), F.lit(0).alias("role"), "id", "body", "comp")
+    asks = alone.select(two, F.col("key").alias("g"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("role"), "id", "body", "comp")
     return main.unionByName(ask).unionByName(held).unionByName(asks)
 
 

@@ -294,8 +294,10 @@ def brute_components(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, size):
+@pytest.mark.parametrize(("size", "block"), [(2, 256), (5, 256), (2, 2)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, size, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ASKING", min(block, 4))
     rng, rows = random.Random(9), []
     for g in range(12):
         base = words(rng, 120, 10**5).split()
@@ -310,6 +312,21 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_of_a_hot_bucket_all_meet(spark, monkeypatch):
+    """Unmet classes of a bucket meet pairwise, and everyone of them meets every member of a component there."""
+    from lexforge.session import Scratch
+
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "ASKING", 2)
+    cand = spark.createDataFrame([(7, i, i, 0, 0) for i in range(60)], "key long, id long, body long, head long, head_body long")
+    comps = spark.createDataFrame([(i, i % 2) for i in range(30)], "id long, comp long")
+    tasks = {}
+    for r in neardup._rest_places(cand, comps, Scratch(spark)).collect():
+        tasks.setdefault((r.kind, r.g, r.block, r.part), ([], []))[r.role].append((r.id, r.comp))
+    met = [frozenset((a, b)) for held, asks in tasks.values() for a, ca in held for b, cb in asks if ca != cb]
+    assert set(met) == {frozenset((a, b)) for a in range(60) for b in range(a) if a >= 30 or (a + b) % 2}
+
+
 def test_components_of_a_long_chain(spark):
     from lexforge.session import Scratch
 
