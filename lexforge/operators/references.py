@@ -49,6 +49,27 @@ def parsed(references: DataFrame) -> DataFrame:
     return rows.select("ref_id", "label", key.alias("key"), "courts", "written_date", "invalid_date", F.get("pinpoints", F.lit(0)).alias("pinpoint"), "pinpoints", F.lit(None).cast("string").alias("canton"))
 
 
+def _scoped(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Parsed references beside the listed lines of their key, and whether each line is what the reference names."""
+    lines = rows.select("key", F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), "date")
+    scope = keys.in_scope(F.col("courts"), F.col("canton"), F.col("row_court"), F.col("row_canton"))
+    return refs.select("ref_id", "key", "courts", "canton", "written_date").join(lines, "key").withColumn("scoped", F.coalesce(scope, F.lit(False)))
+
+
+def court_issues(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """ref_id, key, listed (courts in order) and n of references whose label is listed, but at no court they name."""
+    met = _scoped(refs, rows).groupBy("ref_id", "key").agg(F.bool_or("scoped").alias("inside"), F.array_sort(F.collect_set("row_court")).alias("listed"), F.count("*").alias("n"))
+    return met.where("NOT inside").select("ref_id", "key", "listed", "n")
+
+
+def date_issues(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """ref_id, key, written_date and listed (dates in order) where every line in scope has a full date and none is the written one."""
+    full = keys.full_date(F.col("date")) & ~F.col("date").endswith("-01-01")
+    met = _scoped(refs, rows).where("scoped AND written_date IS NOT NULL")
+    found = met.groupBy("ref_id", "key", "written_date").agg(F.bool_and(full & (F.col("date") != F.col("written_date"))).alias("differs"), F.array_sort(F.collect_set("date")).alias("listed"))
+    return found.where("differs").select("ref_id", "key", "written_date", "listed")
+
+
 def check(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """ref_id, status, issues, notes and counts of every parsed reference against the list.
 

@@ -162,3 +162,18 @@ def unknown_runs(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     marked = unknown.withColumn("new", F.when(F.col("at") - F.lag("at").over(by_doc) == 1, 0).otherwise(1))
     run = marked.withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy("id", "run").agg(F.min("at").cast("long").alias("first"), F.count("*").alias("n"))
+
+
+def given_name_runs(docs: DataFrame, given: DataFrame, most: int = 3) -> DataFrame:
+    """id, first, n, surname: given names in a row before a capitalised word, *most* at most; titles are skipped.
+
+    Positions count from 0 over the words without titles. Only the given names reach the window.
+    """
+    words = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda w: ~w.isin(*TITLES))
+    pairs = docs.select("id", words.alias("w")).select("id", F.posexplode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("after"))).alias("at", "p"))
+    capital = r"^\p{Lu}\p{L}+$"
+    named = pairs.select("id", "at", F.col("p.word").alias("word"), F.coalesce("p.after", F.lit("")).alias("after")).where(F.col("word").rlike(capital))
+    named = named.withColumn("name", F.lower("word")).join(given.select("name"), "name", "left_semi")
+    runs = named.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("id").orderBy("at")))
+    found = runs.groupBy("id", "run").agg(F.min("at").cast("long").alias("first"), F.least(F.count("*"), F.lit(most)).cast("long").alias("n"), F.max_by("after", "at").alias("surname"))
+    return found.where(F.col("surname").rlike(capital)).select("id", "first", "n", "surname")

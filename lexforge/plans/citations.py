@@ -124,6 +124,16 @@ def finding_status(spark, sf):
     return found.select("ref_id", "key", "status", F.array_join("issues", ",").alias("issues"), F.array_join("notes", ",").alias("notes"), "n_listed", "n_scoped")
 
 
+def court_scope(spark, sf):
+    found = references.court_issues(_refs(spark, sf), _lines(spark, sf))
+    return found.select("ref_id", "key", F.array_join("listed", ",").alias("listed"), "n")
+
+
+def date_issue(spark, sf):
+    found = references.date_issues(_refs(spark, sf), _lines(spark, sf))
+    return found.select("ref_id", "key", "written_date", F.array_join("listed", ",").alias("listed"))
+
+
 def status_counts(spark, sf):
     return references.status_counts(references.check(_refs(spark, sf), _lines(spark, sf)))
 
@@ -158,7 +168,7 @@ def joined_applications(spark, sf):
     return citelist.joined_applications(o.select(F.col("o_orderkey").alias("ref_id"), number("o_custkey").alias("key")), listed)
 
 
-QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications)}
+QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, court_scope, date_issue, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications)}
 
 _KIND = """
 kinds AS (
@@ -251,6 +261,10 @@ lev AS (SELECT *, CASE WHEN len(s) > 0 THEN s ELSE list_transform(es, lambda e:
 uni AS (SELECT ref_id, court, canton, date, pinpoint, list_filter(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN list_position(raw, raw[i]) = i THEN raw[i] END), lambda e: e IS NOT NULL) AS u FROM lev)
 SELECT ref_id, court, canton, date, pinpoint, array_to_string(u[1:14], ',') AS numbers, len(u) > 14 AS more FROM uni""",
     "finding_status": f"{_R}, {_CHECK} SELECT ref_id, key, status, issues, notes, n_listed, n_scoped FROM findings",
+    "court_scope": f"""{_R}, {_CHECK} SELECT ref_id, key, string_agg(DISTINCT court, ',' ORDER BY court) AS listed, count(*)::BIGINT AS n
+FROM met JOIN judged USING (ref_id, key) WHERE bad_court AND listed GROUP BY ref_id, key""",
+    "date_issue": f"""{_R}, {_CHECK} SELECT ref_id, key, any_value(met.written_date) AS written_date, string_agg(DISTINCT date, ',' ORDER BY date) AS listed
+FROM met JOIN judged USING (ref_id, key) WHERE bad_date AND scoped GROUP BY ref_id, key""",
     "status_counts": f"""{_R}, {_CHECK} SELECT s.status, count(f.ref_id)::BIGINT AS n FROM (VALUES ('found'), ('differs'), ('missing'), ('unchecked')) s(status) LEFT JOIN findings f ON f.status = s.status GROUP BY s.status""",
     "parse_reference": f"WITH {REFS_SQL} SELECT ref_id, coalesce(named, '') AS courts, label, key, written_date, pinpoint FROM parsed",
     "decision_links": f"""{_W}, a AS (SELECT *, substr(date, 7, 1) || '.1' AS pin, string_split(enums, ',') AS es FROM lines),

@@ -74,7 +74,11 @@ def unknown_runs(spark, sf):
     return v.unknown_runs(_docs(spark, sf), _stats(spark, sf).where("docs >= 5").select("word"))
 
 
-QUERIES = {f.__name__: f for f in (word_stats, vocabulary_decide, vocabulary_marks, name_bearers, holdout_split, compound_depth0, compound_exceptions, language_by_line, dehyphenate, unknown_runs)}
+def given_name_runs(spark, sf):
+    return v.given_name_runs(_docs(spark, sf), _firsts(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (word_stats, vocabulary_decide, vocabulary_marks, name_bearers, holdout_split, compound_depth0, compound_exceptions, language_by_line, dehyphenate, unknown_runs, given_name_runs)}
 
 _HOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 33), lambda i: CAST(instr('0123456789abcdef', substr(md5(CAST(doc_id AS VARCHAR)), CAST(i AS INT), 1)) - 1 AS BIGINT))), lambda a, d: (a * 16 + d) % 10) = 0"
 _STATS = f"""
@@ -129,6 +133,12 @@ m AS (SELECT id, at_, sum(new) OVER (PARTITION BY id ORDER BY at_) AS run FROM (
 SELECT id, CAST(run AS BIGINT) AS run, min(at_)::BIGINT AS first, count(*)::BIGINT AS n FROM m GROUP BY id, run""",
 }
 ORACLE_SQL |= {
+    "given_name_runs": f"""WITH {_STATS},
+a AS (SELECT doc_id AS id, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x NOT IN ({", ".join(f"'{t}'" for t in v.TITLES)})) AS ps FROM documents),
+p AS (SELECT id, i - 1 AS at_, ps[i] AS piece, ps[i + 1] AS after FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a)),
+g AS (SELECT * FROM p WHERE regexp_matches(piece, '^\\p{{Lu}}\\p{{L}}+$') AND lower(piece) IN (SELECT name FROM firsts)),
+m AS (SELECT *, at_ - row_number() OVER (PARTITION BY id ORDER BY at_) AS run FROM g)
+SELECT id, min(at_)::BIGINT AS first, least(count(*), 3)::BIGINT AS n, arg_max(coalesce(after, ''), at_) AS surname FROM m GROUP BY id, run HAVING regexp_matches(arg_max(coalesce(after, ''), at_), '^\\p{{Lu}}\\p{{L}}+$')""",
     "vocabulary_decide": f"{_DECIDE} SELECT word, verdict, mark FROM marks",
     "vocabulary_marks": f"{_DECIDE} SELECT mark || word AS line FROM marks WHERE mark <> ''",
 }
