@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import keys
+from lexforge.session import Scratch
 
 LINE = ["key", "court", "canton", "date"]
 
@@ -111,24 +112,25 @@ def containing_page(pages: DataFrame, ranges: DataFrame, open_ended: int = 40) -
 def neighbours(probes: DataFrame, rows: DataFrame) -> DataFrame:
     """probe, before, after: the last key below each probe and the first above, by bytes.
 
-    The list is cut into ranges by its first two characters; a probe looks into its own range by a window there and
-    takes the edges of the ranges beside it from a table with one row for each range.
+    Keys and probes are cut into even ranges of their order, written once; a probe looks into its own range by a window
+    there and takes the edges of the ranges around it from a table with one row for each range.
     """
-    listed = rows.select("key").distinct().withColumn("range", F.substring("key", 1, 2))
-    edges = listed.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    asked = probes.select("probe").distinct().withColumn("range", F.substring("probe", 1, 2))
-    both = listed.select("range", F.col("key").alias("at"), F.col("key"), F.lit(None).cast("string").alias("probe"))
-    both = both.unionByName(asked.select("range", F.col("probe").alias("at"), F.lit(None).cast("string").alias("key"), "probe"))
+    none = F.lit(None).cast("string")
+    listed = rows.select("key").distinct().select(F.col("key").alias("at"), "key", none.alias("probe"))
+    asked = probes.select("probe").distinct().select(F.col("probe").alias("at"), none.alias("key"), "probe")
+    dealt = listed.unionByName(asked).repartitionByRange("at").withColumn("range", F.spark_partition_id())
+    both = Scratch(rows.sparkSession).cut(dealt, "neighbours")
+    # As many rows as there are partitions, whatever the list holds: one task orders them, and they are broadcast.
+    edges = both.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("range", F.desc("range")))
+    edges = edges.select("range", F.last("high", ignorenulls=True).over(up).alias("below"), F.last("low", ignorenulls=True).over(down).alias("above"))
     # A probe that is listed itself must not find itself on either side.
     prior = Window.partitionBy("range").orderBy("at", F.col("probe").isNull())
     following = Window.partitionBy("range").orderBy(F.desc("at"), F.col("probe").isNull())
-    inside = both.select("range", "probe", F.last("key", ignorenulls=True).over(prior.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.last("key", ignorenulls=True).over(following.rowsBetween(Window.unboundedPreceding, -1)).alias("after")).where("probe IS NOT NULL")
-    # At most one edge row for each two-character prefix, so this side is small whatever the list holds.
-    lower, upper = F.broadcast(edges.select(F.col("range").alias("r1"), "high")), F.broadcast(edges.select(F.col("range").alias("r2"), "low"))
-    below = inside.where("before IS NULL").join(lower, F.col("r1") < F.col("range")).groupBy("probe").agg(F.max("high").alias("__b"))
-    above = inside.where("after IS NULL").join(upper, F.col("r2") > F.col("range")).groupBy("probe").agg(F.min("low").alias("__a"))
-    out = inside.join(below, "probe", "left").join(above, "probe", "left")
-    return out.select("probe", F.coalesce("before", "__b").alias("before"), F.coalesce("after", "__a").alias("after"))
+    found = lambda w: F.last("key", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    inside = both.select("range", "probe", found(prior).alias("before"), found(following).alias("after")).where("probe IS NOT NULL")
+    out = inside.join(F.broadcast(edges), "range")
+    return out.select("probe", F.coalesce("before", "below").alias("before"), F.coalesce("after", "above").alias("after"))
 
 
 _DIGITS, _LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

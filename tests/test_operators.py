@@ -110,3 +110,16 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = rollup.daily(spark.createDataFrame(data, schema).withColumn("day", F.date_format("at", "yyyy-MM-dd")))
     want = {r.day: (r.downloads, r.unique, r.bots) for r in batch.collect()}
     assert got and all(want[d] == v for d, v in got.items()) and len(got) >= len(want) - 3
+
+
+def test_neighbours_over_ranges_without_keys(spark):
+    import bisect
+
+    from lexforge.operators import citelist
+
+    listed = [f"K{i:03d}" for i in range(300, 340)] + ["Z9"]
+    asked = [f"K{i:03d}" for i in range(0, 900, 3)] + ["A", "Z9", "ZZ"]
+    got = citelist.neighbours(spark.createDataFrame([(p,) for p in asked], "probe string"), spark.createDataFrame([(k,) for k in listed], "key string")).collect()
+    at = {p: (bisect.bisect_left(listed, p), bisect.bisect_right(listed, p)) for p in asked}
+    assert {r.probe: (r.before, r.after) for r in got} == {p: (listed[a - 1] if a else None, listed[b] if b < len(listed) else None) for p, (a, b) in at.items()}
+    assert len(got) == len(asked)
