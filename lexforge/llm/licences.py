@@ -18,6 +18,8 @@ from lexforge.session import Scratch, table
 
 #: Least cosine of a notice, and least share of a licence file's words that are notices.
 LEAST, COVER = 0.6, 0.5
+#: Terms of statements, at most, that are sent to every task to be counted; more are joined.
+SENT_TERMS = 500_000
 
 # Statements by which licences are declared.
 TEMPLATES = (
@@ -55,8 +57,12 @@ def _anchored(text) -> F.Column:
     return F.lower(text).rlike(ANCHOR)
 
 
-def _weights(files: DataFrame, templates, scratch: Scratch) -> tuple[DataFrame, DataFrame, float]:
-    """Template terms with their weights (a table fixed by the templates), template norms, and the weight of other terms."""
+def _idf(df, total) -> F.Column:
+    return F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1
+
+
+def _weights(files: DataFrame, templates) -> tuple[DataFrame, DataFrame, int]:
+    """Template terms with their weights (a table fixed by the templates), template norms, and the number of files."""
     spark = files.sparkSession
     rows = spark.createDataFrame(terms_of(templates), "template int, licence string, term string, tf int")
     words = sorted({r[2] for r in terms_of(templates)})
@@ -65,26 +71,40 @@ def _weights(files: DataFrame, templates, scratch: Scratch) -> tuple[DataFrame,
     counts = seen.select(F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df = {r["term"]: r["df"] for r in counts.collect()}
     total = df.pop("", 0)
-    idf = spark.createDataFrame([(w, df.get(w, 0)) for w in words], "term string, df long").select("term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    idf = spark.createDataFrame([(w, df.get(w, 0)) for w in words], "term string, df long").select("term", _idf(F.col("df"), F.lit(total)).alias("idf"))
     weighed = rows.join(F.broadcast(idf), "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("tw"), "idf")
     norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
     return weighed, norms, total
 
 
+def _term_weights(files: DataFrame, found: DataFrame, total: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """term and idf of all terms of the statements *found*, counted over all files; whether they are few enough to be sent."""
+    vocabulary = scratch.cut(found.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
+    few = vocabulary.count() <= SENT_TERMS
+    seen = files.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    # Counted in every task before they are dealt out; terms of no statement are left out first if that needs no exchange.
+    counts = seen.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term") if few else seen.groupBy("term")
+    df = counts.agg(F.count("*").alias("df"))
+    if not few:
+        df = df.join(vocabulary, "term", "left_semi")
+    return scratch.cut(df.select("term", _idf(F.col("df"), F.lit(total)).alias("idf")), "weights"), few
+
+
 def notices(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """path, body (a hash of the text), words of the file, and its statements that are notices: licence, score, size."""
-    weighed, norms, total = _weights(files, templates, Scratch(files.sparkSession))
+    scratch = Scratch(files.sparkSession)
+    weighed, norms, total = _weights(files, templates)
     lines = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
     found = files.where(_anchored(F.col("text"))).select("path", F.xxhash64("text").alias("body"), F.size(_terms(F.col("text"))).alias("words"), F.posexplode(lines).alias("at", "line"))
-    found = found.where(_anchored(F.col("line"))).withColumn("terms", _terms(F.col("line")))
+    found = scratch.cut(found.where(_anchored(F.col("line"))).withColumn("terms", _terms(F.col("line"))).drop("line"), "statements")
     terms = found.select("path", "body", "at", "words", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     terms = terms.groupBy("path", "body", "at", "words", "size", "term").agg(F.count("*").alias("tf"))
-    idf = weighed.select("term", "idf").distinct()
-    other = F.log(F.lit(1.0) + F.lit(total)) + 1
-    scaled = terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", other))
+    idf, few = _term_weights(files, found, total, scratch)
+    templated = F.broadcast(weighed.select("term", F.lit(True).alias("templated")).distinct())
+    scaled = terms.join(F.broadcast(idf) if few else idf, "term").join(templated, "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
     key = ["path", "body", "at"]
     each = F.col("w") * F.col("w")
-    norm = scaled.groupBy(*key, "words", "size").agg(F.sqrt(F.sum(each)).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
+    norm = scaled.groupBy(*key, "words", "size").agg(F.sqrt(F.sum(each)).alias("norm"), F.collect_list(F.when(F.col("templated"), F.struct("term", "w"))).alias("known"))
     known = norm.select(*key, "words", "size", "norm", F.explode("known").alias("k")).select(*key, "words", "size", "norm", "k.term", "k.w")
     dots = known.join(F.broadcast(weighed.select("template", "licence", "term", "tw")), "term").groupBy(*key, "words", "size", "norm", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scores = dots.join(F.broadcast(norms), "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6))

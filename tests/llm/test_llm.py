@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, the libraries it stands for, or exact accounts; with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,6 +253,32 @@ def test_licences_are_inherited(spark):
     assert licences.scan_licences(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def brute_best(texts, line):
+    """Licence and cosine of the best template for *line*, with document frequencies of every term over *texts*."""
+    find = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    df = Counter(w for t in texts for w in set(find(t)))
+    vector = lambda t: {w: n * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, n in Counter(find(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    v, best = vector(line), (0.0, None)
+    for name, text in licences.TEMPLATES:
+        t = vector(text)
+        score = round(sum(v[w] * t.get(w, 0) for w in v) / ((norm(v) * norm(t)) or 1), 6)
+        best = max(best, (score, name), key=lambda b: b[0])
+    return best
+
+
+def test_every_term_has_its_document_frequency(spark, monkeypatch):
+    """Common words beside a notice weigh little, whether the terms are sent to the tasks or joined."""
+    notice = "Our project here is licensed under the Apache License, Version 2.0."
+    files = [(f"d{i}/x", f"our project here is word{i}") for i in range(3000)] + [("n/x", notice), ("m/x", None)]
+    want = brute_best([t for _, t in files], notice)
+    assert want[1] == "Apache-2.0" and want[0] >= licences.LEAST
+    docs = spark.createDataFrame(files, "path string, text string")
+    for sent in (500_000, 0):
+        monkeypatch.setattr(licences, "SENT_TERMS", sent, raising=False)
+        assert [(r.path, r.licence, r.score) for r in licences.notices(docs).collect()] == [("n/x", want[1], want[0])]
+
+
 # -- 1: quality
 
 
