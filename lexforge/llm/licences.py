@@ -1,7 +1,7 @@
 """Operator 9: licence notices by sparse TF-IDF cosine, inherited from the nearest directory; DataFrame functions only.
 
-Texts are cut into statements (lines and sentences). Those with a word that notices use are compared with templates
-of licences: terms are weighed by their document frequency in the whole corpus, and a statement's licence is that of
+Texts are cut into statements (lines and sentences). Those that share enough of a template's weight to be a notice
+(an exact bound) are compared with templates of licences: terms are weighed by their document frequency in the whole corpus, and a statement's licence is that of
 the template with the largest cosine. Licence files (by name, or because most of their words are notices) license
 their directory; a file without a notice of its own inherits from the nearest ancestor directory that has a licence.
 """
@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.session import Scratch, table
@@ -39,7 +40,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: Every template has one of these words, and so does every notice.
+#: Words by which ORACLE_SQL picks the statements that it compares; the operator compares all that the bound allows.
 ANCHOR = r"licen[cs]e|rights reserved|hereby granted|redistribution|public domain"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
@@ -53,10 +54,6 @@ def _terms(text) -> F.Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _anchored(text) -> F.Column:
-    return F.lower(text).rlike(ANCHOR)
-
-
 def _idf(df, total) -> F.Column:
     return F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1
 
@@ -77,6 +74,32 @@ def _weights(files: DataFrame, templates) -> tuple[DataFrame, DataFrame, int]:
     return weighed, norms, total
 
 
+def _reachable(weighed: DataFrame, norms: DataFrame, least: float) -> tuple[list[str], Callable[[Column], Column]]:
+    """Words of which every notice has one, and the exact condition on a statement's terms that its cosine can be *least*.
+
+    By Cauchy-Schwarz a cosine is at most the root of the share of the template's squared norm that the shared terms
+    hold. Of each template, the lightest terms that stay below that share together need another term beside them.
+    """
+    reach = max(least - 1e-6, 0.0) ** 2  # scores are rounded
+    shares: dict[int, list[tuple[float, str]]] = {}
+    for r in weighed.join(norms, "template").select("template", "term", (F.col("tw") * F.col("tw") / (F.col("tnorm") * F.col("tnorm"))).alias("share")).collect():
+        shares.setdefault(r["template"], []).append((r["share"], r["term"]))
+    needed: set[str] = set()
+    for terms in shares.values():
+        light = 0.0
+        for share, term in sorted(terms):
+            light += share
+            if light >= reach:
+                needed.add(term)
+    each = F.array(*[F.create_map(*[F.lit(x) for share, term in terms for x in (term, share)]) for terms in shares.values()])
+
+    def enough(terms: Column) -> Column:
+        shared = lambda m: F.aggregate(F.array_distinct(terms), F.lit(0.0), lambda n, t: n + F.coalesce(F.try_element_at(m, t), F.lit(0.0)))
+        return F.exists(each, lambda m: shared(m) >= F.lit(reach))
+
+    return sorted(needed), enough
+
+
 def _term_weights(files: DataFrame, found: DataFrame, total: int, scratch: Scratch) -> tuple[DataFrame, bool]:
     """term and idf of all terms of the statements *found*, counted over all files; whether they are few enough to be sent."""
     vocabulary = scratch.cut(found.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
@@ -95,8 +118,10 @@ def notices(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> Data
     scratch = Scratch(files.sparkSession)
     weighed, norms, total = _weights(files, templates)
     lines = F.split(F.regexp_replace("text", r"([.!?])[ \t]+", "$1\n"), "\n")
-    found = files.where(_anchored(F.col("text"))).select("path", F.xxhash64("text").alias("body"), F.size(_terms(F.col("text"))).alias("words"), F.posexplode(lines).alias("at", "line"))
-    found = scratch.cut(found.where(_anchored(F.col("line"))).withColumn("terms", _terms(F.col("line"))).drop("line"), "statements")
+    needed, enough = _reachable(weighed, norms, least)
+    has_needed = lambda terms: F.arrays_overlap(terms, F.array(*map(F.lit, needed)))
+    found = files.where(has_needed(_terms(F.col("text")))).select("path", F.xxhash64("text").alias("body"), F.size(_terms(F.col("text"))).alias("words"), F.posexplode(F.transform(lines, _terms)).alias("at", "terms"))
+    found = scratch.cut(found.where(has_needed(F.col("terms")) & enough(F.col("terms"))), "statements")
     terms = found.select("path", "body", "at", "words", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     terms = terms.groupBy("path", "body", "at", "words", "size", "term").agg(F.count("*").alias("tf"))
     idf, few = _term_weights(files, found, total, scratch)

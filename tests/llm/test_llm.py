@@ -279,6 +279,18 @@ def test_every_term_has_its_document_frequency(spark, monkeypatch):
         assert [(r.path, r.licence, r.score) for r in licences.notices(docs).collect()] == [("n/x", want[1], want[0])]
 
 
+def test_statements_without_common_phrases_are_compared(spark):
+    """Every statement is a notice that brute force says is one, whatever words it lacks."""
+    rng = random.Random(10)
+    parts = [re.findall("[A-Za-z0-9]+", t) for _, t in licences.TEMPLATES]
+    lines = ["Available under CC BY-NC 4.0", "Published under CC BY 4.0", "Dedicated under CC0 1.0"]
+    lines += [" ".join(rng.sample(p, rng.randrange(1, len(p) + 1)) + [f"w{rng.randrange(9)}" for _ in range(rng.randrange(4))]) for p in parts for _ in range(20)]
+    files = [(f"d{i}/x", t) for i, t in enumerate(lines)] + [(f"e{i}/x", "the work of all in any form is this code") for i in range(1000)]
+    want = {p: brute_best([t for _, t in files], t) for p, t in files[: len(lines)]}
+    got = {r.path: (r.score, r.licence) for r in licences.notices(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {p: b for p, b in want.items() if b[0] >= licences.LEAST} and "d0/x" in got
+
+
 # -- 1: quality
 
 
