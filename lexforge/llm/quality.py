@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm.common import bounded_batches
-from lexforge.session import table
+from lexforge.session import Scratch, table
 
-#: Labelled and unlabelled rows that the classifiers are fitted on, at most (those with the smallest hash of their id).
+#: Labelled rows that the classifiers are fitted on, at most (those with the smallest hash of their id), and unlabelled
+#: rows that count for the number handed over; the surest are taken from all of them.
 FIT_ROWS, POOL_ROWS = 10_000, 10_000
-#: Rounds of co-training, the share of the pool that a view hands over in each, and how sure it must be.
+#: Rounds of co-training, the share of POOL_ROWS (or of all, if fewer) that a view hands over in each, and how sure it must be.
 ROUNDS, HAND_OVER, SURE = 5, 0.05, 0.9
 #: One labelled row in so many is kept for calibration.
 CALIBRATION = 4
@@ -126,33 +127,21 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-v)) for v in (*logits, both))
 
 
-def co_train(labelled: list[tuple[list[float], list[float], int]], pool: list[tuple[list[float], list[float]]]) -> CoTrained:
-    """Fit on (text view, metadata view, label) rows and unlabelled (text view, metadata view) rows."""
+def co_train(labelled: list[tuple[list[float], list[float], int]], surest: Callable[[list[Logistic], float], list[tuple]]) -> CoTrained:
+    """Fit on (text view, metadata view, label) rows and on what *surest* takes from the unlabelled rows (see :class:`Pool`)."""
     y = np.array([r[2] for r in labelled], dtype=float)
     held = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
     if any(len(set(y[part])) < 2 for part in (held, ~held)):
         return CoTrained(None)
     x = [np.array([r[v] for r in labelled]) for v in (0, 1)]
-    free = [np.array([r[v] for r in pool]).reshape(len(pool), x[v].shape[1]) for v in (0, 1)]
     train = [(x[v][~held], y[~held]) for v in (0, 1)]
-    waiting, rounds = np.ones(len(pool), dtype=bool), []
-    views = [Logistic.fit(*t) for t in train]
+    rounds, views = [], [Logistic.fit(*t) for t in train]
     for _ in range(ROUNDS):
-        handed = []
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-views[v].logit(free[v]))) if len(pool) else np.zeros(0)
-            sure = np.abs(p - 0.5) >= SURE - 0.5
-            at = np.flatnonzero(waiting & sure)
-            # As many of either label as its share among the labelled rows allows, the surest first.
-            most = max(1, int(HAND_OVER * len(pool)))
-            share = float(y.mean())
-            good = at[p[at] > 0.5][np.argsort(-p[at[p[at] > 0.5]], kind="stable")][: int(most * share)]
-            poor = at[p[at] < 0.5][np.argsort(p[at[p[at] < 0.5]], kind="stable")][: int(math.ceil(most * (1 - share)))]
-            handed.append((np.concatenate([good, poor]), np.concatenate([np.ones(len(good)), np.zeros(len(poor))])))
-        for v, (rows, labels) in ((1, handed[0]), (0, handed[1])):
-            train[v] = (np.concatenate([train[v][0], free[v][rows]]), np.concatenate([train[v][1], labels]))
-            waiting[rows] = False
-        rounds.append(sum(len(r) for r, _ in handed))
+        handed = surest(views, float(y.mean()))
+        for v, (*free, labels) in ((1, handed[0]), (0, handed[1])):
+            if len(labels):
+                train[v] = (np.concatenate([train[v][0], free[v]]), np.concatenate([train[v][1], labels]))
+        rounds.append(sum(len(h[2]) for h in handed))
         if not rounds[-1]:
             break
         views = [Logistic.fit(*t) for t in train]
@@ -164,12 +153,52 @@ def co_train(labelled: list[tuple[list[float], list[float], int]], pool: list[tu
     return CoTrained(tuple(views), tuple(calibration), combination, tuple(rounds))
 
 
-_FEATURES = "id long, label int, text_view array<double>, meta_view array<double>"
+_FEATURES = "id long, row long, text_view array<double>, meta_view array<double>"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"id": b["id"], "label": b["label"], "text_view": [text_view(t) for t in b["text"]], "meta_view": [meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
+        yield pd.DataFrame({"id": b["id"], "row": b["row"], "text_view": [text_view(t) for t in b["text"]], "meta_view": [meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
+
+
+class Pool:
+    """All unlabelled rows. Their features are written once; in every round each task scores its own and keeps the surest."""
+
+    def __init__(self, features: DataFrame, scratch: Scratch, pool_rows: int):
+        self.features, self.scratch = features, scratch
+        self.most = max(1, int(HAND_OVER * min(features.count(), pool_rows)))
+        self.gone: set[int] = set()  # rows handed over; equal rows go together
+
+    def surest(self, views: list[Logistic], share: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each view the (text view, metadata view, label) of the waiting rows that it is surest of."""
+        # As many of either label as its share among the labelled rows allows, the surest first.
+        limits = {1: int(self.most * share), 0: math.ceil(self.most * (1 - share))}
+        gone = np.fromiter(self.gone, dtype=np.int64)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: dict[tuple[int, int], pd.DataFrame] = {}
+            for b in batches:
+                b = b[~b["row"].isin(gone)]
+                if not len(b):
+                    continue
+                for v, name in enumerate(("text_view", "meta_view")):
+                    p = 1 / (1 + np.exp(-views[v].logit(np.array(b[name].tolist()))))
+                    for label, sure in ((1, p), (0, 1 - p)):
+                        found = b.assign(view=v, label=label, sure=sure)[sure >= SURE]
+                        both = pd.concat([kept[v, label], found]) if (v, label) in kept else found
+                        kept[v, label] = both.sort_values(["sure", "row"], ascending=[False, True]).head(limits[label])
+            yield from kept.values()
+
+        schema = f"{_FEATURES}, view int, label int, sure double"
+        top = self.scratch.cut(self.features.mapInPandas(run, schema), "surest")
+        handed = []
+        for v in (0, 1):
+            # Each task has given limits[label] rows at most, and the sort keeps as many of a partition.
+            rows = [r for label in (1, 0) for r in top.where((F.col("view") == v) & (F.col("label") == label)).orderBy(F.desc("sure"), "row").limit(limits[label]).collect()]
+            handed.append((np.array([r["text_view"] for r in rows]), np.array([r["meta_view"] for r in rows]), np.array([r["label"] for r in rows], dtype=float)))
+            self.gone |= {r["row"] for r in rows}
+        self.scratch.drop(top)
+        return handed
 
 
 def _viewed(docs: DataFrame) -> DataFrame:
@@ -178,19 +207,25 @@ def _viewed(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
-    """Co-train on bounded samples of the labelled and the unlabelled rows; only features reach the driver."""
+    """Co-train on a bounded sample of the labelled rows and on all unlabelled ones; only features reach the driver.
+
+    *pool_rows* bounds the number of rows that are handed over, not the rows that they are chosen from.
+    """
     bounded_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
     order = [F.xxhash64("id", F.lit(11)), F.col("id")]
-    some = known.orderBy(*order, "label").limit(fit_rows)
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"))
-    # Hash order over the ids that have no label; the sort keeps pool_rows ids of a partition at most.
-    rest = ids.join(known.select("id"), "id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("label", F.lit(-1))
-    picked = F.broadcast(some.unionByName(rest))  # fit_rows + pool_rows rows at most
-    rows = _viewed(docs).join(picked, "id").mapInPandas(_features, _FEATURES).collect()
+    some = F.broadcast(known.orderBy(*order, "label").limit(fit_rows))  # fit_rows rows at most
+    viewed = _viewed(docs).withColumn("row", F.xxhash64("id", "text", "source", "lang", "n_chars"))
+    features = scratch.cut(viewed.mapInPandas(_features, _FEATURES), "features")
+    rows = features.join(some, "id").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], r["text_view"]))
-    labelled = [(r["text_view"], r["meta_view"], r["label"]) for r in rows if r["label"] >= 0]
-    return co_train(labelled, [(r["text_view"], r["meta_view"]) for r in rows if r["label"] < 0])
+    labelled = [(r["text_view"], r["meta_view"], r["label"]) for r in rows]
+    rest = scratch.cut(features.join(known.select("id"), "id", "left_anti"), "pool")
+    scratch.drop(features)
+    model = co_train(labelled, Pool(rest, scratch, pool_rows).surest)
+    scratch.drop(rest)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:

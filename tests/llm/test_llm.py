@@ -309,6 +309,16 @@ def test_quality(spark, awkward, empty):
     assert quality.reject(awkward, untrained).count() == len(AWKWARD)
 
 
+def test_pseudo_labels_come_from_the_whole_table(spark):
+    """The bound is on the rows handed over in a round, not on the rows that they are chosen from."""
+    rng = random.Random(11)
+    good = [(i, words(rng, 50, 5000), "en", f"s{i % 5}", 300) for i in range(120)]
+    junk = [(1000 + i, " ".join(f"{w.upper()}!!!" for w in words(rng, 40).split()), "en", f"s{i % 5}", 200) for i in range(60)]
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in good[:60] + junk[:30]], "doc_id long, quality int")
+    assert sum(quality.fit(docs, labels, pool_rows=1).rounds) > 2
+
+
 # -- 10: near duplicates
 
 
