@@ -3,7 +3,7 @@
 1. Every text's shingle set gets a signature of minima under many universal hash functions and a key of its own; rows
    with equal sets form a class, and only one row of each class goes on.
 2. Bands of the signature deal the classes into buckets. A class is compared with the bucket head it shares most
-   bands with (the signature's verdict), on full shingle sets, in blocks of bounded size.
+   bands with, on full shingle sets, in blocks of bounded size; this exact check replaces signature verification.
 3. Links become components by alternating large-star and small-star. Buckets that still hold several components are
    searched again: members of one against all members of the other, block by block, so that no pair which shares a
    bucket stays untested unless it is connected already, and no list of pairs is ever made.
