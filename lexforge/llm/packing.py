@@ -27,7 +27,7 @@ from lexforge.session import table
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 64, 2048
 SEPARATOR = 1
 #: Pieces that wait in a task; beyond it, sequences are closed.
-WINDOW = 64
+WINDOW = 512
 #: White-space chunks whose ids a worker keeps; others are encoded again.
 KEPT_CHUNKS = 400_000
 

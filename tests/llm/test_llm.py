@@ -112,6 +112,18 @@ def test_little_padding():
     assert sum(p[2] for _, ps in done for p in ps) == total and padded <= 1.01 * total
 
 
+def test_little_padding_in_runs_of_short_documents():
+    rng, packer, done, lengths = random.Random(2), packing.Packer(), [], []
+    for _ in range(3):
+        lengths += [rng.randrange(1, 20) for _ in range(1000)] + [rng.randrange(200, 3000) for _ in range(1000)]
+    for i, n in enumerate(lengths):
+        done += packer.add(i, 0, n, n - 1)
+    done += packer.finish()
+    used = [sum(p[2] for p in pieces) for _, pieces in done]
+    padded = sum(u if u & (u - 1) == 0 else 2048 for u in used)
+    assert sum(used) == sum(lengths) and padded <= 1.008 * sum(lengths)
+
+
 # -- 5: main text
 
 
