@@ -6,9 +6,10 @@
    bands with, on full shingle sets, in blocks of bounded size; this exact check replaces signature verification.
 3. Links become components by alternating large-star and small-star. Buckets that still hold several components are
    searched again: members of one against all members of the other, block by block, so that no pair which shares a
-   bucket stays untested unless it is connected already, and no list of pairs is ever made.
+   bucket stays untested unless it is connected already. Rows name a block that they ask, never a partner.
 
-Members of hot buckets and components are dealt over blocks; classes, links and components stay in tables.
+Members of hot buckets and components are dealt over blocks, and rows of hot keys are not dealt by them; classes, links
+and components stay in tables.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import bounded_batches
+from lexforge.llm.common import Columns, Recent, bounded_batches, hot_join, map_columns, unused
 from lexforge.session import Scratch, table
 
 #: Words of a shingle and the least similarity in hundredths, unless a caller has others.
@@ -31,9 +33,9 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 6
 #: Members of a block that is compared at once, and the blocks whose rows may ask it in one task.
 BLOCK, ASKING = 256, 4
-#: A table of up to so many narrow rows (about 20 bytes each) is broadcast, a larger one is shuffled.
-BROADCAST_ROWS = 500_000
-#: Words whose hashes a worker keeps.
+#: A table of up to so many narrow rows (at most 64 bytes each) is broadcast, a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+#: Words whose hashes a worker keeps (twice as many at most).
 KEPT_WORDS = 400_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -44,16 +46,15 @@ _A = (_rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1))
 _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _A32, _B32 = (_A >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_B >> np.uint64(31)).astype(np.uint32)
 
-_known: dict[bytes, int] = {}
 
 
 def _word_hash(word: bytes) -> int:
     import xxhash
 
-    found = xxhash.xxh3_64_intdigest(word)
-    if len(_known) < KEPT_WORDS and len(word) < 48:
-        _known[word] = found
-    return found
+    return xxhash.xxh3_64_intdigest(word)
+
+
+_hashes = Recent(_word_hash, KEPT_WORDS, 48)
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -61,10 +62,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    found = list(map(_known.get, words))
-    if None in found:
-        found = [_word_hash(w) if h is None else h for w, h in zip(words, found, strict=True)]
-    h = np.array(found, dtype=np.uint64)
+    h = np.array(_hashes.all(words), dtype=np.uint64)
     if len(h) < size:
         out = np.full(1, len(h), dtype=np.uint64)
         for value in h:
@@ -98,23 +96,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """id, body, n (size of the set), k1, k2 (key of the set, null if empty) and sig of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            out: Columns = {"id": b["id"], "body": b["body"], "n": [], "k1": [], "k2": [], "sig": []}
+            for text in b["text"]:
                 h = shingles(text, size)
-                if len(h):
-                    k = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), dtype="<i8")
-                    rows.append((len(h), int(k[0]), int(k[1]), signature(h)))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n", "k1", "k2", "sig"])
-            out["k1"], out["k2"] = pd.array([r[1] for r in rows], dtype="Int64"), pd.array([r[2] for r in rows], dtype="Int64")
-            out.insert(0, "id", batch["id"].astype("Int64"))
-            out.insert(1, "body", batch["body"])
+                k1, k2 = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), dtype="<i8").tolist() if len(h) else (None, None)
+                for name, value in (("n", len(h)), ("k1", k1), ("k2", k2), ("sig", signature(h) if len(h) else None)):
+                    out[name].append(value)
             yield out
 
-    return _keyed(docs).mapInPandas(run, "id long, body long, n long, k1 long, k2 long, sig binary")
+    return map_columns(_keyed(docs), run, "id long, body long, n long, k1 long, k2 long, sig binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -129,15 +121,10 @@ def block_links(docs: DataFrame, places: DataFrame, size: int, percent: int, one
     component are not compared. With *one_each*, one link is given for each row of role 1 and component it meets.
     """
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made: dict[tuple, bytes] = {}
-            hashed = []
-            for key, text in zip(zip(batch["id"].tolist(), batch["body"].tolist(), strict=True), batch["text"].tolist(), strict=True):
-                if key not in made:
-                    made[key] = shingles(text, size).tobytes()
-                hashed.append(made[key])
-            yield batch.drop(columns=["text", "body"]).assign(hashes=hashed)
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = pa.array([shingles(t, size).tobytes() for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), hashes], ["id", "at", "hashes"])
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ids, comps, arrays, index = None, [], [], [], None
@@ -168,12 +155,17 @@ def block_links(docs: DataFrame, places: DataFrame, size: int, percent: int, one
                 found.extend((max(i, j), min(i, j)) for j in all_ids[good].tolist())
             yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    rows = _keyed(docs).join(_small(places), ["id", "body"]).select("kind", "g", "block", "part", "role", "id", "comp", "body", "text")
-    made = rows.mapInPandas(sets, "kind int, g long, block int, part int, role int, id long, comp long, hashes binary")
+    # A text is read and hashed once, then sent to its places.
+    at = places.groupBy("id", "body").agg(F.collect_list(F.struct("kind", "g", "block", "part", "role", "comp")).alias("at"))
+    made = _keyed(docs).join(_small(at), ["id", "body"]).select("id", "at", "text").mapInArrow(sets, f"id long, at array<struct<{_PLACE}>>, hashes binary")
+    made = made.select("id", "hashes", F.explode("at").alias("p")).select("p.kind", "p.g", "p.block", "p.part", "p.role", "id", "p.comp", "hashes")
     dealt = made.repartition("kind", "g", "block", "part").sortWithinPartitions("kind", "g", "block", "part", "role")
     return dealt.mapInPandas(links, "u long, v long").where("u <> v").distinct()
 
 
+_PLACE = "kind:int,g:bigint,block:int,part:int,role:int,comp:bigint"
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id and comp (the least id it is connected with) of all ends of *edges* (u > v), by alternating star steps."""
     now = scratch.cut(edges, "edges")
@@ -194,13 +186,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots.select(F.col("v").alias("id"), F.col("v").alias("comp")))
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
+def _candidates(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """key, id, body, head and head_body of the members of all buckets with two classes or more; the head is the least id."""
     width = 4 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
     members = reps.select("id", "body", F.explode(bands).alias("key"))
     heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "body")).alias("head")).where("n > 1")
-    return members.join(heads, "key").select("key", "id", "body", F.col("head.id").alias("head"), F.col("head.body").alias("head_body"))
+    met = hot_join(members, scratch.cut(heads, "heads"), "key", BANDS * reps.count())
+    return met.select("key", "id", "body", F.col("head.id").alias("head"), F.col("head.body").alias("head_body"))
 
 
 def _blocks(n) -> F.Column:
@@ -215,12 +208,13 @@ def _upto(last) -> F.Column:
     return F.explode(F.sequence(F.lit(0), last))
 
 
-def _star_places(cand: DataFrame) -> DataFrame:
+def _star_places(cand: DataFrame, scratch: Scratch) -> DataFrame:
     """Each member beside the head that it shares most buckets with (ties: the least id)."""
     shared = cand.where("id <> head").groupBy("id", "body", "head", "head_body").agg(F.count("*").alias("n"))
     best = shared.groupBy("id", "body").agg(F.max(F.struct("n", (-F.col("head")).alias("order"), "head", "head_body")).alias("best")).select("id", "body", "best.head", "best.head_body")
-    sizes = best.groupBy("head").agg(F.count("*").alias("n"))
-    members = best.join(sizes, "head").select("id", "body", "head", "head_body", _dealt("id", _blocks(F.col("n"))).alias("block"))
+    best = scratch.cut(best, "best")
+    sizes = scratch.cut(best.groupBy("head").agg(F.count("*").alias("n")), "sizes")
+    members = hot_join(best, sizes, "head", best.count()).select("id", "body", "head", "head_body", _dealt("id", _blocks(F.col("n"))).alias("block"))
     # One head asks each block, so a block needs no parts.
     kind, part = F.lit(0).alias("kind"), F.lit(0).alias("part")
     main = members.select(kind, F.col("head").alias("g"), "block", part, F.lit(0).alias("role"), "id", "body", F.col("id").alias("comp"))
@@ -231,40 +225,60 @@ def _star_places(cand: DataFrame) -> DataFrame:
 def _rest_places(cand: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that hold several components, beside all members of the other components there."""
     counts = scratch.cut(comps.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
-    sized = comps.join(_small(counts), "comp")
+    sized = hot_join(comps, counts, "comp", comps.count()).select("id", "comp", F.col("n").alias("size"))
     known = cand.select("key", "id", "body").join(sized, "id", "left")
-    known = known.select("key", "id", "body", F.coalesce("comp", "id").alias("comp"), F.col("n"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    rest = scratch.cut(known.join(mixed, "key", "left_semi"), "rest")
+    known = scratch.cut(known.select("key", "id", "body", F.coalesce("comp", "id").alias("comp"), "size"), "known")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", "n")
+    rest = scratch.cut(hot_join(known, scratch.cut(mixed, "mixed"), "key", known.count()).drop("n"), "rest")
+    rows = rest.count()
     # Against components of several classes: all members of each, once. Of two such components the smaller one asks.
-    there = rest.where("n IS NOT NULL").select("key", F.col("comp").alias("g"), F.col("n").alias("gn")).distinct()
-    ask = rest.join(there, "key").where("comp <> g AND (n IS NULL OR n < gn OR (n = gn AND g < comp))").select("g", "gn", "id", "body", "comp").distinct()
+    there = rest.where("size IS NOT NULL").groupBy("key", F.col("comp").alias("g"), F.col("size").alias("gn")).agg(F.lit(1).alias("one"))
+    there = there.groupBy("key").agg(F.collect_list(F.struct("g", "gn")).alias("there"))
+    each = rest.groupBy("key").agg(F.count("*").alias("n")).join(there, "key")  # one row a bucket, with its components
+    met = hot_join(rest, scratch.cut(each, "there"), "key", rows).select("id", "body", "comp", "size", F.explode("there").alias("t")).select("*", "t.*")
+    ask = met.where("comp <> g AND (size IS NULL OR size < gn OR (size = gn AND g < comp))").select("g", "gn", "id", "body", "comp").distinct()
     ask = scratch.cut(ask, "ask")
     bodies = cand.select("id", "body").distinct()
     one = F.lit(1).alias("kind")
     # Those who ask are dealt over parts, and every part has the members of the block.
-    asking = ask.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK * ASKING)).cast("int").alias("parts"))
+    asking = ask.groupBy("g").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(BLOCK * ASKING)).cast("int").alias("parts"))
     asking = scratch.cut(asking, "asking")
-    main = sized.join(_small(asking.withColumnRenamed("g", "comp")), "comp").join(bodies, "id")
+    size_of = counts.select(F.col("comp").alias("g"), F.col("n").alias("size")).join(asking.select("g", "parts"), "g")
+    asked = scratch.cut(size_of.select(F.col("g").alias("comp"), F.col("size").alias("n"), "parts"), "asked")
+    main = hot_join(sized.select("id", "comp"), asked, "comp", comps.count()).join(bodies, "id")
     main = main.select(one, F.col("comp").alias("g"), _dealt("id", _blocks(F.col("n"))).alias("block"), _upto(F.col("parts") - 1).alias("part"), F.lit(0).alias("role"), "id", "body", "comp")
-    ask = ask.join(_small(asking), "g").select(one, "g", _upto(_blocks(F.col("gn")) - 1).alias("block"), _dealt("id", F.col("parts")).alias("part"), F.lit(1).alias("role"), "id", "body", "comp")
+    ask = hot_join(ask, asking, "g", ask.count()).select(one, "g", _upto(_blocks(F.col("gn")) - 1).alias("block"), _dealt("id", F.col("parts")).alias("part"), F.lit(1).alias("role"), "id", "body", "comp")
     # Among the classes of a bucket that no link has met yet: each asks its own block and those above it.
-    alone = rest.where("n IS NULL").drop("n")
-    sizes = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", _blocks(F.col("n")).alias("blocks"))
-    alone = alone.join(sizes, "key").withColumn("own", _dealt("id", F.col("blocks")))
+    alone = rest.where("size IS NULL").drop("size")
+    sizes = scratch.cut(alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "alone")
+    alone = hot_join(alone, sizes, "key", rows).withColumn("blocks", _blocks(F.col("n"))).withColumn("own", _dealt("id", F.col("blocks")))
     two, part = F.lit(2).alias("kind"), F.floor(F.col("own") / F.lit(ASKING)).cast("int")
     held = alone.select(two, F.col("key").alias("g"), F.col("own").alias("block"), _upto(part).alias("part"), F.lit(0).alias("role"), "id", "body", "comp")
     asks = alone.select(two, F.col("key").alias("g"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block"), part.alias("part"), F.lit(1).alias("role"), "id", "body", "comp")
     return main.unionByName(ask).unionByName(held).unionByName(asks)
 
 
+def _id_links(named: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Links (u, v) between the classes that hold texts of one id; none if each id has one text."""
+    key = F.struct("k1", "k2")
+    several = named.groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").select("id")
+    several = scratch.cut(several, "several")
+    if several.isEmpty():
+        return None
+    classes = named.select("id", "k1", "k2").distinct().join(_small(several), "id", "left_semi")
+    held = scratch.cut(classes.join(reps.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep").distinct(), "shared")
+    least = scratch.cut(held.groupBy("id").agg(F.count("*").alias("n"), F.min("rep").alias("v")), "least")
+    return hot_join(held, least, "id", held.count()).select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and body (a hash of the text) of every row.
+    """doc_id, n_shingles, component_id, kept and body (a hash of the text) of every row, from its whole text.
 
     Two texts are linked if 100 * common shingles >= percent * all shingles of both. A component's id is its least
     doc_id. Texts without words (null, empty, blank) are linked with nothing. A row without doc_id stands alone: its
-    component_id is null and kept is false. Rows that share a doc_id are one document: they share its component, and
-    each gets its own n_shingles. Other columns are ignored.
+    component_id is null and kept is false. Rows that share a doc_id are one document: they and all that is linked with
+    any of them are one component, and each gets its own n_shingles. Very long texts need no more than their set; an
+    empty table gives no rows; other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -273,10 +287,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     named = sig.where("n > 0 AND id IS NOT NULL")
     classes = named.groupBy("k1", "k2").agg(F.min(F.struct("id", "body", "sig")).alias("r"), F.count("*").alias("rows"))
     reps = scratch.cut(classes.select("k1", "k2", "rows", "r.*"), "classes")
-    cand = scratch.cut(_candidates(reps), "buckets")
-    stars = scratch.cut(_star_places(cand), "stars")
-    # Rows of one document with unlike texts are linked through their id.
-    comps = scratch.cut(components(block_links(docs, stars, size, percent, one_each=False), scratch), "components")
+    cand = scratch.cut(_candidates(reps, scratch), "buckets")
+    stars = scratch.cut(_star_places(cand, scratch), "stars")
+    links = block_links(docs, stars, size, percent, one_each=False)
+    shared = _id_links(named, reps, scratch)
+    comps = scratch.cut(components(links if shared is None else links.unionByName(shared).distinct(), scratch), "components")
     rest = scratch.cut(_rest_places(cand, comps, scratch), "places")
     more = scratch.cut(block_links(docs, rest, size, percent, one_each=True), "links")
     if not more.isEmpty():
@@ -298,16 +313,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def deduplicate(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of *docs*, all columns, of which one for each component stays: that of the least doc_id.
 
-    Rows without doc_id stay; of several rows with one doc_id that stays, one does.
+    Rows without doc_id stay; of several rows with one doc_id that stays, one does. Columns of *docs* may have any names.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.cut(near_duplicates(docs, size, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), "kept"), "kept")
-    gone = found.where("NOT kept").select("__id").distinct()
-    left = docs.join(_small(gone), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    twice = scratch.cut(found.where("kept").groupBy("__id").count().where("count > 1").select("__id"), "twice")
+    (key,) = unused(docs, "near_id")
+    found = scratch.cut(near_duplicates(docs, size, percent).where("doc_id IS NOT NULL").select(F.col("doc_id").alias(key), F.col("kept").alias(f"{key}_kept")), "kept")
+    gone = found.where(f"NOT {key}_kept").select(key).distinct()
+    same = F.col("doc_id").cast("long") == F.col(key)
+    left = docs.join(_small(gone), same, "left_anti")
+    twice = scratch.cut(found.where(f"{key}_kept").groupBy(key).count().where("count > 1").select(key), "twice")
     if twice.isEmpty():
         return left
-    same = F.col("doc_id").cast("long") == F.col("__id")
     return left.join(_small(twice), same, "left_anti").unionByName(left.join(_small(twice), same, "left_semi").dropDuplicates(["doc_id"]))
 
 
