@@ -6,10 +6,11 @@ state after a character is the Aho-Corasick node (longest suffix that is a prefi
 position still inside that suffix, the token that ended there and its count relative to the present one. Each
 transition is annotated with the change in the number of emitted tokens. States are built when first met and kept.
 
-A word mark after another character always leads to one state, since no piece holds a mark after a letter. A
-chunk of text therefore acts on *any* state through a short description (its *state map*): the head up to the
-first such mark, the count of what lies between the first and the last one, and the tail from the last one.
-State maps compose associatively, so long texts are cut into chunks and scanned in parallel prefix fashion.
+A word mark after another character leads to one state whatever went before, since no piece holds a mark after a
+letter; so does a character outside the vocabulary. A chunk of text therefore acts on any state through a short *state
+map*: the head up to the first such reset, whose tokens depend on the state it is entered in, then a fixed count and
+the fixed state that the chunk ends in. State maps compose associatively: the right one's head is walked from the
+left one's end state, so no character is walked twice however long the text is.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import bounded_batches
+from lexforge.llm.common import Columns, Recent, map_columns
 from lexforge.session import table
 
 MARK = "▁"
@@ -31,22 +31,43 @@ MARK = "▁"
 LIMIT = 4096
 #: Code points of a chunk, whose state maps are composed.
 CHUNK = 1 << 16
-#: States a worker keeps before it starts to build them anew.
-KEPT_STATES = 300_000
-#: Segments whose counts a worker keeps; others are walked again.
-KEPT_SEGMENTS = 300_000
+#: States that a worker shares between texts, and words whose counts it keeps (twice as many at most).
+KEPT_STATES, KEPT_WORDS = 600_000, 400_000
 
-_RESET = re.compile(f"(?<=[^{MARK}]){MARK}")
-_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
+_SEGMENT, _WORD_START = re.compile(f"{MARK}+[^{MARK}]*"), re.compile(f"(?<=[^{MARK}]){MARK}")
+
+
+class State:
+    """A state of the transducer: suffix, for each of its positions the token that ended there and its count relative
+    to the last, and the transitions built so far, each to a state and a number of tokens."""
+
+    __slots__ = ("suffix", "ends", "next")
+
+    def __init__(self, suffix: str, ends: tuple[tuple[str, int], ...]):
+        self.suffix, self.ends, self.next = suffix, ends, {}
 
 
 @dataclass(frozen=True, slots=True)
 class StateMap:
-    """What a chunk does to the transducer. Without an inner reset all of its text is *head*."""
+    """What a chunk does to the transducer. Without an inner reset all of its text is *head* and there is no end state."""
 
     head: str
     count: int
-    tail: str | None
+    end: State | None
+
+
+def _check_rules(model_file: str) -> None:
+    """Raise unless the model leaves texts as they are but for a mark in front and marks for spaces."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(model_file, "rb") as f:
+        model.ParseFromString(f.read())
+    n, t = model.normalizer_spec, model.trainer_spec
+    if n.precompiled_charsmap or not n.add_dummy_prefix or n.remove_extra_whitespaces or not n.escape_whitespaces:
+        raise ValueError("the model normalises texts; its transducer would need those rules too")
+    if t.model_type != t.BPE or not t.byte_fallback or t.treat_whitespace_as_suffix:
+        raise ValueError("the model does not encode by ranked merges with bytes for what it does not know")
 
 
 class Transducer:
@@ -55,6 +76,7 @@ class Transducer:
     def __init__(self, model_file: str):
         import sentencepiece
 
+        _check_rules(model_file)
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.rank: dict[str, float] = {}
         for i in range(model.vocab_size()):
@@ -67,8 +89,12 @@ class Transducer:
         self.prefixes = {p[:i] for p in self.rank for i in range(1, len(p) + 1)}
         self._joins: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
-        self.counts: dict[str, int] = {}
-        self._forget()
+        self.counts = Recent(self._count, KEPT_WORDS)
+        self._states: dict[tuple, State] = {}
+        self.start = State("", (("", 0),))
+        known = "".join(sorted(c for c in self.rank if len(c) == 1 and c != MARK))
+        #: A reset: a mark after another character, or a character outside the vocabulary.
+        self._reset = re.compile(f"(?<=[^{MARK}]){MARK}|[^{MARK}{re.escape(known)}]")
 
     # -- the vocabulary's pair rule
 
@@ -99,28 +125,24 @@ class Transducer:
 
     # -- the automaton
 
-    def _forget(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._states: list[tuple] = []  # (suffix, for each of its positions: token that ended there, count relative to the last)
-        self._next: dict[tuple[int, str], tuple[int, int]] = {}
-        self.start = self._state("", (("", 0),))
-
-    def _state(self, suffix: str, ends: tuple[tuple[str, int], ...]) -> int:
-        found = self._ids.get((suffix, ends))
+    def _state(self, suffix: str, ends: tuple[tuple[str, int], ...]) -> State:
+        found = self._states.get((suffix, ends))
         if found is None:
-            found = self._ids[suffix, ends] = len(self._states)
-            self._states.append((suffix, ends))
+            if len(self._states) >= KEPT_STATES:  # states in use stay whole; they are only no longer shared
+                self._states = {}
+                self.start.next.clear()
+            found = self._states[suffix, ends] = State(suffix, ends)
         return found
 
-    def step(self, state: int, char: str) -> tuple[int, int]:
+    def step(self, state: State, char: str) -> tuple[State, int]:
         """The next state and the change in the count of tokens on reading *char*."""
-        found = self._next.get((state, char))
+        found = state.next.get(char)
         if found is None:
-            found = self._next[state, char] = self._build(state, char)
+            found = state.next[char] = self._build(state, char)
         return found
 
-    def _build(self, state: int, char: str) -> tuple[int, int]:
-        suffix, ends = self._states[state]
+    def _build(self, state: State, char: str) -> tuple[State, int]:
+        suffix, ends = state.suffix, state.ends
         if char not in self.rank:
             # Not in the vocabulary: one token per byte, which nothing merges with.
             return self.start, len(char.encode("utf-8", "surrogatepass"))
@@ -141,77 +163,71 @@ class Transducer:
         kept = [(t, n - delta) if text[keep + i :] in self.prefixes else ("", 0) for i, (t, n) in enumerate(ends[keep:])]
         return self._state(text[keep:], (*kept, (text[at:], 0))), delta
 
-    def walk(self, segment: str) -> int:
-        """Tokens of a text from the start state."""
-        if len(self._states) > KEPT_STATES:
-            self._forget()
-        state, total = self.start, 0
-        known = self._next
-        for char in segment:
-            found = known.get((state, char))
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        """The state after *text* and the tokens that it adds."""
+        total = 0
+        for char in text:
+            found = state.next.get(char)
             state, delta = found if found is not None else self.step(state, char)
             total += delta
-        return total
+        return state, total
 
     # -- state maps of chunks
 
     def map_of(self, chunk: str) -> StateMap:
-        """The state map of a non-empty chunk that may start anywhere in a text."""
-        first = _RESET.search(chunk)
+        """The state map of a chunk that may start anywhere in a text."""
+        first = self._reset.search(chunk)
         if not first:
             return StateMap(chunk, 0, None)
+        head, at, count = chunk[: first.start()], first.start(), 0
+        if chunk[at] != MARK:
+            word = _WORD_START.search(chunk, at)
+            if not word:
+                end, count = self.walk(self.start, chunk[at:])
+                return StateMap(head, count, end)
+            count = self.walk(self.start, chunk[at : word.start()])[1]
+            at = word.start()
+        # Of all words but the last only the counts matter; the last one's state is what the chunk ends in.
         last = len(chunk)
-        while (last := chunk.rfind(MARK, 0, last)) > 0 and chunk[last - 1] == MARK:
+        while (last := chunk.rfind(MARK, at, last)) > at and chunk[last - 1] == MARK:
             pass
-        return StateMap(chunk[: first.start()], self.total(chunk[first.start() : last]), chunk[last:])
+        end, tail = self.walk(self.start, chunk[last:])
+        return StateMap(head, count + self.total(chunk[at:last]) + tail, end)
 
     def total(self, text: str) -> int:
-        """Tokens of a text that begins at a reset (or is empty) and ends before one."""
+        """Tokens of a text that begins with a mark (or is empty), from the start state."""
         if MARK * 2 in text:
-            return sum(map(self.segment, _SEGMENT.findall(text)))
-        if not text:
-            return 0
-        words = text.split(MARK)
-        words[0] = MARK  # stands for nothing: taken off again below
-        found = list(map(self.counts.get, words))
-        if None in found:
-            found = [self.segment(w) if n is None else n for w, n in zip(words, found, strict=True)]
-        return sum(found) - found[0]
-
-    def segment(self, word: str) -> int:
-        """Tokens of a text between two resets; one leading mark may be left out."""
-        found = self.counts.get(word)
-        if found is None:
-            found = self.walk(word if word.startswith(MARK) else MARK + word)
-            if len(word) < 64 and len(self.counts) < KEPT_SEGMENTS:
-                self.counts[word] = found
-        return found
+            return sum(self.counts.all(_SEGMENT.findall(text)))
+        return sum(self.counts.all(text.split(MARK)[1:]))
+
+    def _count(self, word: str) -> int:
+        """Tokens of one word from the start state; one leading mark may be left out."""
+        return self.walk(self.start, word if word.startswith(MARK) else MARK + word)[1]
 
     def compose(self, left: StateMap, right: StateMap) -> StateMap:
         """The state map of two neighbouring chunks; associative."""
-        seam = self.map_of((left.head if left.tail is None else left.tail) + right.head)
-        if left.tail is None:
-            if right.tail is None:
-                return seam
-            ended = 0 if seam.tail is None else seam.count + self.segment(seam.tail)
-            return StateMap(seam.head, ended + right.count, right.tail)
-        if right.tail is None:
-            if seam.tail is None:
-                return StateMap(left.head, left.count, seam.head)
-            return StateMap(left.head, left.count + self.segment(seam.head) + seam.count, seam.tail)
-        ended = self.segment(seam.head) + (0 if seam.tail is None else seam.count + self.segment(seam.tail))
-        return StateMap(left.head, left.count + ended + right.count, right.tail)
+        if left.end is None:
+            seam = self._reset.search(left.head + right.head, max(0, len(left.head) - 1))
+            if seam:  # the first chunk's last letter and the next one's mark make a reset
+                whole, at = left.head + right.head, seam.start()
+                end, count = self.walk(self.start, whole[at:])
+                left, right = StateMap(whole[:at], count, end), StateMap("", right.count, right.end)
+            else:
+                return StateMap(left.head + right.head, right.count, right.end)
+        end, count = self.walk(left.end, right.head)
+        return StateMap(left.head, left.count + count + right.count, end if right.end is None else right.end)
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text: the composed state map of its chunks, applied to the start state."""
         if not text:
             return 0
         marked = MARK + text.replace(" ", MARK)
+        if len(marked) <= chunk:
+            return self.total(marked)  # one chunk, entered in the start state
         maps = [self.map_of(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]
         while len(maps) > 1:  # a balanced tree: the shape of a parallel scan
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        whole = maps[0]
-        return self.segment(whole.head) + whole.count + (0 if whole.tail is None else self.segment(whole.tail))
+        return self.walk(self.start, maps[0].head)[1] + maps[0].count
 
 
 _compiled: dict[str, Transducer] = {}
@@ -235,19 +251,20 @@ def _resolve(model: str) -> str:
 def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit and n_chunks of every row's whole text.
 
-    A null text counts as an empty one (no tokens); a null doc_id and repeated rows are kept as they are; other
-    columns are ignored. *model* is a file of the public tokenizers, or a path. No shuffle takes place.
+    A null text counts as an empty one (no tokens); very long texts are cut into chunks whose maps are composed; null
+    and repeated ids and repeated rows are kept as they are, an empty table gives no rows, and other columns are
+    ignored whatever their names. *model* is a file of the public tokenizers, or a path. No shuffle takes place.
     """
-    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         count = transducer(_resolve(model)).count
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "n_tokens": [count(t) for t in batch["text"]], "n_chunks": [-(-(len(t) + 1) // CHUNK) if t else 0 for t in batch["text"]]})
+            texts = batch.pop("text")
+            yield batch | {"n_tokens": list(map(count, texts)), "n_chunks": [-(-(len(t) + 1) // CHUNK) if t else 0 for t in texts]}
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    found = rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, n_chunks long")
+    found = map_columns(rows, run, "doc_id long, n_bytes long, n_tokens long, n_chunks long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks")
 
 
