@@ -5,11 +5,14 @@ the shard's words, a wavelet matrix that answers rank queries on it, and a sampl
 the benchmark are searched backward in the index at once; the occurrences are located by walking to the nearest
 sampled position, and overlapping ones are merged into removal spans. Words outside the benchmark cannot take part in
 an occurrence, so they are left out of the index along with runs too short for any window; nothing is lost by it.
+
+A large benchmark is searched in parts of bounded size, one after the other: each pass adds its spans to those that
+the rows bring along, so neither the driver nor a task ever holds more than a part.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import bounded_batches
+from lexforge.llm.common import Columns, bounded_batches, map_columns
 from lexforge.session import table
 
 #: Consecutive words of a window; an item of fewer is one window.
@@ -29,8 +32,8 @@ WINDOW = 13
 SHARE = 20
 #: Words of a shard, and the distance of sampled suffix positions.
 SHARD_WORDS, SAMPLE = 1 << 21, 8
-#: The benchmark is sent to every task; it may not be larger than this.
-MOST_BENCHMARK_BYTES = 64 << 20
+#: A part of the benchmark that is sent to the tasks at once has about so many bytes of text.
+PART_BYTES = 4 << 20
 
 _KEEP = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: A-Z in lower case, bytes that are not of words as spaces.
@@ -137,25 +140,39 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The benchmark's distinct windows as symbols, with the items that hold each."""
+    """Distinct windows of a part of the benchmark as symbols, with the items that hold each."""
 
     vocabulary: dict[bytes, int]
     windows: dict[int, np.ndarray]  # by length
-    items: dict[int, list[tuple[str, ...]]]
-    shortest: int
+    holders: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: where a window's items begin in a list of items
+    names: list[str]
+
+    @property
+    def shortest(self) -> int:
+        return min(self.windows, default=0)
+
+    def items(self, size: int, window: int) -> list[str]:
+        first, listed = self.holders[size]
+        return [self.names[i] for i in listed[first[window] : first[window + 1]].tolist()]
 
     @classmethod
     def of(cls, items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
         vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str, int] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            symbols = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-            if item is not None and symbols:
-                for i in range(max(1, len(symbols) - window + 1)):
-                    found.setdefault(tuple(symbols[i : i + window]), set()).add(str(item))
-        lengths = sorted({len(w) for w in found})
-        by_length = {n: [w for w in found if len(w) == n] for n in lengths}
-        return cls(vocabulary, {n: np.array(ws, dtype=np.int32) for n, ws in by_length.items()}, {n: [tuple(sorted(found[w])) for w in ws] for n, ws in by_length.items()}, min(lengths, default=0))
+            symbols = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], dtype=np.int32)
+            if item is not None and len(symbols):
+                rows = np.lib.stride_tricks.sliding_window_view(symbols, min(window, len(symbols)))
+                owner = np.full(len(rows), names.setdefault(str(item), len(names)), dtype=np.int32)
+                found.setdefault(rows.shape[1], []).append((rows, owner))
+        windows, holders = {}, {}
+        for size, parts in found.items():
+            rows, owners = (np.concatenate(p) for p in zip(*parts, strict=True))
+            windows[size], which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.column_stack([which.ravel(), owners]), axis=0)
+            holders[size] = (np.searchsorted(pairs[:, 0], np.arange(len(windows[size]) + 1)), pairs[:, 1])
+        return cls(vocabulary, windows, holders, list(names))
 
 
 def search_shard(lists: list[list[bytes]], phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
@@ -198,7 +215,7 @@ def search_shard(lists: list[list[bytes]], phrases: Phrases) -> tuple[list[list[
         np.add.at(cover, at + size, -1)
         pairs = np.unique(np.column_stack([np.searchsorted(starts, at, side="right") - 1, which]), axis=0)
         for doc, window in pairs.tolist():
-            items[doc].update(phrases.items[size][window])
+            items[doc].update(phrases.items(size, window))
     edges = np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
         doc = int(np.searchsorted(starts, a, side="right")) - 1
@@ -206,73 +223,120 @@ def search_shard(lists: list[list[bytes]], phrases: Phrases) -> tuple[list[list[
     return spans, items
 
 
-def _places(text: str, spans: list[tuple[int, int]]) -> list[dict]:
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and adjoining spans as one, in order."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return [(a, b) for a, b in merged]
+
+
+def _search(lists: list[list[bytes]], phrases: Phrases, window: int, shard_words: int) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+    """As :func:`search_shard`; a document longer than a shard is searched in pieces that overlap by a window less a word."""
+    if len(lists) > 1 or not lists or len(lists[0]) <= shard_words + window:
+        return search_shard(lists, phrases)
+    spans, items = [], set()
+    for start in range(0, len(lists[0]), shard_words):
+        (found,), (who,) = search_shard([lists[0][start : start + shard_words + window - 1]], phrases)
+        spans += [(a + start, b + start) for a, b in found]
+        items |= who
+    return [_union(spans)], [items]
+
+
+def _places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word spans as code points of the text."""
     if not spans:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    words = [(m.start(), m.end()) for m in _WORD.finditer(raw)]
-    count = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
-    return [{"start": count(words[a][0]), "end": count(words[b - 1][1])} for a, b in spans]
+    words = [m.span() for m in _WORD.finditer(raw)]
+    # Code points before each byte: bytes that do not continue a character.
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
+    return [(int(before[words[a][0]]), int(before[words[b - 1][1]])) for a, b in spans]
+
+
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark's items, in parts of about *part_bytes* of text by a hash of the id; only one is held at a time."""
+    rows = benchmark.where(F.col("item_id").isNotNull() & (F.octet_length("text") > 0)).select("item_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    count = max(1, -(-size // part_bytes))
+    for part in range(count):
+        yield [(r[0], r[1]) for r in (rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == part) if count > 1 else rows).collect()]
 
 
-def collect_items(benchmark: DataFrame) -> list[tuple[object, str | None]]:
-    """The benchmark's items, after a check of their size."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; search it in parts of at most {MOST_BENCHMARK_BYTES}")
-    return [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]
+_SPANS = "array<struct<start:long,end:long>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, shard_words: int = SHARD_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids, spans (code points, merged) and contaminated of every row's whole text.
 
     A null or empty text has no words and is clean; so is all if the benchmark is empty. Items without an id are
-    ignored, items with equal ids are one. Repeated rows are judged each; other columns are ignored. No shuffle.
+    ignored, items with equal ids are one. Repeated rows and ids are judged row by row, null ids stay null, texts longer
+    than a shard are searched in overlapping pieces, and other columns are ignored whatever their names. No shuffle.
     """
-    bounded_batches(docs.sparkSession)
-    phrases = Phrases.of(collect_items(benchmark), window)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = rows.select("*", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("hits"))
+    parts = benchmark_parts(benchmark, part_bytes)
+    items = next(parts)
+    for following in parts:
+        rows = map_columns(rows, _pass(Phrases.of(items, window), window, shard_words, last=False), f"doc_id long, text string, item_ids array<string>, hits {_SPANS}")
+        items = following
+    found = map_columns(rows, _pass(Phrases.of(items, window), window, shard_words, last=True), f"doc_id long, n_words long, n_hit long, item_ids array<string>, spans {_SPANS}")
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list = []
-        texts: list[str] = []
+def _pass(phrases: Phrases, window: int, shard_words: int, last: bool):
+    """A pass over rows that adds the item_ids and hits (word spans) of *phrases* to those they have.
+
+    The last one gives no texts, but the number of words and of words hit, and the spans as code points.
+    """
+
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        held: list[tuple] = []
         lists: list[list[bytes]] = []
-        held = 0
-
-        def flush() -> pd.DataFrame:
-            spans, items = search_shard(lists, phrases)
-            out = pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if i != i else i for i in ids], dtype="Int64"),
-                    "n_words": [len(ws) for ws in lists],
-                    "n_hit": [sum(b - a for a, b in s) for s in spans],
-                    "item_ids": [sorted(i) for i in items],
-                    "spans": [_places(t, s) for t, s in zip(texts, spans, strict=True)],
-                }
-            )
-            ids.clear(), texts.clear(), lists.clear()
+        size = 0
+
+        def flush() -> Columns:
+            spans, items = _search(lists, phrases, window, shard_words)
+            spans = [_union([*((h["start"], h["end"]) for h in row[3]), *s]) if row[3] else s for row, s in zip(held, spans, strict=True)]
+            out: Columns = {"doc_id": [row[0] for row in held], "item_ids": [sorted({*row[2], *i}) for row, i in zip(held, items, strict=True)]}
+            as_rows = lambda found: [{"start": a, "end": b} for a, b in found]
+            if last:
+                out |= {"n_words": list(map(len, lists)), "n_hit": [sum(b - a for a, b in s) for s in spans]}
+                out["spans"] = [as_rows(_places(row[1], s)) for row, s in zip(held, spans, strict=True)]
+            else:
+                out |= {"text": [row[1] for row in held], "hits": list(map(as_rows, spans))}
+            held.clear(), lists.clear()
             return out
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids.append(doc_id)
-                texts.append(text)
-                lists.append(words_of(text))
-                held += len(lists[-1])
-                if held >= shard_words:
+        for b in batches:
+            for row in zip(b["doc_id"], b["text"], b["item_ids"], b["hits"], strict=True):
+                words = words_of(row[1])
+                if lists and size + len(words) > shard_words:
                     yield flush()
-                    held = 0
+                    size = 0
+                held.append(row), lists.append(words)
+                size += len(words)
         yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = rows.mapInPandas(run, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>")
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+    return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of *docs* that are not contaminated, all columns. Each batch of rows is a shard; only texts reach Python."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of *docs* that are not contaminated, all columns.
+
+    With a benchmark of one part each batch of rows is a shard and only texts reach Python. One of several parts is
+    judged by :func:`contamination` for the distinct texts, since a document's words may be hit by items of all parts.
+    """
+    parts = list(itertools.islice(benchmark_parts(benchmark, part_bytes), 2))
+    if len(parts) > 1:
+        texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+        bad = contamination(texts, benchmark, window, share, part_bytes=part_bytes).where("contaminated").select(F.col("doc_id").alias("__hash")).distinct()
+        return docs.join(bad, F.xxhash64("text") == F.col("__hash"), "left_anti")
+    phrases = Phrases.of(parts[0], window)
     bounded_batches(docs.sparkSession)
-    phrases = Phrases.of(collect_items(benchmark), window)
 
     @F.pandas_udf("boolean")
     def contaminated(texts: pd.Series) -> pd.Series:
