@@ -1,10 +1,11 @@
 """Operator 1: document quality by co-training.
 
 Two classifiers see disjoint views of a document: its text (shares of character classes, repetition, word and line
-shapes) and its metadata (source, language, declared length). Both start from the labelled rows; over several rounds
-each one labels the unlabelled rows it is surest of and hands them to the other. The views are then calibrated on
-labelled rows that neither was fitted on, combined by a logistic regression of the calibrated log odds, and all
-documents are scored.
+shapes; which words they are is left out, so that clean texts with words of their own are not rejected for them) and its
+metadata (source, language, declared length). Both start from the labelled rows; over several rounds each one labels the unlabelled rows it is surest of and hands them to the
+other; rows on which the two disagree are handed to neither. The views are then calibrated on labelled rows that
+neither was fitted on, and combined under the assumption that co-training makes, that views are independent given the
+label: their calibrated log odds add up, less the log odds that both start from. All documents are scored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import bounded_batches
+from lexforge.llm.common import Columns, bounded_batches, map_columns
 from lexforge.session import Scratch, table
 
 #: Labelled rows that the classifiers are fitted on, at most (those with the smallest hash of their id), and unlabelled
@@ -70,6 +71,7 @@ def text_view(text: str) -> list[float]:
     ]
 
 
+
 def meta_view(source: str | None, lang: str | None, n_chars: float | None) -> list[float]:
     """Features of what is known about the document beside its text."""
     known = n_chars is not None and n_chars == n_chars and n_chars >= 0
@@ -110,11 +112,11 @@ class Logistic:
 
 @dataclass
 class CoTrained:
-    """Both views, their calibration and combination; without labels of both kinds there are none and all scores are 0.5."""
+    """Both views, their calibration and the log odds of good quality; without labels of both kinds all scores are 0.5."""
 
     views: tuple[Logistic, Logistic] | None
     calibration: tuple[Logistic, Logistic] | None = None
-    combination: Logistic | None = None
+    prior: float = 0.0
     rounds: tuple[int, ...] = ()
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ class CoTrained:
             half = np.full(len(text), 0.5)
             return half, half, half
         logits = [c.logit(v.logit(x)[:, None]) for v, c, x in zip(self.views, self.calibration, (text, meta), strict=True)]
-        both = self.combination.logit(np.column_stack(logits))
+        both = np.clip(sum(logits) - self.prior, -30, 30)
         return tuple(1 / (1 + np.exp(-v)) for v in (*logits, both))
 
 
@@ -131,13 +133,14 @@ def co_train(labelled: list[tuple[list[float], list[float], int]], surest: Calla
     """Fit on (text view, metadata view, label) rows and on what *surest* takes from the unlabelled rows (see :class:`Pool`)."""
     y = np.array([r[2] for r in labelled], dtype=float)
     held = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
-    if any(len(set(y[part])) < 2 for part in (held, ~held)):
+    fitted = ~held
+    if any(len(set(y[part])) < 2 for part in (held, fitted)):
         return CoTrained(None)
     x = [np.array([r[v] for r in labelled]) for v in (0, 1)]
-    train = [(x[v][~held], y[~held]) for v in (0, 1)]
+    train = [(x[v][fitted], y[fitted]) for v in (0, 1)]
     rounds, views = [], [Logistic.fit(*t) for t in train]
     for _ in range(ROUNDS):
-        handed = surest(views, float(y.mean()))
+        handed = surest(views, float(y[fitted].mean()))
         for v, (*free, labels) in ((1, handed[0]), (0, handed[1])):
             if len(labels):
                 train[v] = (np.concatenate([train[v][0], free[v]]), np.concatenate([train[v][1], labels]))
@@ -145,20 +148,18 @@ def co_train(labelled: list[tuple[list[float], list[float], int]], surest: Calla
         if not rounds[-1]:
             break
         views = [Logistic.fit(*t) for t in train]
-    logits = [views[v].logit(x[v][held])[:, None] for v in (0, 1)]
-    calibration = [Logistic.fit(z, y[held]) for z in logits]
-    both = np.column_stack([c.logit(z) for c, z in zip(calibration, logits, strict=True)])
-    combination = Logistic.fit(both, y[held])
-    combination.weights[:-1] = np.maximum(combination.weights[:-1], 0)  # a view that says nothing gets no say
-    return CoTrained(tuple(views), tuple(calibration), combination, tuple(rounds))
+    calibration = [Logistic.fit(views[v].logit(x[v][held])[:, None], y[held]) for v in (0, 1)]
+    prior = float(np.log(y[held].mean() / (1 - y[held].mean())))
+    return CoTrained(tuple(views), tuple(calibration), prior, tuple(rounds))
 
 
-_FEATURES = "id long, row long, text_view array<double>, meta_view array<double>"
+_FEATURES = "id long, row long, text_view array<float>, meta_view array<float>"
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[Columns]) -> Iterator[Columns]:
     for b in batches:
-        yield pd.DataFrame({"id": b["id"], "row": b["row"], "text_view": [text_view(t) for t in b["text"]], "meta_view": [meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)]})
+        meta = [meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)]
+        yield {"id": b["id"], "row": b["row"], "text_view": list(map(text_view, b["text"])), "meta_view": meta}
 
 
 class Pool:
@@ -173,24 +174,28 @@ class Pool:
         """For each view the (text view, metadata view, label) of the waiting rows that it is surest of."""
         # As many of either label as its share among the labelled rows allows, the surest first.
         limits = {1: int(self.most * share), 0: math.ceil(self.most * (1 - share))}
-        gone = np.fromiter(self.gone, dtype=np.int64)
+        gone = self.gone
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: dict[tuple[int, int], pd.DataFrame] = {}
+        def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+            kept: dict[tuple[int, int], list[tuple]] = {(v, label): [] for v in (0, 1) for label in (1, 0)}
             for b in batches:
-                b = b[~b["row"].isin(gone)]
-                if not len(b):
+                rows = [r for r in zip(b["row"], b["text_view"], b["meta_view"], strict=True) if r[0] not in gone]
+                if not rows:
                     continue
-                for v, name in enumerate(("text_view", "meta_view")):
-                    p = 1 / (1 + np.exp(-views[v].logit(np.array(b[name].tolist()))))
-                    for label, sure in ((1, p), (0, 1 - p)):
-                        found = b.assign(view=v, label=label, sure=sure)[sure >= SURE]
-                        both = pd.concat([kept[v, label], found]) if (v, label) in kept else found
-                        kept[v, label] = both.sort_values(["sure", "row"], ascending=[False, True]).head(limits[label])
-            yield from kept.values()
-
-        schema = f"{_FEATURES}, view int, label int, sure double"
-        top = self.scratch.cut(self.features.mapInPandas(run, schema), "surest")
+                p = [1 / (1 + np.exp(-views[v].logit(np.array([r[v + 1] for r in rows])))) for v in (0, 1)]
+                for (v, label), best in kept.items():
+                    sure, other = (q if label else 1 - q for q in (p[v], p[1 - v]))
+                    # A row of which the other view is sure that it has the other label is nobody's.
+                    at = np.flatnonzero((sure >= SURE) & (other > 1 - SURE))
+                    best += [(-sure[i], *rows[i]) for i in at.tolist()]
+                    best.sort(key=lambda r: r[:2])
+                    del best[limits[label] :]
+            for (v, label), best in kept.items():
+                n = len(best)
+                yield {"row": [r[1] for r in best], "text_view": [r[2] for r in best], "meta_view": [r[3] for r in best], "view": [v] * n, "label": [label] * n, "sure": [-r[0] for r in best]}
+
+        schema = "row long, text_view array<float>, meta_view array<float>, view int, label int, sure double"
+        top = self.scratch.cut(map_columns(self.features.drop("id"), run, schema), "surest")
         handed = []
         for v in (0, 1):
             # Each task has given limits[label] rows at most, and the sort keeps as many of a partition.
@@ -209,18 +214,17 @@ def _viewed(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
     """Co-train on a bounded sample of the labelled rows and on all unlabelled ones; only features reach the driver.
 
-    *pool_rows* bounds the number of rows that are handed over, not the rows that they are chosen from.
+    *pool_rows* bounds the number of rows that are handed over, not the rows that they are chosen from. Of several
+    labels of one id, or several rows, the least counts, so at most *fit_rows* rows are collected.
     """
-    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
-    order = [F.xxhash64("id", F.lit(11)), F.col("id")]
-    some = F.broadcast(known.orderBy(*order, "label").limit(fit_rows))  # fit_rows rows at most
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.col("quality").cast("int")).alias("label"))
+    some = F.broadcast(known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(fit_rows))  # fit_rows rows at most
     viewed = _viewed(docs).withColumn("row", F.xxhash64("id", "text", "source", "lang", "n_chars"))
-    features = scratch.cut(viewed.mapInPandas(_features, _FEATURES), "features")
-    rows = features.join(some, "id").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], r["text_view"]))
-    labelled = [(r["text_view"], r["meta_view"], r["label"]) for r in rows]
+    features = scratch.cut(map_columns(viewed, _features, _FEATURES), "features")
+    rows = features.join(some, "id").groupBy("id", "label").agg(F.min(F.struct("row", "text_view", "meta_view")).alias("r")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    labelled = [(r["r"]["text_view"], r["r"]["meta_view"], r["label"]) for r in rows]
     rest = scratch.cut(features.join(known.select("id"), "id", "left_anti"), "pool")
     scratch.drop(features)
     model = co_train(labelled, Pool(rest, scratch, pool_rows).surest)
@@ -229,23 +233,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows:
 
 
 def score_quality(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
-    """doc_id, text_score, meta_score, score (probability of good quality) and keep of every row.
+    """doc_id, text_score, meta_score, score (probability of good quality) and keep of every row, from its whole text.
 
-    Null texts are scored as empty, null or absent metadata as values of their own. Repeated rows are scored each.
-    Without a model all scores are 0.5 and all rows are kept (the limit is below it, so short plain texts stay). No shuffle takes place.
+    Null texts are scored as empty, null or absent metadata as values of their own. Repeated rows and ids are scored row
+    by row, equal rows alike; null ids stay null; an empty table gives no rows; columns beyond doc_id, text, source, lang
+    and n_chars are ignored whatever their names. Without a model all scores are 0.5 and all rows are kept (the limit is
+    below it, so short plain texts stay). No shuffle takes place.
     """
-    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for b in batches:
-            if not len(b):
-                continue
-            text = np.array([text_view(t) for t in b["text"]])
-            meta = np.array([meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)])
-            by_text, by_meta, both = model.score(text, meta)
-            yield pd.DataFrame({"doc_id": b["id"], "text_score": by_text, "meta_score": by_meta, "score": both})
-
-    found = _viewed(docs).mapInPandas(run, "doc_id long, text_score double, meta_score double, score double")
+            if b["id"]:
+                text = np.array(list(map(text_view, b["text"])))
+                meta = np.array([meta_view(*r) for r in zip(b["source"], b["lang"], b["n_chars"], strict=True)])
+                by_text, by_meta, both = model.score(text, meta)
+                yield {"doc_id": b["id"], "text_score": by_text, "meta_score": by_meta, "score": both}
+
+    found = map_columns(_viewed(docs), run, "doc_id long, text_score double, meta_score double, score double")
     return found.withColumn("keep", F.col("score") >= keep)
 
 
