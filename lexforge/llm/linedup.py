@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm.common import unused
 from lexforge.session import Scratch, table
 
 #: A line on so many distinct sites is boilerplate.
@@ -26,8 +27,8 @@ def numbered_lines(docs: DataFrame, site: str = "source") -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """h1, h2 and the first place (doc_id, pos) of the lines that *min_sites* distinct sites or more show."""
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
+    """h1, h2 and the first place (doc_id, body, pos) of the lines that *min_sites* distinct sites or more show."""
+    first = F.min(F.struct("doc_id", "body", "pos")).alias("first")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), first)
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, ERRORS * 1.04 / 2 ** (LG_K / 2) * min_sites)
@@ -41,23 +42,27 @@ def boilerplate(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """All columns of *docs* with the text cleaned, and ``__n_lines`` and ``__n_removed``.
+    """All columns of *docs* with the text cleaned, and ``__n_lines`` and ``__n_removed`` (with more underscores before
+    them if *docs* has columns of these names, as all columns that are joined have).
 
     Lines are what newlines separate; blank ones are never removed. Rows without a site count for no site but are
-    cleaned. A null text stays null (no lines), an empty one has one blank line. Rows with equal doc_id and text are
-    treated alike; null ids sort first, so the first occurrence of a line may lie in one. Ties cannot occur: a line's
-    first place is the least (doc_id, pos).
+    cleaned. A null text stays null (no lines), an empty one has one blank line; an empty table gives no rows. A line's
+    first place, which stays, is the least (doc_id, hash of the text, position); null ids sort first. Repeated rows
+    (equal doc_id and text) are one place and treated alike; of unlike texts with one doc_id one is first.
     """
     scratch = Scratch(docs.sparkSession)
+    n_lines, n_removed, doc, body, gone_name = unused(docs, "__n_lines", "__n_removed", "line_doc", "line_body", "line_gone")
     lines = numbered_lines(docs, site)
     found = scratch.cut(boilerplate(lines, scratch, min_sites), "boilerplate")
-    later = (~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) | (F.col("pos") != F.col("first.pos"))
+    later = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("body") != F.col("first.body")) | (F.col("pos") != F.col("first.pos"))
     gone = lines.join(found, ["h1", "h2"]).where(later).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("body").alias("__body"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__body")), "left")
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("body").alias(body), F.col("gone").alias(gone_name))
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(body)), "left")
     split = F.split("text", "\n")
-    kept = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias("__n_lines"), F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("__n_removed")]
+    # The places that stay are a difference of sets, which takes one step for each line.
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone_name))
+    kept = F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n"))
+    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.when(F.col(gone_name).isNotNull(), F.size(gone_name)), F.lit(0)).cast("long").alias(n_removed)]
     return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns], *counts)
 
 
