@@ -19,10 +19,13 @@ AWKWARD = [(1, "The cat. The dog.", "en", "a", 17, "x"), (1, "The cat. The dog."
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
 
+SF = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def awkward(spark):
     df = spark.createDataFrame(AWKWARD, SCHEMA)
-    for name in ("kept", "id", "body", "n_tokens", "component_id", "key", "gone", "line", "path", "label"):
+    for name in ("kept", "id", "body", "n_tokens", "component_id", "key", "gone", "line", "path", "label", "__id", "near_id", "__doc", "__body", "__gone", "line_doc", "hash", "bucket", "bears"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 
@@ -36,6 +39,24 @@ def words(rng, n, vocabulary=400):
     return " ".join("".join("bcdfghjklm"[int(d)] for d in f"{rng.randrange(vocabulary):05d}") for _ in range(n))
 
 
+LARGE = 2**53 + 1
+
+
+def test_large_ids_beside_a_null_stay_as_they_are(spark):
+    """In every operator of which the rows pass through Python."""
+    from lexforge.llm.toxicity import Lexicon
+
+    rows = [(LARGE, "The cat sat on the mat.", "en", "a", 23), (None, "a dog", "en", "b", 5), (LARGE + 2, "One more text, and more.", "de", "a", 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    items = spark.createDataFrame([("i", "the cat")], "item_id string, text string")
+    untrained = quality.CoTrained(None)
+    found = [quality.score_quality(docs, untrained), tokencount.token_counts(docs), packing.pack(docs), sketch.edited_fingerprints(docs), sketch.fingerprints(docs)]
+    found += [toxicity.score_toxicity(docs, Lexicon({})), decontaminate.contamination(docs, items), neardup.near_duplicates(docs), linedup.remove_boilerplate(docs)]
+    for df in [*found, htmltext.extract(pages).withColumnRenamed("page_id", "doc_id")]:
+        assert {r.doc_id for r in df.collect()} == {LARGE, None, LARGE + 2}
+
+
 # -- 2: token counts
 
 
@@ -57,7 +78,15 @@ def test_state_maps_compose_in_any_order():
         left = own.compose(left, m)
     for m in reversed(maps[:-1]):
         right = own.compose(m, right)
-    assert left == right
+    assert left == right and own.walk(own.start, left.head)[1] + left.count == own.total("▁ab▁▁cd▁▁e▁fg")
+
+
+def test_a_text_without_spaces_is_walked_once(monkeypatch):
+    own, walked = tokencount.Transducer(public_tokenizers.path("piece_bpe_32k.model")), []
+    walk = own.walk
+    monkeypatch.setattr(own, "walk", lambda state, text: walked.append(len(text)) or walk(state, text))
+    text = "abcdefgh" * 1000
+    assert own.count(text, 50) == own.count(text, 10**6) and sum(walked) <= 2 * (len(text) + 1)
 
 
 def test_token_count_rows(awkward, empty):
@@ -96,6 +125,36 @@ def test_ids_equal_the_library(spark):
     for _ in range(500):
         text = "".join(rng.choice("ab THE 'ſ \n\té123Éñ🤖中文.,İΣσxyz's\xa0<|endoftext|>") for _ in range(rng.randrange(40)))
         assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert own.by_words and not packing.encoder("byte_bpe_50k.json").by_words
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder("byte_bpe_50k.json").encode("Two  words.") == np.array(other.encode("Two  words.").ids, dtype="<u4").tobytes()
+
+
+def test_whole_rows_equal_the_library(spark):
+    """doc_tokens, start, length and ids_crc32 of every piece, from the library's ids for the whole texts."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = [(i, t) for i, t in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4").tobytes() for i, t in docs}
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) and 4 * r.doc_tokens == len(ids[r.doc_id]) for r in rows)
+    assert sum(r.length for r in rows) == sum(len(b) // 4 for b in ids.values())
+
+
+def test_a_limit_on_loss_binds(spark):
+    """Turns of the assistant bear loss, others none; long ones are cut where the limit on loss is reached."""
+    rng = random.Random(12)
+    turns = [(i, words(rng, rng.randrange(1, 200), 10**6), i % 2 == 1) for i in range(300)]
+    rows = packing.pack(spark.createDataFrame(turns, "doc_id long, text string, own boolean"), tokens=256, loss=96, bears_loss=F.col("own")).collect()
+    used = {}
+    for r in rows:
+        n, k, loss = used.get(r.sequence_id, (0, 0, 0))
+        used[r.sequence_id] = (n + r.length, k + 1, loss + r.loss_tokens)
+    assert all(n <= 256 and k <= 64 and loss <= 96 for n, k, loss in used.values()) and max(u[2] for u in used.values()) == 96
+    assert all(r.loss_tokens == 0 for r in rows if r.doc_id % 2 == 0)
+    assert sum(r.loss_tokens for r in rows) == sum({r.doc_id: r.doc_tokens - 1 for r in rows if r.doc_id % 2}.values())
 
 
 def test_little_padding():
@@ -136,6 +195,28 @@ def test_main_text_of_marked_and_unmarked_pages():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<script>x</script>") == ""
 
 
+LONG = "The council met on Tuesday evening and talked for three hours about the new bridge over the river."
+MORE = "Nobody could say what it would cost, but everyone agreed that the old one would not last the winter."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<article><p class="market-share">{LONG}</p><p>{MORE}</p></article>', f"{LONG} {MORE}"),
+    (f'<article><div class="notice-of-appeal">{LONG}</div><p>{MORE}</p></article>', f"{LONG} {MORE}"),
+    (f'<div class="sidebar"><a href=x>a</a><article><p>{LONG}<p>{MORE}</article>', f"{LONG} {MORE}"),
+    (f'<div id=a><p>{LONG}</div><div><p>Yes.</div><div id=b><p>{MORE}</div><footer>f</footer>', f"{LONG} Yes. {MORE}"),
+    (f'<article><header class="post-header"><h1>Bridge</h1></header><p>{LONG}</article>', f"Bridge {LONG}"),
+    (f'<article><p>{LONG}</p><div class="ad-slot">Buy now.</div><p>{MORE}</p></article>', f"{LONG} {MORE}"),
+    (f'<main><h1>Bridge</h1><p>{LONG}</main><section class="comment-list"><article>{MORE}</article></section>', f"Bridge {LONG}"),
+    (f'<ul class="navMain"><li><a href=x>one</a></ul><p>{LONG}<br>{MORE}</p><div class="siteFooter">c</div>', f"{LONG} {MORE}"),
+    (f'<table><tr><td>{LONG}<td>{MORE}</table><form><p>{LONG}</form>', f"{LONG} {MORE}"),
+    (f'<div role="navigation">{MORE}</div><div><blockquote>{LONG}</blockquote></div><div hidden>{MORE}</div>', LONG),
+    (f'<article><p>{LONG}</p><div class=comments><p>{MORE}', LONG),
+    (f'<article>A &lt;b&gt; &#x41;&#233;&nbsp;x<script>if (a < b) c()</script><!-- {MORE} --><style>p {{}}</style> {LONG}</article>', f"A <b> A\u00e9 x {LONG}"),
+])
+def test_main_text_of_page_forms(page, want):
+    assert htmltext.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == want
+
+
 def test_main_text_rows(spark):
     rows = [(1, "u", "<p>one"), (None, None, None), (2, "u", "<<<&"), (1, "u", "<p>one")]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
@@ -145,14 +226,39 @@ def test_main_text_rows(spark):
 # -- 6: sketches
 
 
+def shingles_of(text, size=16):
+    return {text[i : i + size] for i in range(max(1, len(text) - size + 1))} if text else set()
+
+
 def test_sketches_estimate_containment():
     rng = random.Random(3)
     a, b = words(rng, 4000, 10**6), words(rng, 400, 10**6)
     s, t, both = sketch.sketch(a), sketch.sketch(b), sketch.sketch(f"{a} {b}")
     assert sketch.likeness(s, t) < 0.05 and sketch.likeness(t, both) > 0.9 and sketch.likeness(s, both) > 0.97
-    assert (sketch.decode(sketch.encode(s)) == s).all()
-    assert set(sketch.decode(sketch.merge(sketch.encode(s), sketch.encode(t)))) == set(s) | set(t)
-    assert sketch.encode(sketch.sketch("")) == "" and len(sketch.sketch("ab")) == 1
+    assert (sketch.decode(sketch.encode(s)).hashes == s.hashes).all() and sketch.decode(sketch.encode(s)).scale == s.scale
+    assert len(sketch.sketch("").hashes) == 0 and len(sketch.sketch("ab").hashes) == 1
+
+
+def test_merged_sketches_are_those_of_the_union():
+    """Short with short, short with long, long with long: at the smaller fraction of both, hash for hash."""
+    rng = random.Random(13)
+    long, other, short, brief = words(rng, 900, 10**6), words(rng, 300, 10**6), words(rng, 30, 10**6), words(rng, 9, 10**6)
+    for x, y in ((long, other), (long, short), (short, brief)):
+        merged = sketch.decode(sketch.merge(sketch.encode(sketch.sketch(x)), sketch.encode(sketch.sketch(y))))
+        every = sketch.shingle_hashes(x).tolist() + sketch.shingle_hashes(y).tolist()
+        assert merged.hashes.tolist() == sorted({h >> 16 for h in every if h < (1 << 64) // merged.scale})
+
+
+def test_likeness_is_near_the_true_containment():
+    """Of texts of all lengths to their edited texts: exact for short ones, a mean error below 0.05 for others."""
+    rng, errors = random.Random(14), {True: [], False: []}
+    texts = [words(rng, rng.randrange(5, 900), 10**6)[: rng.randrange(30, 6000)] for _ in range(300)]
+    for text, after in zip(texts, texts[1:], strict=False):
+        changed = sketch.edited(text, after)
+        a, b = shingles_of(text), shingles_of(changed)
+        error = abs(sketch.likeness(sketch.sketch(text), sketch.sketch(changed)) - len(a & b) / min(len(a), len(b)))
+        errors[max(len(text), len(changed)) - 15 <= sketch.SHORT].append(error)
+    assert max(errors[True]) == 0 and sum(errors[False]) / len(errors[False]) < 0.05 and min(map(len, errors.values())) > 20
 
 
 def test_next_documents(spark):
@@ -166,6 +272,18 @@ def test_next_documents(spark):
     assert len(got) == len(rows)
 
 
+def test_an_id_with_very_many_rows_is_cut(spark):
+    """Rows without an id, and those of one id, follow each other in one order across the ranges that they are cut into."""
+    rng = random.Random(15)
+    rows = [(None, words(rng, 8)) for _ in range(200)] + [(5, words(rng, 8)) for _ in range(200)] + [(i, words(rng, 8)) for i in range(100, 250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.edited_sha256) for r in sketch.edited_fingerprints(docs).collect())
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    assert got == Counter((r.doc_id, hashlib.sha256(sketch.edited(r.text, n.text).encode()).hexdigest()) for r, n in zip(order, order[1:] + order[:1], strict=True))
+    assert sketch.with_next(docs).where("doc_id IS NULL").select("bucket").distinct().count() > 1
+
+
 def test_sketch_awkward(awkward, empty):
     assert sketch.edited_fingerprints(awkward).count() == len(AWKWARD) and sketch.edited_fingerprints(empty).count() == 0
     one = sketch.edited_fingerprints(awkward.where("doc_id = 6")).first()
@@ -176,14 +294,40 @@ def test_sketch_awkward(awkward, empty):
 # -- 7: toxicity
 
 
-def test_toxicity_lexicon():
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "text string, toxic int")
+
+
+def test_toxicity_lexicon(spark):
     rng = random.Random(6)
     rows = [(words(rng, 60), 0) for _ in range(200)] + [(f"{words(rng, 30)} rotten {words(rng, 30)}", 1) for _ in range(40)] + [(f"{words(rng, 30)} vile {words(rng, 30)}", 1) for _ in range(40)]
-    lexicon = toxicity.learn(rows + [(f"{words(rng, 20)} rotten apples {words(rng, 20)}", 0) for _ in range(8)])
+    lexicon = toxicity.learn(labelled(spark, rows + [(f"{words(rng, 20)} rotten apples {words(rng, 20)}", 0) for _ in range(8)]))
     score = lambda t: lexicon.score(lexicon.density(toxicity.fold(t))[0])
     assert score("you r0tt3n thing") >= 0.7 and score("v​і​le") >= 0.7 and score("ｖｉｌｅ") >= 0.7
     assert score("rotten apples") < 0.7 and score(words(rng, 3)) < 0.3 and 0 <= score("") < 0.7
-    assert toxicity.learn([]).score(0.0) == 0.5
+    assert toxicity.learn(labelled(spark, [])).score(0.0) == 0.5
+
+
+def test_every_unlike_training_row_counts(spark):
+    """Texts that share some words are not taken for copies; equal ones count once."""
+    rng = random.Random(17)
+    rows = [(f"shared pair {words(rng, 20)} vile", 1) for _ in range(4)] + [(f"shared pair {words(rng, 20)}", 0) for _ in range(40)]
+    assert " vile" in toxicity.learn(labelled(spark, rows)).weights
+    assert " vile" not in toxicity.learn(labelled(spark, rows[:1] * 40 + rows[4:])).weights
+
+
+def test_toxicity_on_the_held_out_fold(spark):
+    """Rank correlation with the labels that were not learnt from, over the whole table at sf0.01."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity.score_toxicity(docs, toxicity.learn(toxicity.training_rows(docs, labels))).where("held_out")
+    rows = [(r.score, r.toxic) for r in found.join(labels.where("toxic IS NOT NULL"), "doc_id").collect()]
+    assert auc(rows) >= 0.85 and sum(r[1] for r in rows) >= 5
+
+
+def auc(rows):
+    """The probability that a row of label 1 has a higher score than one of label 0."""
+    ones, zeros = [s for s, y in rows if y == 1], [s for s, y in rows if y == 0]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
 
 
 def test_toxicity_rows(awkward, empty):
@@ -240,6 +384,22 @@ def test_contamination_rows(spark, awkward, empty):
     assert digest.items_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_benchmark_in_parts_and_texts_beyond_a_shard(spark):
+    """Parts of a benchmark, long texts in pieces and all at once give the same rows, which brute force gives too."""
+    rng = random.Random(16)
+    text = lambda n: " ".join(rng.choice(["a", "b", "C", "d!", "é", "ff", "g"]) for _ in range(rng.randrange(n)))
+    docs, items = [(i, text(400)) for i in range(40)], [(i, text(30)) for i in range(60)]
+    want = brute_contamination(docs, items)
+    for options in ({}, {"part_bytes": 300, "shard_words": 50}, {"shard_words": 20}):
+        found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"), **options)
+        got = {r.doc_id: r for r in found.collect()}
+        assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i, _ in docs] == want
+        for i, t in docs:
+            assert sum(len(decontaminate.words_of(t[s.start : s.end])) for s in got[i].spans) == got[i].n_hit
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"), part_bytes=300)
+    assert {r.doc_id for r in kept.collect()} == {i for i, (n, hit, _) in zip(range(40), want, strict=True) if not (hit > 0 and 20 * hit >= n)}
+
+
 # -- 3: lines
 
 
@@ -331,6 +491,15 @@ def test_pseudo_labels_come_from_the_whole_table(spark):
     assert sum(quality.fit(docs, labels, pool_rows=1).rounds) > 2
 
 
+def test_quality_on_held_out_labels(spark):
+    """Fitted on two thirds of the labels at sf0.01, scored on the others: both views together, and the text alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("quality IS NOT NULL").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    found = quality.score_quality(docs, quality.fit(docs, labels.where("NOT held"))).join(labels.where("held"), "doc_id").collect()
+    assert auc([(r.score, r.quality) for r in found]) >= 0.97 and auc([(r.text_score, r.quality) for r in found]) >= 0.97
+    print("auc", auc([(r.score, r.quality) for r in found]), auc([(r.text_score, r.quality) for r in found]), auc([(r.meta_score, r.quality) for r in found]), len(found))
+
+
 # -- 10: near duplicates
 
 
@@ -389,6 +558,39 @@ def test_rows_of_a_hot_bucket_all_meet(spark, monkeypatch):
     assert set(met) == {frozenset((a, b)) for a in range(60) for b in range(a) if a >= 30 or (a + b) % 2}
 
 
+def test_rows_that_share_an_id_are_linked(spark):
+    """Through a document of two unlike texts their copies are one component."""
+    a, b, c = (words(random.Random(k), 40) for k in (20, 21, 22))
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (2**53 + 1, b), (2**53, c), (None, b)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True), (2**53 + 1, 1, False), (2**53, 9, False), (None, None, False)])
+
+
+def test_rows_of_hot_keys_meet_all_the_same(spark, monkeypatch):
+    """With every key hot, and with none, the components are those of brute force."""
+    from lexforge.llm import common
+
+    rng, rows = random.Random(23), []
+    base = words(rng, 120, 10**5).split()
+    for k in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 10**6):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = neardup.near_duplicates(docs).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, 80)
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """Sets and components of all documents at sf0.001, by brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = neardup.op10_minhash_near_duplicates(spark, SF).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 80)
+
+
 def test_components_of_a_long_chain(spark):
     from lexforge.session import Scratch
 
