@@ -59,8 +59,9 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
     Pieces are what single spaces separate; *before* is the piece in front if exactly one space lies between.
     """
-    pieces = docs.select("id", "court", F.posexplode(F.split(F.col("text"), " ")).alias("at", "piece"))
-    pieces = pieces.withColumn("before", F.lag("piece").over(Window.partitionBy("id").orderBy("at")))
+    split = docs.select("id", "court", F.split(F.col("text"), " ").alias("ps"))
+    shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("ps"))
+    pieces = split.select("id", "court", F.explode(F.arrays_zip(F.col("ps").alias("piece"), shifted.alias("before"))).alias("p")).select("id", "court", "p.*")
     words = pieces.select("id", "court", "before", F.posexplode(F.regexp_extract_all("piece", F.lit(r"\p{L}{2,}"), F.lit(0))).alias("nth", "token"), F.col("piece").rlike(r"^\p{L}{2,}").alias("leads"))
     first, low = F.substring("token", 1, 1), F.lower("token")
     return words.select("id", "court", low.alias("word"), (first != F.lower(first)).alias("cap"), (F.col("token") == F.upper("token")).alias("upper"), F.when((F.col("nth") == 0) & F.col("leads"), F.col("before")).alias("before"))

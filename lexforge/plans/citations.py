@@ -8,6 +8,7 @@ from lexforge.functions import keys
 from lexforge.operators import citelist, references
 from lexforge.plans import domain
 from lexforge.plans.domain import LINES_SQL, REFS_SQL
+from lexforge.session import Scratch
 
 def _csv():
     return F.array_join("enums", ",").alias("enums")
@@ -97,7 +98,7 @@ def asof_probe(spark, sf):
 
 
 def one_edit_suggestions(spark, sf):
-    rows = _lines(spark, sf)
+    rows = Scratch(spark).cut(_lines(spark, sf), "lines")
     missing = citelist.lookup(_refs(spark, sf), rows.select("key"), "left_anti").where("key NOT LIKE 'BGE%'")
     return citelist.suggest(missing, rows)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.operators import vocabulary as v
-from lexforge.session import table
+from lexforge.session import Scratch, table
 
 
 def _docs(spark, sf):
@@ -18,8 +18,7 @@ def _firsts(spark, sf):
     return lines.select(F.lower(F.regexp_extract("t", r"^(\p{Lu}\p{L}+) ", 1)).alias("name")).where("name <> ''").distinct()
 
 
-def _names(spark, sf):
-    stats = _stats(spark, sf)
+def _names(stats):
     return stats.where("length(word) % 3 = 0").select(F.col("word").alias("part"), F.when(F.expr("docs % 2 = 0"), F.col("cap") % 7).otherwise(0).alias("bearers"))
 
 
@@ -27,14 +26,19 @@ def _stats(spark, sf):
     return v.word_statistics(v.admitted(_docs(spark, sf), 10), _firsts(spark, sf))
 
 
+def _written(spark, sf):
+    """The statistics, counted once for a plan that reads them several times."""
+    return Scratch(spark).cut(_stats(spark, sf), "stats")
+
+
 def word_stats(spark, sf):
     return _stats(spark, sf)
 
 
 def vocabulary_decide(spark, sf):
-    stats = _stats(spark, sf)
+    stats = _written(spark, sf)
     total = v.admitted(_docs(spark, sf), 10).count()
-    return v.decide(stats, _names(spark, sf), 100_000, total, v.Rules(unknown_min_docs=100, unknown_word_docs=50, noun_docs=60))
+    return v.decide(stats, _names(stats), 100_000, total, v.Rules(unknown_min_docs=100, unknown_word_docs=50, noun_docs=60))
 
 
 def vocabulary_marks(spark, sf):
@@ -51,13 +55,14 @@ def holdout_split(spark, sf):
 
 
 def compound_depth0(spark, sf):
-    words = _stats(spark, sf).select("word")
-    return v.compound_of_two(words, _stats(spark, sf).where("docs >= 20").select("word"))
+    stats = _written(spark, sf)
+    return v.compound_of_two(stats.select("word"), stats.where("docs >= 20").select("word"))
 
 
 def compound_exceptions(spark, sf):
-    common = _stats(spark, sf).where("docs >= 20").select("word")
-    names = _names(spark, sf).select(F.col("part").alias("word")).where(F.length("word") >= 6).join(common, "word", "left_anti")
+    stats = _written(spark, sf)
+    common = stats.where("docs >= 20").select("word")
+    names = _names(stats).select(F.col("part").alias("word")).where(F.length("word") >= 6).join(common, "word", "left_anti")
     return v.compounds(names, common)
 
 
@@ -86,12 +91,13 @@ docs AS (SELECT doc_id AS id, source AS court, text, {_HOLD} AS held FROM docume
 firsts AS (SELECT DISTINCT lower(regexp_extract(t, '^(\\p{{Lu}}\\p{{L}}+) ', 1)) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM docs) WHERE regexp_matches(t, '^\\p{{Lu}}\\p{{L}}+ ')),
 split AS (SELECT id, court, string_split(text, ' ') AS ps FROM docs WHERE length(text) >= 300 AND NOT held),
 pieces AS (SELECT id, court, ps[i] AS piece, CASE WHEN i > 1 THEN ps[i - 1] END AS before FROM (SELECT id, court, ps, unnest(range(1, len(ps) + 1)) AS i FROM split)),
-tokens AS (SELECT id, court, before, piece, ts[n] AS token, n FROM (SELECT id, court, before, piece, ts, unnest(range(1, len(ts) + 1)) AS n FROM (SELECT *, regexp_extract_all(piece, '\\p{{L}}{{2,}}') AS ts FROM pieces))),
+tokens AS MATERIALIZED (SELECT id, court, before, piece, ts[n] AS token, n FROM (SELECT id, court, before, piece, ts, unnest(range(1, len(ts) + 1)) AS n FROM (SELECT *, regexp_extract_all(piece, '\\p{{L}}{{2,}}') AS ts FROM pieces))),
 words AS (SELECT id, court, lower(token) AS word, substr(token, 1, 1) <> lower(substr(token, 1, 1)) AS cap, token = upper(token) AS upper,
-  CASE WHEN n = 1 AND regexp_matches(piece, '^\\p{{L}}{{2,}}') THEN before END AS before FROM tokens),
+  CASE WHEN n = 1 AND regexp_matches(piece, '^\\p{{L}}{{2,}}') THEN before END AS before,
+  CASE WHEN n = 1 AND regexp_matches(piece, '^\\p{{L}}{{2,}}') AND regexp_matches(before, '^\\p{{Lu}}\\p{{L}}+$') THEN lower(before) END AS lead FROM tokens),
 marked AS (SELECT w.*, cap AND coalesce(before IN ({", ".join(f"'{t}'" for t in v.TITLES)}), false) AS titled, f.name IS NOT NULL AS first
-  FROM words w LEFT JOIN firsts f ON regexp_matches(w.before, '^\\p{{Lu}}\\p{{L}}+$') AND f.name = lower(w.before)),
-stats AS (SELECT word, count(DISTINCT id)::BIGINT AS docs, count(DISTINCT court)::BIGINT AS courts, count(*) FILTER (WHERE cap)::BIGINT AS cap, count(*) FILTER (WHERE NOT cap)::BIGINT AS low,
+  FROM words w LEFT JOIN firsts f ON f.name = w.lead),
+stats AS MATERIALIZED (SELECT word, count(DISTINCT id)::BIGINT AS docs, count(DISTINCT court)::BIGINT AS courts, count(*) FILTER (WHERE cap)::BIGINT AS cap, count(*) FILTER (WHERE NOT cap)::BIGINT AS low,
   count(*) FILTER (WHERE cap AND upper)::BIGINT AS upper, count(*) FILTER (WHERE titled)::BIGINT AS titled, count(*) FILTER (WHERE cap AND NOT titled AND first)::BIGINT AS firsted FROM marked GROUP BY word)"""
 _LINKS = ", ".join(f"'{x}'" for x in v.LINKS)
 _STRIP = lambda s: f"CASE WHEN suffix(word, '{s}') THEN substr(word, 1, length(word) - {len(s)}) END"
@@ -132,7 +138,18 @@ u AS (SELECT id, at_ FROM p WHERE regexp_matches(piece, '^\\p{{Ll}}{{2,}}$') AND
 m AS (SELECT id, at_, sum(new) OVER (PARTITION BY id ORDER BY at_) AS run FROM (SELECT *, CASE WHEN at_ - lag(at_) OVER (PARTITION BY id ORDER BY at_) = 1 THEN 0 ELSE 1 END AS new FROM u))
 SELECT id, CAST(run AS BIGINT) AS run, min(at_)::BIGINT AS first, count(*)::BIGINT AS n FROM m GROUP BY id, run""",
 }
+#: Words of two or more listed words, the tails cut off one after the other: at the first level, and at three below it.
+_COMPOUNDS = f"""WITH RECURSIVE {_STATS.replace('docs AS (', 'docs AS MATERIALIZED (', 1)}, lex AS MATERIALIZED (SELECT word FROM stats WHERE docs >= 20),
+names AS (SELECT word FROM stats WHERE length(word) % 3 = 0 AND length(word) >= 6 AND word NOT IN (SELECT word FROM lex)),
+rests(word, rest, depth) AS (
+  SELECT word, word, 0 FROM names
+  UNION SELECT word, substr(whole, 1, length(whole) - length(link)), depth + 1 FROM (
+    SELECT word, depth, substr(rest, 1, CAST(i AS INT)) AS whole, substr(rest, CAST(i AS INT) + 1) AS tail, unnest([{_LINKS}]) AS link
+    FROM (SELECT *, unnest(range(3, length(rest) - 3)) AS i FROM rests WHERE depth < 4 AND length(rest) >= 7))
+  WHERE suffix(whole, link) AND length(whole) - length(link) >= 3 AND tail IN (SELECT word FROM lex))
+SELECT DISTINCT word FROM rests WHERE depth > 0 AND rest IN (SELECT word FROM lex)"""
 ORACLE_SQL |= {
+    "compound_exceptions": _COMPOUNDS,
     "given_name_runs": f"""WITH {_STATS},
 a AS (SELECT doc_id AS id, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x NOT IN ({", ".join(f"'{t}'" for t in v.TITLES)})) AS ps FROM documents),
 p AS (SELECT id, i - 1 AS at_, ps[i] AS piece, ps[i + 1] AS after FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a)),

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else one set here for local runs."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, else one set here if all of Spark is on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file:///tmp/lexforge-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,6 +40,9 @@ class Scratch:
         path = f"{self.root}/{len(self.paths)}-{name}"
         self.paths.append(path)
         df.write.mode("overwrite").parquet(path)
+        if len(self.paths) == 1:  # results may read these files until the application ends
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         return self.spark.read.parquet(path)
 
     def drop(self, df: DataFrame) -> None:
