@@ -104,9 +104,9 @@ def anonymization_check(spark, sf):
     """Conversations checked against the words of five or more documents."""
     words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("word"))
     common = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
-    lexicon = anonymize.vocabulary(common.select("word", F.lit("").alias("mark")))
+    lexicon = common.select("word", F.lit("").alias("mark"))
     parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), F.lit("body").alias("kind"), F.col("turn").alias("index"), "text")
-    return anonymize.check_documents(parts, lexicon)
+    return anonymize.check_with(parts, lexicon)
 
 
 def people(spark, sf):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -49,80 +50,93 @@ def _tree(raw: bytes) -> ET.Element | None:
         return None
 
 
-def _hidden_styles(members: dict[str, bytes]) -> set[str]:
-    """Ids of styles that hide their text, by themselves or through the styles they are based on."""
-    root = _tree(members.get("word/styles.xml", b""))
-    if root is None:
-        return set()
-    own, base = {}, {}
-    for style in root.iter(f"{W}style"):
-        name = style.get(f"{W}styleId", "")
-        flag = style.find(f"{W}rPr/{W}vanish")
-        own[name] = None if flag is None else flag.get(f"{W}val", "true") not in ("0", "false", "off")
-        parent = style.find(f"{W}basedOn")
-        base[name] = None if parent is None else parent.get(f"{W}val")
-
-    def hides(name: str | None, depth: int = 0) -> bool:
-        if name not in own or depth > 20:
-            return False
-        return own[name] if own[name] is not None else hides(base[name], depth + 1)
-
-    return {n for n in own if hides(n)}
-
-
-def _run_hidden(run: ET.Element, paragraph_style: str | None, hidden: set[str]) -> bool:
-    """Run property before character style before paragraph style."""
-    flag = run.find(f"{W}rPr/{W}vanish")
-    if flag is not None:
-        return flag.get(f"{W}val", "true") not in ("0", "false", "off")
-    style = run.find(f"{W}rPr/{W}rStyle")
-    if style is not None:
-        return style.get(f"{W}val") in hidden
-    return paragraph_style in hidden
-
-
-def _paragraphs(root: ET.Element, hidden: set[str]) -> list[dict[str, str]]:
-    """For each paragraph its texts by surface; text boxes are paragraphs of their own, fallbacks are left out."""
-    out: list[dict[str, list[str]]] = []
-
-    def visit(node: ET.Element, at: dict | None, style: str | None, deleted: bool, concealed: bool) -> None:
-        tag = node.tag
-        if tag == ALTERNATIVE:
-            return
-        if tag == f"{W}p":
-            found = node.find(f"{W}pPr/{W}pStyle")
-            style, at = (None if found is None else found.get(f"{W}val")), {}
-            out.append(at)
-        elif tag == f"{W}del":
-            deleted = True
+def _switch(properties: ET.Element | None) -> bool | None:
+    """Whether run properties hide the text; None if they do not say."""
+    flag = None if properties is None else properties.find(f"{W}vanish")
+    return None if flag is None else flag.get(f"{W}val", "true").lower() not in ("0", "false", "off")
+
+
+class Styles:
+    """Which styles hide their text, by themselves or through what they are based on, and what holds without a style."""
+
+    def __init__(self, raw: bytes):
+        root = _tree(raw)
+        styles = [] if root is None else list(root.iter(f"{W}style"))
+        self.hides, based = {}, {}
+        for style in styles:
+            name, parent = style.get(f"{W}styleId", ""), style.find(f"{W}basedOn")
+            said = _switch(style.find(f"{W}rPr"))
+            if said is not None:
+                self.hides[name] = said
+            elif parent is not None:
+                based[name] = parent.get(f"{W}val")
+        while inherited := {name: self.hides[parent] for name, parent in based.items() if name not in self.hides and parent in self.hides}:
+            self.hides |= inherited
+        usual = (s.get(f"{W}styleId") for s in styles if s.get(f"{W}type") == "paragraph" and s.get(f"{W}default") in ("1", "true", "on"))
+        self.paragraph = next(usual, None)
+        self.default = bool(root is not None and _switch(root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")))
+
+    def conceals(self, run: ET.Element, paragraph: str | None) -> bool:
+        """Of the run itself, its style, its paragraph's style and the file's defaults the first that says anything holds."""
+        properties = run.find(f"{W}rPr")
+        style = None if properties is None else properties.find(f"{W}rStyle")
+        said = [_switch(properties), None if style is None else self.hides.get(style.get(f"{W}val")), self.hides.get(paragraph or self.paragraph)]
+        return next((s for s in said if s is not None), self.default)
+
+
+def _events(root: ET.Element) -> Iterator[tuple[bool, ET.Element]]:
+    """Every element as it opens (true) and closes (false), without the fallbacks of alternative content."""
+    waiting = [(True, root)]
+    while waiting:
+        opens, node = waiting.pop()
+        yield opens, node
+        if opens:
+            waiting.append((False, node))
+            waiting += [(True, child) for child in reversed(node) if child.tag != ALTERNATIVE]
+
+
+#: What elements of a run stand for.
+_MARKS = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "‑"}
+#: Elements of which all text is deleted, or moved away.
+_GONE = (f"{W}del", f"{W}moveFrom")
+
+
+def _paragraphs(root: ET.Element, styles: Styles) -> list[dict[str, str]]:
+    """For each paragraph its texts by surface; the paragraphs of a text box are paragraphs of their own."""
+    out: list[dict[str, str]] = []
+    inside: list[tuple[dict[str, str], str | None]] = []  # open paragraphs, each with its style
+    runs: list[bool] = []  # open runs: whether they are hidden
+    gone = 0
+    for opens, node in _events(root):
+        tag, step = node.tag, 1 if opens else -1
+        if tag in _GONE:
+            gone += step
+        elif tag == f"{W}p":
+            if opens:
+                style = node.find(f"{W}pPr/{W}pStyle")
+                inside.append(({}, None if style is None else style.get(f"{W}val")))
+                out.append(inside[-1][0])
+            else:
+                inside.pop()
         elif tag == f"{W}r":
-            concealed = _run_hidden(node, style, hidden)
-        elif at is not None:
-            surface = "deleted" if deleted or tag == f"{W}delText" else "hidden" if concealed else "shown"
-            if tag in (f"{W}t", f"{W}delText"):
-                at.setdefault(surface, []).append(node.text or "")
-            elif tag in (f"{W}tab", f"{W}br", f"{W}cr"):
-                at.setdefault(surface, []).append("\t" if tag == f"{W}tab" else "\n")
-            elif tag == f"{W}noBreakHyphen":
-                at.setdefault(surface, []).append("‑")
-            elif tag == f"{W}instrText":
-                at.setdefault("field", []).append(node.text or "")
+            runs.append(styles.conceals(node, inside[-1][1] if inside else None)) if opens else runs.pop()
+        elif opens and inside:
+            surface = "deleted" if gone or tag == f"{W}delText" else "hidden" if runs and runs[-1] else "shown"
+            said = [(surface, node.text or "")] if tag in (f"{W}t", f"{W}delText") else [(surface, _MARKS[tag])] if tag in _MARKS else []
+            if tag == f"{W}instrText":
+                said = [("field", node.text or "")]
             elif tag.endswith("}docPr"):
-                for name in ("descr", "title"):
-                    if node.get(name):
-                        at.setdefault("alt", []).append(node.get(name))
-        for child in node:
-            visit(child, at, style, deleted, concealed)
-
-    visit(root, None, None, False, False)
-    return [{k: "".join(v) for k, v in p.items()} for p in out]
+                said = [("alt", node.get(name)) for name in ("descr", "title") if node.get(name)]
+            for where, text in said:
+                inside[-1][0][where] = inside[-1][0].get(where, "") + text
+    return out
 
 
 def read_parts(content: bytes, path: str = "") -> list[dict]:
     """Every text of a file: visible parts first, then comments, hidden and deleted text, fields, alternative texts,
     properties, custom parts, link targets and the file's own name; only texts with a letter or digit."""
     members = _members(content)
-    hidden = _hidden_styles(members)
+    styles = Styles(members.get("word/styles.xml", b""))
     visible, rest = [], []
     for kind, pattern in PARTS:
         for file in sorted(m for m in members if re.fullmatch(pattern, m)):
@@ -135,7 +149,7 @@ def read_parts(content: bytes, path: str = "") -> list[dict]:
                 if note.get(f"{W}type") in ("separator", "continuationSeparator"):
                     continue
                 number = int(note.get(f"{W}id", "0")) if note is not root else None
-                for p in _paragraphs(note, hidden):
+                for p in _paragraphs(note, styles):
                     for surface, text in p.items():
                         row = {"part": kind if surface == "shown" else surface, "file": file, "note": number, "index": index, "text": text}
                         (visible if row["part"] in VISIBLE else rest).append(row)
@@ -163,7 +177,7 @@ def redacted(content: bytes, places: list[tuple[str, int, int, int, str]]) -> by
     fixed date, so the same input gives the same bytes.
     """
     members = _members(content)
-    hidden = _hidden_styles(members)
+    styles = Styles(members.get("word/styles.xml", b""))
     by_file: dict[str, list] = {}
     for file, paragraph, start, end, label in places:
         by_file.setdefault(file, []).append((paragraph, start, end, label))
@@ -173,14 +187,14 @@ def redacted(content: bytes, places: list[tuple[str, int, int, int, str]]) -> by
             if re.fullmatch(r"word/comments\w*\.xml|docProps/.*|customXml/.*", file):
                 continue
             if any(re.fullmatch(p, file) for _, p in PARTS):
-                raw = _rewrite(raw, by_file.get(file, []), hidden)
+                raw = _rewrite(raw, by_file.get(file, []), styles)
             elif file.endswith(".rels") or file == "[Content_Types].xml":
                 raw = re.sub(rb'<(?:Relationship|Override)\b[^>]*(?:comments\w*\.xml|docProps/|customXml/)[^>]*?/>', b"", raw)
             z.writestr(zipfile.ZipInfo(file, FIXED_DATE), raw, zipfile.ZIP_DEFLATED)
     return out.getvalue()
 
 
-def _rewrite(raw: bytes, places: list[tuple[int, int, int, str]], hidden: set[str]) -> bytes:
+def _rewrite(raw: bytes, places: list[tuple[int, int, int, str]], styles: Styles) -> bytes:
     root = _tree(raw)
     if root is None:
         return raw
@@ -190,8 +204,8 @@ def _rewrite(raw: bytes, places: list[tuple[int, int, int, str]], hidden: set[st
     for number, p in enumerate(paragraphs):
         style = p.find(f"{W}pPr/{W}pStyle")
         style = None if style is None else style.get(f"{W}val")
-        deleted = {t for d in p.iter(f"{W}del") for t in d.iter()}
-        runs = [r for r in p.iter(f"{W}r") if r not in deleted and not _run_hidden(r, style, hidden)]
+        deleted = {t for gone in _GONE for d in p.iter(gone) for t in d.iter()}
+        runs = [r for r in p.iter(f"{W}r") if r not in deleted and not styles.conceals(r, style)]
         texts = [t for r in runs for t in r.iter(f"{W}t")]
         for paragraph, start, end, label in sorted(places, reverse=True):
             if paragraph != number:
@@ -205,13 +219,13 @@ def _rewrite(raw: bytes, places: list[tuple[int, int, int, str]], hidden: set[st
                     t.text = own[:a] + (label if first else "") + own[b:]
                     t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
                     first = False
-        for r in [r for r in p.iter(f"{W}r") if _run_hidden(r, style, hidden)]:
+        for r in [r for r in p.iter(f"{W}r") if styles.conceals(r, style)]:
             for t in list(r):
                 if t.tag != f"{W}rPr":
                     r.remove(t)
     for parent in list(root.iter()):
         for child in list(parent):
-            if child.tag in (f"{W}del", f"{W}commentRangeStart", f"{W}commentRangeEnd", f"{W}commentReference"):
+            if child.tag in (*_GONE, f"{W}commentRangeStart", f"{W}commentRangeEnd", f"{W}commentReference"):
                 parent.remove(child)
     return ET.tostring(root, encoding="utf-8", xml_declaration=True)
 

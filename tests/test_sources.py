@@ -12,20 +12,54 @@ from lexforge.sources import corpus, docx, sinks
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
-def document() -> bytes:
-    body = (
-        f'<w:document {NS}><w:body><w:p><w:r><w:t>Frau Anna </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>Muster</w:t></w:r><w:r><w:t> klagt.</w:t></w:r></w:p>'
-        '<w:p><w:del><w:r><w:delText>alt</w:delText></w:r></w:del><w:r><w:rPr><w:vanish/></w:rPr><w:t>geheim</w:t></w:r><w:r><w:t>neu</w:t></w:r></w:p></w:body></w:document>'
-    )
-    notes = f'<w:footnotes {NS}><w:footnote w:type="separator" w:id="0"><w:p/></w:footnote><w:footnote w:id="1"><w:p><w:r><w:t>Note</w:t></w:r></w:p></w:footnote></w:footnotes>'
-    comments = f'<w:comments {NS}><w:comment w:id="3"><w:p><w:r><w:t>Bemerkung</w:t></w:r></w:p></w:comment></w:comments>'
+def run(text, *properties, deleted=False):
+    tag = "delText" if deleted else "t"
+    return f"<w:r><w:rPr>{''.join(properties)}</w:rPr><w:{tag} xml:space='preserve'>{text}</w:{tag}></w:r>"
+
+
+def paragraph(*runs, style=None):
+    return f"<w:p><w:pPr>{f'<w:pStyle w:val={style!r}/>' if style else ''}</w:pPr>{''.join(runs)}</w:p>"
+
+
+HIDE, SHOW = "<w:vanish/>", '<w:vanish w:val="0"/>'
+
+
+def archive(**members) -> bytes:
+    """A file whose members are given by the last part of their names, each as the XML inside its root element."""
+    roots = {"document": "document", "footnotes": "footnotes", "comments": "comments", "styles": "styles"}
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        for name, text in (("word/document.xml", body), ("word/footnotes.xml", notes), ("word/comments.xml", comments), ("docProps/core.xml", "<c><a>Anna Muster</a></c>")):
-            z.writestr(name, text)
+        for name, inner in members.items():
+            path, text = (f"word/{name}.xml", f"<w:{roots[name]} {NS}>{inner}</w:{roots[name]}>") if name in roots else (f"docProps/{name}.xml", inner)
+            z.writestr(path, text)
     return out.getvalue()
 
 
+def document() -> bytes:
+    letter = paragraph(run("Frau Anna "), run("Mus", "<w:b/>"), run("ter"), run(" klagt."))
+    changed = paragraph(f"<w:del>{run('alt', deleted=True)}</w:del>", run("geheim", HIDE), run("neu"))
+    return archive(
+        document=f"<w:body>{letter}{changed}</w:body>",
+        footnotes=f'<w:footnote w:type="continuationSeparator" w:id="-1">{paragraph(run("Strich"))}</w:footnote><w:footnote w:id="1">{paragraph(run("Note"))}</w:footnote>',
+        comments=f'<w:comment w:id="3">{paragraph(run("Bemerkung"))}</w:comment>',
+        core="<c><a>Anna Muster</a></c>",
+    )
+
+
+def test_hiding_comes_from_run_style_paragraph_and_defaults():
+    styles = (
+        f'<w:docDefaults><w:rPrDefault><w:rPr>{SHOW}</w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:default="1" w:styleId="usual"/>'
+        f'<w:style w:styleId="c"><w:basedOn w:val="b"/></w:style><w:style w:styleId="b"><w:basedOn w:val="a"/></w:style><w:style w:styleId="a"><w:rPr>{HIDE}</w:rPr></w:style>'
+        f'<w:style w:styleId="loop"><w:basedOn w:val="loop"/></w:style><w:style w:styleId="open"><w:basedOn w:val="a"/><w:rPr>{SHOW}</w:rPr></w:style>'
+    )
+    body = paragraph(run("p1"), style="c") + paragraph(run("p2", SHOW), run("p3", '<w:rStyle w:val="open"/>'), run("p4"), style="c")
+    body += paragraph(run("p5", '<w:rStyle w:val="b"/>'), run("p6", '<w:rStyle w:val="loop"/>')) + paragraph(f"<w:moveFrom>{run('p7')}</w:moveFrom>", f"<w:moveTo>{run('p8')}</w:moveTo>")
+    got = {(r["part"], r["text"]) for r in docx.read_parts(archive(document=f"<w:body>{body}</w:body>", styles=styles))}
+    assert got == {("hidden", "p1"), ("body", "p2p3"), ("hidden", "p4"), ("hidden", "p5"), ("body", "p6"), ("deleted", "p7"), ("body", "p8")}
+    usual = styles.replace('w:styleId="usual"/>', f'w:styleId="usual"><w:rPr>{HIDE}</w:rPr></w:style>')
+    assert [r["part"] for r in docx.read_parts(archive(document=f"<w:body>{paragraph(run('x'))}</w:body>", styles=usual))] == ["hidden"]
+
+
 def test_every_surface_is_read(spark):
     rows = docx.parts(spark.createDataFrame([("/x/brief.docx", document()), ("/x/broken.docx", b"no zip")], "path string, content binary")).collect()
     got = {(r.part, r.text) for r in rows}
