@@ -1,8 +1,8 @@
 """Operator 9: licence notices by sparse TF-IDF cosine, inherited from the nearest directory; DataFrame functions only.
 
 Texts are cut into statements (lines and sentences). Those that share enough of a template's weight to be a notice
-(an exact bound) are compared with templates of licences: terms are weighed by their document frequency in the whole corpus, and a statement's licence is that of
-the template with the largest cosine. Licence files (by name, or because most of their words are notices) license
+(an exact bound) are compared with templates of licences: terms are weighed by their document frequency in the whole
+corpus, and a statement's licence is that of the template with the largest cosine. Licence files (by name, or because most of their words are notices) license
 their directory; a file without a notice of its own inherits from the nearest ancestor directory that has a licence.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.llm.common import hot_join
 from lexforge.session import Scratch, table
 
 #: Least cosine of a notice, and least share of a licence file's words that are notices.
@@ -40,8 +41,6 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 )
-#: Words by which ORACLE_SQL picks the statements that it compares; the operator compares all that the bound allows.
-ANCHOR = r"licen[cs]e|rights reserved|hereby granted|redistribution|public domain"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
 
 
@@ -143,11 +142,12 @@ def directory(path) -> F.Column:
 
 
 def scan_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST, cover: float = COVER) -> DataFrame:
-    """path, body, licence, status, score, inherited_from of every row of *files* (path, text).
+    """path, body, licence, status, score, inherited_from of every row of *files* (path, text), from its whole text.
 
     status is ``own`` (the best notice in the whole text; ties: the earliest template), ``inherited`` or ``none``.
     A null or empty text has no notice. A null path has no directory and inherits nothing. Rows with equal path and
-    text are treated alike, and so is each of several rows with one path. Other columns are ignored.
+    text are treated alike, and so is each of several rows with one path. An empty table gives no rows; other columns are
+    ignored whatever their names.
     """
     scratch = Scratch(files.sparkSession)
     files = files.select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
@@ -157,14 +157,17 @@ def scan_licences(files: DataFrame, templates=TEMPLATES, least: float = LEAST, c
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (F.col("covered") >= cover * F.col("words"))
     licensed = own.where(F.col("path").isNotNull() & named).groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(F.struct((-F.col("score")).alias("order"), "path", F.col("own").alias("licence"))).alias("b"))
     licensed = licensed.select("ancestor", F.col("b.licence").alias("inherited"), F.col("b.path").alias("inherited_from"))
+    rows = scratch.cut(files.select("path", F.xxhash64("text").alias("body"), directory(F.col("path")).alias("dir")), "places")
     # Directories, not files, meet their ancestors: a directory is one row however many files it holds.
-    folders = files.where("path IS NOT NULL").select(directory(F.col("path")).alias("dir")).distinct()
+    folders = scratch.cut(rows.where("path IS NOT NULL").groupBy("dir").agg(F.count("*").alias("n")), "folders")
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     above = folders.select("dir", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("depth", "ancestor"))
     nearest = above.join(licensed, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "inherited", "inherited_from")).alias("b")).select("dir", "b.inherited", "b.inherited_from")
-    rows = files.select("path", F.xxhash64("text").alias("body"), directory(F.col("path")).alias("folder"))
+    nearest = scratch.cut(folders.join(nearest, "dir", "left"), "nearest")
+    total = folders.agg(F.sum("n")).first()[0] or 0
+    nowhere = rows.where("path IS NULL").select("dir", "path", "body", F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("inherited"), F.lit(None).cast("string").alias("inherited_from"))
+    rows = hot_join(rows.where("path IS NOT NULL"), nearest, "dir", total).unionByName(nowhere)
     rows = rows.join(own.select(F.col("path").alias("__path"), F.col("body").alias("__body"), "own", "score"), F.col("path").eqNullSafe(F.col("__path")) & (F.col("body") == F.col("__body")), "left")
-    rows = rows.join(nearest, F.col("path").isNotNull() & (F.col("folder") == F.col("dir")), "left")
     status = F.when(F.col("own").isNotNull(), "own").when(F.col("inherited").isNotNull(), "inherited").otherwise("none")
     return rows.select("path", "body", F.coalesce("own", "inherited").alias("licence"), status.alias("status"), "score", F.when(F.col("own").isNull(), F.col("inherited_from")).alias("inherited_from"))
 
@@ -191,8 +194,8 @@ files AS (
 total AS (SELECT count(*)::DOUBLE AS n FROM files),
 seen AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM files),
 idf AS (
-  SELECT t.term, ln((1 + (SELECT n FROM total)) / (1.0 + coalesce(d.df, 0))) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM templates) t LEFT JOIN (SELECT term, count(*) AS df FROM seen GROUP BY term) d USING (term)),
+  SELECT term, ln((1 + (SELECT n FROM total)) / (1.0 + coalesce(d.df, 0))) + 1 AS idf
+  FROM (SELECT DISTINCT term FROM templates) t FULL JOIN (SELECT term, count(*) AS df FROM seen GROUP BY term) d USING (term)),
 weighed AS (SELECT template, licence, term, tf * idf AS tw FROM templates JOIN idf USING (term)),
 norms AS (SELECT template, sqrt(sum(tw * tw)) AS tnorm FROM weighed GROUP BY template),
 lines AS (
@@ -200,12 +203,11 @@ lines AS (
   FROM (SELECT doc_id, path, words, parts, unnest(range(1, len(parts) + 1)) AS place FROM (
     SELECT doc_id, path, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS words,
            string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS parts
-    FROM files WHERE regexp_matches(lower(text), '{ANCHOR}')))
-  WHERE regexp_matches(lower(parts[place]), '{ANCHOR}')),
+    FROM files WHERE text IS NOT NULL))),
 terms AS (
   SELECT doc_id, path, words, place, size, term, count(*) AS tf
   FROM (SELECT doc_id, path, words, place, len(terms) AS size, unnest(terms) AS term FROM lines) GROUP BY ALL),
-scaled AS (SELECT t.*, i.idf IS NOT NULL AS known, tf * coalesce(i.idf, ln(1 + (SELECT n FROM total)) + 1) AS w FROM terms t LEFT JOIN idf i USING (term)),
+scaled AS (SELECT t.*, tf * i.idf AS w FROM terms t JOIN idf i USING (term)),
 norm AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM scaled GROUP BY ALL),
 scores AS (
   SELECT s.doc_id, s.path, s.words, s.place, s.size, g.template, g.licence, round(sum(s.w * g.tw) / (min(n.norm) * min(m.tnorm)), 6) AS score
