@@ -22,7 +22,7 @@ MONTHS = (
 )
 _NAMES = "|".join(sorted((m for names in MONTHS for m in names), key=lambda m: (-len(m), m)))
 #: A day, a month by number or name, a year.
-WORDED = rf"(?iu)(\d{{1,2}})(?:\.|er|°|º)?\s*(?:(\d{{1,2}})\.\s?|({_NAMES})\s+)(\d{{4}})"
+WORDED = rf"(?iu)(?<!\d)(\d{{1,2}})(?:(?:\.|er|°|º)\s*|\s+)(?:(\d{{1,2}})\.\s?|({_NAMES})\s+)(\d{{4}})"
 
 
 def parts(text: Column) -> Column:

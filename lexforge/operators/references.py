@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,22 @@ _ADMINISTRATIVE = r"[A-Z]{1,2}-\d{1,5}/\d{4}"
 LABEL = f"((?:{_COLLECTION})|(?:{_FEDERAL})|(?:{_ADMINISTRATIVE}))"
 # Courts by a word of their names.
 COURTS = (("bger", "bundesgericht|tribunal fédéral|tribunale federale"), ("bvger", "bundesverwaltungsgericht|tribunal administratif fédéral"), ("bstger", "bundesstrafgericht|tribunal pénal fédéral"))
+# The cantons with their names in German, French, Italian and English.
+CANTONS = {
+    "ZH": "Zürich Zurich Zurigo", "BE": "Bern Berne Berna", "LU": "Luzern Lucerne Lucerna", "UR": "Uri", "SZ": "Schwyz Svitto", "OW": "Obwalden Obwald Obvaldo",
+    "NW": "Nidwalden Nidwald Nidvaldo", "GL": "Glarus Glaris Glarona", "ZG": "Zug Zoug Zugo", "FR": "Freiburg Fribourg Friburgo", "SO": "Solothurn Soleure Soletta",
+    "BS": "Basel-Stadt Bâle-Ville", "BL": "Basel-Landschaft Bâle-Campagne", "SH": "Schaffhausen Schaffhouse Sciaffusa", "AR": "Ausserrhoden", "AI": "Innerrhoden",
+    "SG": "St.Gallen Saint-Gall", "GR": "Graubünden Grisons Grigioni", "AG": "Aargau Argovie Argovia", "TG": "Thurgau Thurgovie Turgovia", "TI": "Tessin Ticino",
+    "VD": "Waadt Vaud", "VS": "Wallis Valais Vallese", "NE": "Neuenburg Neuchâtel", "GE": "Genf Genève Ginevra Geneva", "JU": "Jura Giura",
+}
+# Names of cantonal courts, and the forms of their file numbers.
+CANTONAL_COURTS = "Obergericht|Kantonsgericht|Verwaltungsgericht|Appellationsgericht|Handelsgericht|Sozialversicherungsgericht|OGer|KGer|VGer|HGer|Tribunal cantonal|Cour de justice|Cour d'appel|Tribunale d'appello|Tribunale cantonale"
+CANTONAL_DOCKETS = (
+    r"[A-Z]{2}\.\d{4}\.\d{5}", r"[A-Z]{2}\d{6}(?:-[A-Z])?", r"\d{2,3}\.\d{4}\.\d{1,4}", r"\d{3} \d{2,4} \d{1,4}",
+    r"[A-Z]{1,4}/\d{1,5}/\d{4}", r"[A-Z]{1,4} \d{4}/\d{1,4}", r"[A-Z]{1,4} \d{4} \d{1,4}", r"[A-Z]{2,4}\d{4}\.\d{1,4}",
+)
+#: Characters between a court's name and its file number, at most.
+COURT_REACH = 40
 #: Pages after a comma count as pages of the decision up to so many behind its first.
 PAGE_REACH = 200
 
@@ -37,16 +55,58 @@ def continued(text: Column) -> Column:
     return F.flatten(F.transform(chain, lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"(\d{1,3} (?:III|II|IV|Ia|Ib|I|V) \d{1,4})"), F.lit(1)), lambda x: F.concat(F.lit("BGE "), x))))
 
 
+def cantonal_label(text: Column) -> Column:
+    """The first file number in one of the cantonal forms that follows a cantonal court's name closely; empty if none does."""
+    return F.regexp_extract(text, rf"(?:{CANTONAL_COURTS})\w*[^\n]{{0,{COURT_REACH}}}?(?<![\w.])({'|'.join(CANTONAL_DOCKETS)})(?![\w/])", 1)
+
+
+def named_canton(text: Column) -> Column:
+    """The canton that a text names first, by name or, behind a court or the word canton, by its code; null if none is."""
+    by_name = {name.lower(): code for code, names in CANTONS.items() for name in names.split()}
+    known = F.create_map(*[F.lit(x) for pair in sorted(by_name.items()) for x in pair])
+    names = "|".join(sorted((re.escape(n) for n in by_name), key=lambda n: (-len(n), n)))
+    plain = F.regexp_replace(text, r"St\. Gallen", "St.Gallen")
+    name = F.regexp_extract(plain, rf"(?iu)(?<![\p{{L}}-])({names})(?![\p{{L}}-])", 1)
+    code = F.regexp_extract(plain, rf"(?:(?:{CANTONAL_COURTS})|[Kk]antons?|[Cc]anton(?:e)?(?: d[eui])?) ({'|'.join(CANTONS)})(?!\w)", 1)
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.nullif(code, F.lit("")))
+
+
+def page_tail(text: Column) -> Column:
+    """The page behind a collection label and a comma ("BGE 140 III 115, 120"), if it lies at most PAGE_REACH behind the first."""
+    part = lambda i: F.regexp_extract(text, rf"(?:BGE|ATF|DTF) \d{{1,3}} (?:III|II|IV|Ia|Ib|I|V) (\d{{1,4}}),\s*(?:S\.\s*|p\.\s*)?(\d{{1,4}})(?![\d./])", i)
+    first, page = F.try_to_number(part(1), F.lit("9999")).cast("int"), F.try_to_number(part(2), F.lit("9999")).cast("int")
+    return F.when((page > first) & (page <= first + PAGE_REACH), page)
+
+
+def page_issues(refs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ref_id, key, page, last of references (ref_id, key, page) whose page lies behind the decision's last one."""
+    return refs.where("page IS NOT NULL").join(ranges.select("key", "last"), "key").where("page > last").select("ref_id", "key", "page", "last")
+
+
 def parsed(references: DataFrame) -> DataFrame:
-    """ref_id with label, key, courts (named before the label), written_date, invalid_date, pinpoints and the first of them."""
+    """ref_id with label, key, courts and canton (named before the label), written_date, invalid_date, pinpoints and the first of them.
+
+    The earliest label counts, be it of the collection, a federal court or, behind its court's name, a cantonal one.
+    """
     rows = references.select("ref_id", keys.normalise(F.col("prose")).alias("plain"))
-    rows = keys.computed(rows, F.nullif(F.regexp_extract("plain", LABEL, 1), F.lit("")).alias("label"), dates.parts(F.col("plain")).alias("at"), pinpoints(F.col("plain")).alias("pinpoints"))
-    before = F.lower(F.coalesce(F.split_part("plain", "label", F.lit(1)), "plain"))
-    named = F.filter(F.array(*[F.when(before.rlike(words), code) for code, words in COURTS]), lambda c: c.isNotNull())
+    rows = keys.computed(rows, F.regexp_extract("plain", LABEL, 1).alias("federal"), cantonal_label(F.col("plain")).alias("cantonal"), dates.parts(F.col("plain")).alias("at"), pinpoints(F.col("plain")).alias("pinpoints"))
+    earlier = (F.col("federal") != "") & ((F.col("cantonal") == "") | (F.instr("plain", F.col("federal")) <= F.instr("plain", F.col("cantonal"))))
+    rows = keys.computed(rows, F.nullif(F.when(earlier, F.col("federal")).otherwise(F.col("cantonal")), F.lit("")).alias("label"))
+    before = F.coalesce(F.split_part("plain", "label", F.lit(1)), "plain")
+    named = F.filter(F.array(*[F.when(F.lower(before).rlike(words), code) for code, words in COURTS]), lambda c: c.isNotNull())
     part = lambda i: F.regexp_extract("label", r"^(?:BGE|ATF|DTF) (\d+) (\w+) (\d+)$", i)
-    rows = keys.computed(rows, named.alias("courts"), part(1).alias("v"), part(2).alias("p"), part(3).alias("n"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
+    rows = keys.computed(rows, named.alias("courts"), named_canton(before).alias("canton"), part(1).alias("v"), part(2).alias("p"), part(3).alias("n"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
     key = F.when(F.col("v") != "", keys.collection_key(F.col("v"), F.col("p"), F.col("n"))).when(F.col("label").isNotNull(), keys.docket_key(F.col("label")))
-    return rows.select("ref_id", "label", key.alias("key"), "courts", "written_date", "invalid_date", F.get("pinpoints", F.lit(0)).alias("pinpoint"), "pinpoints", F.lit(None).cast("string").alias("canton"))
+    return rows.select("ref_id", "label", key.alias("key"), "courts", "written_date", "invalid_date", F.get("pinpoints", F.lit(0)).alias("pinpoint"), "pinpoints", "canton")
+
+
+def all_findings(checked: DataFrame, loose: DataFrame) -> DataFrame:
+    """source (parsed or loose), at, label, status and kind: checked references and loose labels as one list.
+
+    *checked* is (ref_id, label, status), *loose* as :func:`loose_status` gives it.
+    """
+    first = checked.select(F.lit("parsed").alias("source"), F.col("ref_id").cast("long").alias("at"), "label", "status", F.lit(None).cast("string").alias("kind"))
+    return first.unionByName(loose.select(F.lit("loose").alias("source"), F.col("paragraph").cast("long").alias("at"), "label", "status", "kind"))
 
 
 def _scoped(refs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from lexforge.functions import keys
 from lexforge.operators import citelist, references
 from lexforge.plans import domain
 from lexforge.plans.domain import LINES_SQL, REFS_SQL
-from lexforge.session import Scratch
+from lexforge.session import Scratch, table
 
 def _csv():
     return F.array_join("enums", ",").alias("enums")
@@ -160,8 +160,6 @@ def gap_fill_source(spark, sf):
 
 def joined_applications(spark, sf):
     """Application numbers that are listed as the first of two joined ones."""
-    from lexforge.session import table
-
     year = (F.year("o_orderdate") % 100).cast("string")
     number = lambda c: F.concat((F.col(c) % 2000).cast("string"), F.lit("/"), year)
     o = table(spark, sf, "orders")
@@ -169,7 +167,48 @@ def joined_applications(spark, sf):
     return citelist.joined_applications(o.select(F.col("o_orderkey").alias("ref_id"), number("o_custkey").alias("key")), listed)
 
 
-QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, court_scope, date_issue, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications)}
+#: A cantonal court's name, the code of its canton, and a file number of one form for each; $n, $y and $p are numbers.
+_CANTONAL = (
+    ("Obergericht des Kantons Zürich", "ZH", "SB190$p-O"), ("Verwaltungsgericht ZH,", "ZH", "VB.$y.00$p"), ("Cour de justice de Genève", "GE", "ACJC/$n/$y"), ("Tribunale d'appello del Canton Ticino", "TI", "52.$y.$n"),
+    ("OGer BE", "BE", "100 $y $n"), ("Kantonsgericht St. Gallen", "SG", "BO $y $n"), ("Tribunal cantonal, Vaud,", "VD", "HC $y/$n"), ("Kantonsgericht Freiburg", "FR", "KGE$y.$n"), ("Kantonsgericht", None, "ZK $y $n"),
+)
+
+
+def _cantonal_prose(spark, sf):
+    """Every order as a reference to a cantonal decision, each ninth in one of the forms."""
+    form = (F.col("o_orderkey") % len(_CANTONAL)).cast("int")
+    n, y, p = (F.col("o_custkey") % 999 + 1).cast("string"), F.year("o_orderdate").cast("string"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0")
+    of = lambda i: F.get(F.array(*[F.lit(c[i]) for c in _CANTONAL]), form)
+    docket = F.replace(F.replace(F.replace(of(2), F.lit("$n"), n), F.lit("$y"), y), F.lit("$p"), p)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("ref_id"), F.concat(F.lit("Urteil "), of(0), F.lit(" "), docket, F.lit(" vom 3. Mai 2019 E. 2.1")).alias("prose"))
+
+
+def parse_cantonal(spark, sf):
+    return references.parsed(_cantonal_prose(spark, sf)).select("ref_id", "label", "key", "canton", "written_date", "pinpoint")
+
+
+def page_issue(spark, sf):
+    """Pages behind a comma, some of them beyond the decision's last page, a few out of reach."""
+    lines = Scratch(spark).cut(_lines(spark, sf).where("key LIKE 'BGE%'"), "lines")
+    at = keys.split_collection_key(F.col("key"))
+    prose = F.concat(keys.label(F.col("key")), F.lit(", S. "), (at["page"] + F.length("id") * 40 - 180).cast("string"), F.lit(" ff."))
+    refs = lines.select(F.col("id").alias("ref_id"), "key", references.page_tail(prose).alias("page"))
+    return references.page_issues(refs, citelist.page_ranges(lines)).select("ref_id", "key", "page", "last")
+
+
+def findings_union(spark, sf):
+    """Checked references beside loose labels, of which some are listed after all."""
+    refs = _refs(spark, sf)
+    rows = Scratch(spark).cut(_lines(spark, sf), "lines")
+    checked = refs.select("ref_id", "label").join(references.check(refs, rows).select("ref_id", "status"), "ref_id")
+    o = table(spark, sf, "orders")
+    label = F.concat(F.lit("VB."), F.year("o_orderdate").cast("string"), F.lit("."), (F.col("o_custkey") % 150 + 1).cast("string"))
+    loose = references.loose_labels(o.select(F.col("o_orderkey").alias("paragraph"), F.concat(F.lit("siehe "), label, F.lit(" und SJ 1999 I 3")).alias("text")))
+    listed = o.where("o_custkey % 2 = 0").select(label.alias("key")).distinct()
+    return references.all_findings(checked, references.loose_status(loose, listed))
+
+
+QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, court_scope, date_issue, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications, parse_cantonal, page_issue, findings_union)}
 
 _KIND = """
 kinds AS (
@@ -278,3 +317,16 @@ SELECT key, court, canton, date, 'https://decisions.example/' || id || coalesce(
 j AS (SELECT DISTINCT a || '_' || b AS listed, a AS head FROM o)
 SELECT o_orderkey AS ref_id, b AS key, listed FROM o JOIN j ON o.b = j.head""",
 }
+
+_LISTED = lambda i: "[" + ", ".join("NULL" if c[i] is None else "'" + c[i].replace("'", "''") + "'" for c in _CANTONAL) + "]"
+ORACLE_SQL |= {
+    "parse_cantonal": f"""WITH o AS (SELECT o_orderkey AS ref_id, CAST(o_orderkey % {len(_CANTONAL)} AS INT) + 1 AS i,
+  replace(replace(replace({_LISTED(2)}[CAST(o_orderkey % {len(_CANTONAL)} AS INT) + 1], '$n', CAST(o_custkey % 999 + 1 AS VARCHAR)), '$y', CAST(year(o_orderdate) AS VARCHAR)), '$p', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')) AS label FROM orders)
+SELECT ref_id, label, label AS key, {_LISTED(1)}[i] AS canton, '2019-05-03' AS written_date, '2.1' AS pinpoint FROM o""",
+    "page_issue": f"""{_W}, {_RANGES}, p AS (SELECT l.id AS ref_id, r.key, r.first, r.last, r.first + length(l.id) * 40 - 180 AS page FROM lines l JOIN ranges r ON r.key = l.key)
+SELECT ref_id, key, CAST(page AS INT) AS page, last FROM p WHERE page > first AND page <= first + {references.PAGE_REACH} AND page > last""",
+    "findings_union": f"""{_R}, {_CHECK}, l AS (SELECT o_orderkey AS at_, 'VB.' || year(o_orderdate) || '.' || (o_custkey % 150 + 1) AS label, o_custkey FROM orders)
+SELECT 'parsed' AS source, ref_id AS at, label, status, NULL AS kind FROM findings JOIN (SELECT ref_id, label FROM parsed) USING (ref_id)
+UNION ALL SELECT 'loose', at_, label, CASE WHEN label IN (SELECT label FROM l WHERE o_custkey % 2 = 0) THEN 'found' ELSE 'unchecked' END, 'unknown_shape' FROM l
+UNION ALL SELECT 'loose', at_, 'SJ 1999 I 3', 'unchecked', 'collection' FROM l""",
+}
