@@ -179,7 +179,7 @@ def learn(rows: DataFrame) -> Lexicon:
     spared = _counted(every, lambda text: _pairs(text, kept)).where(f"clean >= {LEAST_ROWS} AND toxic = 0")
     found = Lexicon(kept, frozenset(r["key"] for r in spared.collect()))
     dense = lambda batches: ({"density": [found.density(t)[0] for t in b["folded"]], "toxic": b["toxic"]} for b in batches)
-    fitted = map_columns(every, dense, "density double, toxic int").orderBy("density", "toxic").collect()
+    fitted = sorted(map_columns(every, dense, "density double, toxic int").collect())  # two numbers for each training row
     found.slope, found.offset = _logistic(np.array([r["density"] for r in fitted]), np.array([r["toxic"] for r in fitted], dtype=float))
     return found
 
