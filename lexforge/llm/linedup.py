@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.functions import keys
 from lexforge.llm.common import unused
 from lexforge.session import Scratch, table
 
@@ -51,18 +52,18 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     (equal doc_id and text) are one place and treated alike; of unlike texts with one doc_id one is first.
     """
     scratch = Scratch(docs.sparkSession)
-    n_lines, n_removed, doc, body, gone_name = unused(docs, "__n_lines", "__n_removed", "line_doc", "line_body", "line_gone")
+    n_lines, n_removed, doc, body, gone_name, cut_name = unused(docs, "__n_lines", "__n_removed", "line_doc", "line_body", "line_gone", "line_cut")
     lines = numbered_lines(docs, site)
     found = scratch.cut(boilerplate(lines, scratch, min_sites), "boilerplate")
     later = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("body") != F.col("first.body")) | (F.col("pos") != F.col("first.pos"))
     gone = lines.join(found, ["h1", "h2"]).where(later).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias(doc), F.col("body").alias(body), F.col("gone").alias(gone_name))
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(body)), "left")
-    split = F.split("text", "\n")
-    # The places that stay are a difference of sets, which takes one step for each line.
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone_name))
-    kept = F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n"))
-    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.when(F.col(gone_name).isNotNull(), F.size(gone_name)), F.lit(0)).cast("long").alias(n_removed)]
+    # The lines are cut once a row; the places that stay are a difference of sets, which takes one step for each line.
+    joined = keys.computed(joined, F.split("text", "\n").alias(cut_name))
+    places = F.array_except(F.sequence(F.lit(0), F.size(cut_name) - 1), F.col(gone_name))
+    kept = F.when(F.col(gone_name).isNull(), F.col("text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(F.col(cut_name), i)), "\n"))
+    counts = [F.coalesce(F.when(F.col("text").isNotNull(), F.size(cut_name)), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.when(F.col(gone_name).isNotNull(), F.size(gone_name)), F.lit(0)).cast("long").alias(n_removed)]
     return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in docs.columns], *counts)
 
 
