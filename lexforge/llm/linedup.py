@@ -22,7 +22,9 @@ LG_K, ERRORS = 12, 4.0
 
 def numbered_lines(docs: DataFrame, site: str = "source") -> DataFrame:
     """row (doc_id and a hash of the text), site, pos and the two hashes of every non-blank line, spaces at its ends aside."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # Hashed below the generator, once a text; in one select with it the hash would be taken again for each line.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), F.col(site).cast("string").alias("site"), F.split("text", "\n").alias("cut"))
+    lines = rows.select("doc_id", "body", "site", F.posexplode("cut").alias("pos", "line"))
     lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
     return lines.select("doc_id", "body", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
