@@ -104,9 +104,17 @@ def page_ranges(rows: DataFrame) -> DataFrame:
 
 
 def containing_page(pages: DataFrame, ranges: DataFrame, open_ended: int = 40) -> DataFrame:
-    """Pages (volume, part, page) beside the decision that holds them; a part's last one counts for a few pages only."""
-    inside = (F.col("page") >= F.col("first")) & (F.col("page") <= F.coalesce(F.col("last"), F.col("first") + open_ended))
-    return pages.join(ranges, ["volume", "part"]).where(inside)
+    """Pages (volume, part, page) beside the decision that holds them; a part's last one counts for a few pages only.
+
+    Each page asked for takes the last decision that starts at or before it, so no page meets all ranges of its part.
+    """
+    part = ["volume", "part"]
+    starts = ranges.select(*part, F.col("first").alias("page"), F.struct("key", "first", "last").alias("range"))
+    both = pages.select(*part, "page").distinct().unionByName(starts, allowMissingColumns=True)
+    upto = Window.partitionBy(*part).orderBy("page").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("holds", F.last("range", ignorenulls=True).over(upto)).where("range IS NULL AND holds IS NOT NULL")
+    inside = F.col("page") <= F.coalesce(F.col("last"), F.col("first") + open_ended)
+    return pages.join(found.select(*part, "page", "holds.*").where(inside), [*part, "page"])
 
 
 def neighbours(probes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -188,6 +196,34 @@ def other_part(references: DataFrame, rows: DataFrame) -> DataFrame:
     return probes.join(rows.select("key", "court", "date"), "key")
 
 
+def collection_suggestions(references: DataFrame, rows: DataFrame, most: int = 4) -> DataFrame:
+    """ref_id, rank, key, court, date, reason: listed decisions that a missing label of the collection may mean.
+
+    First the decision that holds the cited page, then all lines of that volume and page in other parts, in the parts'
+    order, then keys with one digit of volume or page changed or two swapped, one line each. Ties go by key, court,
+    canton, date. Labels are answered once and then joined to their references.
+    """
+    at = references.select("key").distinct().select(F.col("key").alias("asked"), keys.split_collection_key(F.col("key")).alias("at"))
+    asked = at.where("at IS NOT NULL").select("asked", "at.*")
+    lines = rows.where("key LIKE 'BGE %'").select("key", "court", "canton", "date")
+    holding = containing_page(asked, page_ranges(lines)).select("asked", "key", F.lit(0).alias("source"), F.lit(0).alias("place"))
+    parts = asked.select("*", F.posexplode(F.array(*map(F.lit, keys.PARTS))).alias("place", "other")).where("other <> part")
+    parts = parts.select("asked", keys.collection_key(F.col("volume"), F.col("other"), F.col("page")).alias("key"), F.lit(1).alias("source"), "place")
+    digits = F.format_string("%03d%04d", "volume", "page")
+    typed = asked.select("asked", "part", F.explode(F.filter(one_edit_away(digits), lambda v: v.rlike(r"^\d{7}$"))).alias("v"))
+    typed = typed.select("asked", keys.collection_key(F.substring("v", 1, 3), F.col("part"), F.substring("v", 4, 4)).alias("key"), F.lit(2).alias("source"), F.lit(0).alias("place"))
+    tried = holding.unionByName(parts.unionByName(typed).join(lines.select("key").distinct(), "key", "left_semi"))
+    tried = tried.groupBy("asked", "key").agg(F.min(F.struct("source", "place")).alias("by")).select("asked", "key", "by.*")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("court", "canton", "date"))
+    met = tried.join(lines.withColumn("nth", nth), "key").where("nth = 1 OR source = 1")
+    order = Window.partitionBy("asked").orderBy("source", "place", "key", "court", "canton", "date")
+    ranked = met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    reason = F.get(F.array(*map(F.lit, ("contains_page", "other_part", "one_character"))), F.col("source"))
+    answers = ranked.select("asked", "rank", F.col("key").alias("found"), "court", "date", reason.alias("reason"))
+    met = references.select("ref_id", F.col("key").alias("asked")).join(answers, "asked")
+    return met.select("ref_id", "rank", F.col("found").alias("key"), "court", "date", "reason")
+
+
 def joined_applications(references: DataFrame, rows: DataFrame) -> DataFrame:
     """References to an application number that is listed only as the first of several joined ones (``a/b_c/d``)."""
     first = rows.select("key", F.substring_index("key", "_", 1).alias("head")).where("head <> key")

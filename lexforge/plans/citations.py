@@ -103,6 +103,12 @@ def one_edit_suggestions(spark, sf):
     return citelist.suggest(missing, rows)
 
 
+def collection_suggestions(spark, sf):
+    rows = Scratch(spark).cut(_lines(spark, sf).where("key LIKE 'BGE %'"), "lines")
+    missing = citelist.lookup(_refs(spark, sf).select("ref_id", "key").where("key LIKE 'BGE %'"), rows.select("key"), "left_anti")
+    return citelist.collection_suggestions(missing, rows)
+
+
 def other_part(spark, sf):
     return citelist.other_part(_refs(spark, sf), _lines(spark, sf))
 
@@ -208,7 +214,7 @@ def findings_union(spark, sf):
     return references.all_findings(checked, references.loose_status(loose, listed))
 
 
-QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, court_scope, date_issue, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications, parse_cantonal, page_issue, findings_union)}
+QUERIES = {f.__name__: f for f in (cite_index_lines, cite_index_dedup, cite_drop_counts, court_coverage, manifest_totals, absent_volumes, lookup_exact, lookup_semi, lookup_missing, alias_lookup, key_neighbours, page_ranges, contains_page, asof_probe, one_edit_suggestions, other_part, pinpoint_check, nearby_numbers, court_scope, date_issue, finding_status, status_counts, parse_reference, decision_links, gap_fill_source, joined_applications, parse_cantonal, page_issue, findings_union, collection_suggestions)}
 
 _KIND = """
 kinds AS (
@@ -320,6 +326,19 @@ SELECT o_orderkey AS ref_id, b AS key, listed FROM o JOIN j ON o.b = j.head""",
 
 _LISTED = lambda i: "[" + ", ".join("NULL" if c[i] is None else "'" + c[i].replace("'", "''") + "'" for c in _CANTONAL) + "]"
 ORACLE_SQL |= {
+    "collection_suggestions": f"""{_R}, {_RANGES},
+m AS (SELECT DISTINCT key AS asked, CAST(substr(key, 5, 3) AS BIGINT) AS volume, split_part(key, ' ', 3) AS part, CAST(right(key, 4) AS BIGINT) AS page, substr(key, 5, 3) || right(key, 4) AS digits
+  FROM parsed WHERE key LIKE 'BGE %' AND key NOT IN (SELECT key FROM lines)),
+l AS (SELECT *, substr(key, 5, 3) || right(key, 4) AS digits, split_part(key, ' ', 3) AS part, row_number() OVER (PARTITION BY key ORDER BY court, canton, date) AS nth FROM lines WHERE key LIKE 'BGE %'),
+near AS (
+  SELECT asked, r.key, 0 AS source FROM m JOIN ranges r ON r.volume = m.volume AND r.part = m.part AND m.page BETWEEN r.first AND coalesce(r.last, r.first + 40)
+  UNION ALL SELECT asked, l.key, 100 + list_position({list(keys.PARTS)}, l.part) FROM m JOIN l ON l.digits = m.digits AND l.part <> m.part WHERE nth = 1
+  UNION ALL SELECT asked, l.key, 200 FROM m JOIN l ON l.part = m.part AND damerau_levenshtein(l.digits, m.digits) = 1 WHERE nth = 1),
+best AS (SELECT asked, key, min(source) AS source FROM near GROUP BY asked, key),
+ranked AS (SELECT asked, key, court, date, source, row_number() OVER (PARTITION BY asked ORDER BY source, key, court, canton, date) AS rank
+  FROM best JOIN l USING (key) WHERE nth = 1 OR source BETWEEN 100 AND 199)
+SELECT p.ref_id, r.rank, r.key, r.court, r.date, CASE WHEN source = 0 THEN 'contains_page' WHEN source < 200 THEN 'other_part' ELSE 'one_character' END AS reason
+FROM parsed p JOIN ranked r ON r.asked = p.key WHERE rank <= 4""",
     "parse_cantonal": f"""WITH o AS (SELECT o_orderkey AS ref_id, CAST(o_orderkey % {len(_CANTONAL)} AS INT) + 1 AS i,
   replace(replace(replace({_LISTED(2)}[CAST(o_orderkey % {len(_CANTONAL)} AS INT) + 1], '$n', CAST(o_custkey % 999 + 1 AS VARCHAR)), '$y', CAST(year(o_orderdate) AS VARCHAR)), '$p', lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0')) AS label FROM orders)
 SELECT ref_id, label, label AS key, {_LISTED(1)}[i] AS canton, '2019-05-03' AS written_date, '2.1' AS pinpoint FROM o""",

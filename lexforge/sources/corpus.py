@@ -46,8 +46,9 @@ def paragraphs(df: DataFrame, key: str, text: str = "text", separator: str = "\n
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """paragraph, text of a plain text file, one paragraph a line."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("paragraph"), F.col("value").alias("text"))
+    """file, paragraph, text of plain text files, one paragraph a line, counted from 0 in each file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
+    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text"))
 
 
 def surname_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ import gzip
 import hashlib
 import io
 import json
+import tempfile
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,21 @@ def _fs(spark: SparkSession, path: str):
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """Write a file to any file system Spark knows, under a temporary name first."""
-    fs, target = _fs(spark, path)
-    _, temporary = _fs(spark, f"{path}.tmp")
+    write_stream(spark, path, io.BytesIO(data))
+
+
+def write_stream(spark: SparkSession, path: str, source: BinaryIO, block: int = 1 << 22) -> None:
+    """Write what *source* holds, block by block; the target is replaced by one rename, so it is never absent."""
+    fs, temporary = _fs(spark, f"{path}.tmp")
     out = fs.create(temporary, True)
-    out.write(bytearray(data))
+    while data := source.read(block):
+        out.write(bytearray(data))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temporary, target)
+    overwrite = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(overwrite, 1)
+    how[0] = overwrite.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(_fs(spark, path)[1]), how)
 
 
 def cite_list(rows: DataFrame, folder: str, generated: str, header: str = "#cite-index 1") -> dict:
@@ -38,18 +48,22 @@ def cite_list(rows: DataFrame, folder: str, generated: str, header: str = "#cite
     spark = rows.sparkSession
     line = F.concat_ws("\t", "key", "court", "canton", "date", F.array_join("enums", ","), keys.clean_field(F.col("id")))
     ordered = rows.orderBy("key", "court", "canton", "date").select(line.alias("line"))
-    buffer, plain, count = io.BytesIO(), len(header.encode()) + 1, 0
-    with gzip.GzipFile(filename="", mode="wb", fileobj=buffer, compresslevel=9, mtime=0) as out:
-        out.write(f"{header}\n".encode())
-        for row in ordered.toLocalIterator():
-            raw = f"{row[0]}\n".encode()
-            out.write(raw)
-            plain, count = plain + len(raw), count + 1
-    data = buffer.getvalue()
-    digest = hashlib.sha256(data).hexdigest()
-    name = f"cite-index-{generated[:10]}-{digest[:8]}.tsv.gz"
-    manifest = {"schema": 1, "file": name, "bytes": len(data), "sha256": digest, "unpacked_bytes": plain, "generated": generated, "labels": count}
-    write_bytes(spark, f"{folder}/{name}", data)
+    plain, count = len(header.encode()) + 1, 0
+    # The packed list lies in a file of the driver until its digest, and so its name, is known.
+    with tempfile.TemporaryFile() as packed:
+        with gzip.GzipFile(filename="", mode="wb", fileobj=packed, compresslevel=9, mtime=0) as out:
+            out.write(f"{header}\n".encode())
+            for row in ordered.toLocalIterator():
+                raw = f"{row[0]}\n".encode()
+                out.write(raw)
+                plain, count = plain + len(raw), count + 1
+        size = packed.tell()
+        packed.seek(0)
+        digest = hashlib.file_digest(packed, "sha256").hexdigest()
+        name = f"cite-index-{generated[:10]}-{digest[:8]}.tsv.gz"
+        packed.seek(0)
+        write_stream(spark, f"{folder}/{name}", packed)
+    manifest = {"schema": 1, "file": name, "bytes": size, "sha256": digest, "unpacked_bytes": plain, "generated": generated, "labels": count}
     write_bytes(spark, f"{folder}/index.json", (json.dumps(manifest, ensure_ascii=False, indent=1) + "\n").encode())
     fs, at = _fs(spark, folder)
     for status in fs.listStatus(at):
@@ -67,6 +81,15 @@ def vocabulary_list(decided: DataFrame, folder: str, header: str = "#vocabulary
     head.unionByName(words.unionByName(marked).orderBy("value")).write.mode("overwrite").option("compression", "gzip").text(folder)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """*df* as it was written under *path*; it is computed and written only if nothing is there."""
+    spark = df.sparkSession
+    fs, done = _fs(spark, f"{path}/_SUCCESS")
+    if not fs.exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def append_record(days: DataFrame, path: str) -> None:
     """Add to a Parquet record the days that it does not have."""
     spark = days.sparkSession

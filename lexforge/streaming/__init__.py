@@ -8,10 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def daily_stream(rows: DataFrame, delay: str = "1 day") -> DataFrame:
-    """day, downloads, unique, bots of a stream (at timestamp, addr, bot); a day is given once the watermark has passed its end."""
-    windowed = rows.withWatermark("at", delay).groupBy(F.window("at", "1 day"))
-    people = F.collect_set(F.when(~F.col("bot"), F.col("addr")))
-    counts = windowed.agg(F.count_if(~F.col("bot")).alias("downloads"), F.size(people).cast("long").alias("unique"), F.count_if("bot").alias("bots"))
+    """day, downloads, unique, bots of a stream (at timestamp, addr, bot); a day is given once the watermark has passed its end.
+
+    State is one number for each address of a day, dealt by address; a day itself is only the sum of these.
+    """
+    per = rows.withWatermark("at", delay).groupBy(F.window("at", "1 day"), "addr").agg(F.count_if(~F.col("bot")).alias("read"), F.count_if("bot").alias("bots"))
+    person = (F.col("read") > 0) & F.col("addr").isNotNull()
+    counts = per.groupBy(F.window("window", "1 day")).agg(F.sum("read").alias("downloads"), F.count_if(person).alias("unique"), F.sum("bots").alias("bots"))
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "downloads", "unique", "bots")
 
 
