@@ -154,7 +154,25 @@ def name_forms(spark, sf):
     return evaluation.forms(n)
 
 
-QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, docx_parts, docx_copy, anonymization_check, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms)}
+def _turns_once(spark, sf):
+    return _masked(spark, sf).groupBy("id").agg(F.min("text").alias("text"))
+
+
+def mask_positions(spark, sf):
+    return evaluation.mask_positions(_turns_once(spark, sf), head=40, tail=20)
+
+
+def synthetic_identifiers(spark, sf):
+    return evaluation.identifier_cases(table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+def identifier_recall(spark, sf):
+    """Made-up identifiers behind the first mask of each turn, and how many a scan shows."""
+    docs = _turns_once(spark, sf)
+    return evaluation.identifier_recall(docs, evaluation.mask_positions(docs, head=-1, tail=0).where("nth = 0"))
+
+
+QUERIES = {f.__name__: f for f in (placeholders, anonymized_documents, identifier_scan, ahv_valid, iban_valid, code_shapes, entries, label_assignment, redact_text, verify_copy, html_text, docx_parts, docx_copy, anonymization_check, people, list_length_quantiles, recall_by_form, mention_caught, entity_recall, stratified_sample, name_forms, mask_positions, synthetic_identifiers, identifier_recall)}
 
 _MAILS = r"mails AS (SELECT id, lang, i - 1 AS start, ms[i] AS value FROM (SELECT doc_id AS id, lang, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS ms FROM documents)))"
 _ENTRIES = r"""forms AS (SELECT id, 'i:mail:' || lower(regexp_replace(value, '[^\p{L}\p{N}]', '', 'g')) AS key, value, count(*) AS n, min(start) AS first FROM mails GROUP BY ALL),
@@ -208,3 +226,27 @@ ORACLE_SQL |= {
     "docx_parts": f"WITH {_TURNS} SELECT conv_id, index, md5(text) AS digest FROM turns WHERE regexp_matches(text, '[\\pL\\pN_]')",
     "docx_copy": f"WITH {_TURNS}, c AS (SELECT conv_id, index, CASE WHEN length(text) >= 5 AND regexp_matches(text, '[\\pL\\pN_]') THEN 'X.____' || substr(text, 6) ELSE text END AS text FROM turns) SELECT conv_id, index, md5(text) AS digest FROM c WHERE regexp_matches(text, '[\\pL\\pN_]')",
 }
+
+_MASK = r"\b[A-Z]{1,3}\.?_{2,}|\[(?:\.\.\.|…)\]|\bX{3,}\b|\*{3,}"
+_DIGITS = lambda a, b, n: f"lpad(CAST((x * {a} + {b}) % {10**n} AS VARCHAR), {n}, '0')"
+_TEXT = lambda a, b, m, low: f"CAST((x * {a} + {b}) % {m} + {low} AS VARCHAR)"
+ORACLE_SQL |= {
+    "mask_positions": f"""WITH {_MASKED}, single AS (SELECT id, min(text) AS text FROM masked GROUP BY id),
+cut AS (SELECT id, length(text) AS size, string_split_regex(text, '{_MASK}') AS ps, regexp_extract_all(text, '{_MASK}') AS ms FROM single),
+pieces AS (SELECT id, size, i, ps[i] AS piece, ms[i] AS mask FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM cut)),
+placed AS (SELECT *, sum(length(piece) + coalesce(length(mask), 0)) OVER (PARTITION BY id ORDER BY i) AS upto FROM pieces)
+SELECT id, (i - 1)::BIGINT AS nth, (upto - length(mask))::BIGINT AS start, upto::BIGINT AS "end", mask FROM placed
+WHERE mask IS NOT NULL AND upto - length(mask) > 40 AND upto - length(mask) < size - 20""",
+    "synthetic_identifiers": f"""WITH d AS (SELECT doc_id AS id, doc_id % 1000000000 AS x FROM documents),
+n AS (SELECT id, x, '756' || {_DIGITS(104729, 7, 9)} AS t, {_DIGITS(15485863, 11, 9)} || {_DIGITS(32452843, 13, 8)} AS a FROM d),
+c AS (SELECT id, x, t || CAST((10 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(t, i, 1) AS INT) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS VARCHAR) AS s,
+  'CH' || lpad(CAST(98 - CAST(a || '121700' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || a AS b FROM n)
+SELECT id, label, phrase FROM (
+  SELECT id, 'ahv' AS label, 'AHV-Nr. ' || substr(s, 1, 3) || '.' || substr(s, 4, 4) || '.' || substr(s, 8, 4) || '.' || substr(s, 12) AS phrase FROM c
+  UNION ALL SELECT id, 'iban', 'IBAN ' || substr(b, 1, 4) || ' ' || substr(b, 5, 4) || ' ' || substr(b, 9, 4) || ' ' || substr(b, 13, 4) || ' ' || substr(b, 17, 4) || ' ' || substr(b, 21) FROM c
+  UNION ALL SELECT id, 'mobile', 'Telefon 079 ' || {_TEXT(31, 1, 900, 100)} || ' ' || {_TEXT(37, 2, 90, 10)} || ' ' || {_TEXT(41, 3, 90, 10)} FROM c
+  UNION ALL SELECT id, 'address', 'wohnhaft in der Seegasse ' || {_TEXT(43, 4, 99, 1)} || ', ' || {_TEXT(47, 5, 8000, 1000)} || ' Musterdorf' FROM c
+  UNION ALL SELECT id, 'plate', 'Fahrzeug mit dem Kennzeichen ZH ' || {_TEXT(53, 6, 900000, 10000)} FROM c
+  UNION ALL SELECT id, 'parcel', 'Parzelle Nr. ' || {_TEXT(59, 8, 9900, 100)} FROM c
+  UNION ALL SELECT id, 'birth_date', 'geboren am ' || {_TEXT(61, 9, 28, 1)} || '. März 19' || {_TEXT(67, 10, 60, 40)} FROM c)""",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import dates, keys
 from lexforge.operators import citelist, evaluation, identifiers, references, rollup, vocabulary
+from lexforge.sources import corpus, sinks
 from lexforge.streaming import daily_stream, record_stream
 
 
@@ -123,3 +124,50 @@ def test_neighbours_over_ranges_without_keys(spark):
     at = {p: (bisect.bisect_left(listed, p), bisect.bisect_right(listed, p)) for p in asked}
     assert {r.probe: (r.before, r.after) for r in got} == {p: (listed[a - 1] if a else None, listed[b] if b < len(listed) else None) for p, (a, b) in at.items()}
     assert len(got) == len(asked)
+
+
+def test_trials(spark):
+    docs = spark.createDataFrame([(1, "Der Kläger A.________ und die Beklagte B.________ sind sich einig."), (2, "niemand"), (3, "A.________")], "id long, text string")
+    got = [tuple(r) for r in evaluation.mask_positions(docs, head=0, tail=0).orderBy("id", "start").collect()]
+    assert got == [(1, 0, 11, 21, "A.________"), (1, 1, 39, 49, "B.________")]
+    assert [(r.start, r.end) for r in evaluation.mask_positions(docs, head=-1, tail=0).where("id = 3").collect()] == [(0, 10)]
+    assert one(spark, evaluation.spliced(F.lit("abcdef"), F.lit(2), F.lit(4), F.lit("X"))) == "abXef"
+    assert [one(spark, evaluation.percent(F.lit(a), F.lit(b))) for a, b in ((1234, 1256), (0, 0))] == ["98.2 % (1,234/1,256)", "n/a"]
+
+
+def test_made_up_identifiers_are_valid_and_shown(spark):
+    docs = spark.range(1, 40).select("id", F.lit("Im Verfahren von A.________ gegen B.________ wurde entschieden.").alias("text"))
+    cases = evaluation.identifier_cases(docs)
+    assert cases.where("label = 'ahv'").where(~identifiers.social_insurance_valid(F.col("phrase"))).count() == 0
+    assert cases.where("label = 'iban'").where(~identifiers.iban_valid(F.substring("phrase", 6, 40))).count() == 0
+    first = evaluation.mask_positions(docs, head=-1, tail=0).where("nth = 0")
+    got = {r.label: (r.n, r.hits) for r in evaluation.identifier_recall(docs, first).collect()}
+    assert got == {k: (39, 39) for k in ("ahv", "iban", "mobile", "address", "plate", "parcel", "birth_date")}
+
+
+def test_parcels_and_numbers_in_any_case():
+    for text, value in (("Parzelle Nr. 1234,", "1234"), ("auf Parz. 77 und", "77"), ("Kat.-Nr. 1'204.", "1'204"), ("la parcelle n° 12", "12"), ("PARZELLE NR. 5", "5")):
+        assert [(s["label"], s["value"]) for s in identifiers.scan(text)] == [("parcel", value)]
+    assert identifiers.scan("die Parzelle liegt an der Grenze") == []
+
+
+def test_collection_suggestions(spark):
+    lines = [("BGE 140 III 0100", "bge"), ("BGE 140 III 0150", "bge"), ("BGE 140 II 0115", "bge"), ("BGE 140 II 0115", "x"), ("BGE 141 III 0115", "bge"), ("BGE 140 III 0151", "bge"), ("BGE 041 III 0115", "bge")]
+    rows = spark.createDataFrame([(k, c, "CH", "2014-01-01") for k, c in lines], "key string, court string, canton string, date string")
+    refs = spark.createDataFrame([(1, "BGE 140 III 0115"), (2, "BGE 140 III 0115"), (3, "BGE 140 III 0190"), (4, "BGE 140 III 0192"), (5, "1A_1/2000")], "ref_id long, key string")
+    got = [tuple(r) for r in citelist.collection_suggestions(refs, rows).select("ref_id", "key", "court", "reason").orderBy("ref_id", "rank").collect()]
+    first = [("BGE 140 III 0100", "bge", "contains_page"), ("BGE 140 II 0115", "bge", "other_part"), ("BGE 140 II 0115", "x", "other_part"), ("BGE 140 III 0151", "bge", "one_character")]
+    assert [g[1:] for g in got if g[0] == 1] == [g[1:] for g in got if g[0] == 2]
+    assert [g[1:] for g in got if g[0] == 1][:3] == first[:3] and len([g for g in got if g[0] == 1]) == 4
+    assert [g[1:] for g in got if g[0] == 3][0] == ("BGE 140 III 0151", "bge", "contains_page")
+    assert not [g for g in got if g[0] == 4 and g[3] == "contains_page"] and not [g for g in got if g[0] == 5]
+
+
+def test_kept_tables_and_replaced_files(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    assert sinks.kept(spark.range(3), path).count() == 3 and sinks.kept(spark.range(9), path).count() == 3
+    for text in (b"old", b"new"):
+        sinks.write_bytes(spark, f"file://{tmp_path}/f.txt", text)
+    assert (tmp_path / "f.txt").read_bytes() == b"new" and not (tmp_path / "f.txt.tmp").exists()
+    (tmp_path / "p.txt").write_bytes(b"a\r\n\nb\n")
+    assert [(r.paragraph, r.text) for r in corpus.text_lines(spark, f"file://{tmp_path}/p.txt").orderBy("paragraph").collect()] == [(0, "a"), (1, ""), (2, "b")]
