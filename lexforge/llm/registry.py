@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "tokencount", "linedup", "packing", "htmltext", "sketch", "toxicity", "decontaminate", "licences", "neardup", "repair", "audit")
+MODULES = ("quality", "tokencount", "linedup", "packing", "htmltext", "sketch", "toxicity", "decontaminate", "licences", "neardup", "repair", "audit", "lm")
 
 
 def _modules():
