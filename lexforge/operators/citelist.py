@@ -165,16 +165,48 @@ def one_edit_away(key: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(replaced, dropped, swapped, added)), lambda v: v != key)
 
 
+def without_one(key: Column) -> Column:
+    """The key and what is left of it without one character, each form once."""
+    each = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1, F.length(key))))
+    return F.array_distinct(F.array_append(each, key))
+
+
+def one_edit(key: Column, other: Column) -> Column:
+    """Whether *other* is one typing error from *key*: a character replaced within its class, dropped, swapped or added."""
+    n, m = F.length(key), F.length(other)
+    char = lambda s, i: F.substr(s, i, F.lit(1))
+    cut = lambda s, i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1, F.length(s)))
+    kind = lambda c: F.when(c.rlike("^[0-9]$"), 1).when(c.rlike("^[A-Z]$"), 2).otherwise(0)
+    places = F.sequence(F.lit(1), F.greatest(n, m))
+    replaced = F.exists(places, lambda i: (cut(key, i) == cut(other, i)) & (kind(char(key, i)) > 0) & (kind(char(key, i)) == kind(char(other, i))))
+    swapped = F.exists(places, lambda i: (i < n) & (F.concat(F.substr(key, F.lit(1), i - 1), char(key, i + 1), char(key, i), F.substr(key, i + 2, n)) == other))
+    dropped = F.exists(places, lambda i: (cut(key, i) == other) & (kind(char(key, i)) > 0))
+    # An added character is of the class of a neighbour, a digit's before a letter's.
+    around = lambda i: F.greatest(F.when(i > 1, kind(char(key, i - 1))).otherwise(0) % 2 * 3, F.when(i <= n, kind(char(key, i))).otherwise(0) % 2 * 3, F.when(i > 1, kind(char(key, i - 1))).otherwise(0), F.when(i <= n, kind(char(key, i))).otherwise(0))
+    pool = lambda i: F.when(around(i) == 3, 1).when(around(i) == 2, 2).otherwise(-1)
+    added = F.exists(places, lambda i: (cut(other, i) == key) & (kind(char(other, i)) == pool(i)))
+    return (key != other) & F.when(n == m, replaced | swapped).when(m == n - 1, dropped).when(m == n + 1, added).otherwise(False)
+
+
+def near_keys(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """key, variant: asked keys beside the listed ones that are one typing error away.
+
+    Both sides are cut by one character, some fifteen forms each, and meet where a form is the same: keys of one error
+    always do. What meets is judged by :func:`one_edit`.
+    """
+    left = asked.select("key").distinct().select("key", F.explode(without_one(F.col("key"))).alias("form"))
+    right = listed.select(F.col("key").alias("variant")).distinct().select("variant", F.explode(without_one(F.col("variant"))).alias("form"))
+    met = left.join(right, "form").where("key <> variant").select("key", "variant").distinct()
+    return met.where(one_edit(F.col("key"), F.col("variant")))
+
+
 def suggest(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """ref_id, rank, key, court, date, reason, score: listed lines one typing error from a missing label.
 
     A line with the written date counts most, then one that has the written number, then the named court; if any
-    scores below 4 only those stay. Ties go by key, court, canton, date. Variants are generated once a label and joined
-    by equality, so the work grows with the references and not with references times lines.
+    scores below 4 only those stay. Ties go by key, court, canton, date. Near keys are found once a label.
     """
-    tried = references.select("key").distinct().select("key", F.explode(one_edit_away(F.col("key"))).alias("variant"))
-    # Most variants are not listed: they go before references or lines are touched.
-    tried = tried.join(rows.select(F.col("key").alias("variant")).distinct(), "variant", "left_semi")
+    tried = near_keys(references, rows)
     listed = rows.select(F.col("key").alias("variant"), F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), "date", "enums")
     met = references.select("ref_id", "key", "written_date", "pinpoint", "courts", "canton").join(tried, "key").join(listed, "variant")
     same = F.coalesce(F.col("date") == F.col("written_date"), F.lit(False))
@@ -188,6 +220,23 @@ def suggest(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     return ranked.select("ref_id", F.col("rank").cast("long").alias("rank"), F.col("variant").alias("key"), F.col("row_court").alias("court"), "date", "reason", F.col("score").cast("long").alias("score"))
 
 
+def date_suggestions(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
+    """ref_id, rank, key, court, date: for a listed label of which no date fits, lines of that date one typing error away.
+
+    The number may be the error and not the date: the written date is the first key of this search, nearness the second.
+    Ties go by scope, key, court, canton.
+    """
+    listed = rows.select(F.col("key").alias("variant"), F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), F.col("date").alias("written_date"))
+    asked = references.select("key", "written_date").distinct()
+    near = asked.join(listed.select("variant", "written_date").distinct(), "written_date").where(F.abs(F.length("key") - F.length("variant")) <= 1)
+    near = near.where(one_edit(F.col("key"), F.col("variant")))
+    met = references.select("ref_id", "key", "written_date", "courts", "canton").join(near, ["key", "written_date"]).join(listed, ["variant", "written_date"])
+    outside = ~F.coalesce(keys.in_scope(F.col("courts"), F.col("canton"), F.col("row_court"), F.col("row_canton")), F.lit(False))
+    order = Window.partitionBy("ref_id").orderBy(outside, "variant", "row_court", "row_canton")
+    ranked = met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    return ranked.select("ref_id", "rank", F.col("variant").alias("key"), F.col("row_court").alias("court"), F.col("written_date").alias("date"))
+
+
 def other_part(references: DataFrame, rows: DataFrame) -> DataFrame:
     """Collection references beside listed decisions of the same volume and page in another part."""
     at = keys.split_collection_key(F.col("key"))

@@ -83,6 +83,18 @@ def page_issues(refs: DataFrame, ranges: DataFrame) -> DataFrame:
     return refs.where("page IS NOT NULL").join(ranges.select("key", "last"), "key").where("page > last").select("ref_id", "key", "page", "last")
 
 
+def page_status(refs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ref_id, key, status, outside, first, last of references (ref_id, key, pages) to listed decisions of the collection.
+
+    status is page if a page lies before the decision's first or behind its last, page_inside if none does, open if none
+    does and the last one is not known (the last decision of a part); without pages a reference is left out.
+    """
+    met = refs.where(F.size("pages") > 0).join(ranges.select("key", "first", "last"), "key")
+    outside = F.filter("pages", lambda p: (p < F.col("first")) | F.coalesce(p > F.col("last"), F.lit(False)))
+    status = F.when(F.size("outside") > 0, "page").when(F.col("last").isNotNull(), "page_inside").otherwise("open")
+    return met.withColumn("outside", outside).select("ref_id", "key", status.alias("status"), "outside", "first", "last")
+
+
 def parsed(references: DataFrame) -> DataFrame:
     """ref_id with label, key, courts and canton (named before the label), written_date, invalid_date, pinpoints and the first of them.
 
