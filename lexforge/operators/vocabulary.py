@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 # Words that announce a person, as they stand before a name.
 TITLES = ("Herr", "Herrn", "Frau", "Monsieur", "Madame", "Signor", "Signora", "Mr", "Mrs", "Ms", "Dr.", "Me", "Rechtsanwalt", "Rechtsanwältin", "avocat", "avocate")
+# Titles, salutations and offices that make the word behind them a name, as patterns.
+TITLE_FORMS = (
+    "Herrn?", "Frau", "Monsieur", "Madame", "Mme", "M\\.", "Me", "Dr\\.", "Prof\\.", "Signor[ae]?", "Sig\\.", "Sig\\.ra", "avv\\.", "Mr\\.?", "Mrs\\.?", "Ms\\.?", "Miss", "Judge",
+    "Rechtsanw[äa]lt(?:in)?", "F[üu]rsprecher(?:in)?", "Advokat(?:in)?", "Bundesrichter(?:in)?", "Oberrichter(?:in)?", "Richter(?:in)?", "Gerichtsschreiber(?:in)?",
+    "Präsident(?:in)?", "juge", "greffi(?:er|ère)", "procureur", "giudice", "cancelliere", "Staatsanw[äa]lt(?:in)?",
+)
+#: A title counts if it begins at most so many characters before the word, with nothing but white space between.
+TITLE_REACH = 40
 # Offices that context alone does not make names.
 OFFICES = ("präsident", "präsidentin", "richter", "richterin", "direktor", "direktorin", "notar", "président", "juge", "giudice", "judge")
 # Letters that join the parts of a compound.
@@ -55,28 +63,37 @@ def held_out(identity: Column, n: int) -> Column:
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
-    """id, court, word (lower case), cap, upper, before: every word of two letters or more, with the piece before it.
+    """id, court, word (lower case), cap, upper, lead, context of every word of two letters or more.
 
-    Pieces are what single spaces separate; *before* is the piece in front if exactly one space lies between.
+    A text is cut before every word, so a piece holds a word and what follows it. *lead* is the capitalised word in front
+    if exactly one space lies between; *context* is what stands before the word, up to ``TITLE_REACH`` characters of the
+    two pieces in front.
     """
-    split = docs.select("id", "court", F.split(F.col("text"), " ").alias("ps"))
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("ps"))
-    pieces = split.select("id", "court", F.explode(F.arrays_zip(F.col("ps").alias("piece"), shifted.alias("before"))).alias("p")).select("id", "court", "p.*")
-    words = pieces.select("id", "court", "before", F.posexplode(F.regexp_extract_all("piece", F.lit(r"\p{L}{2,}"), F.lit(0))).alias("nth", "token"), F.col("piece").rlike(r"^\p{L}{2,}").alias("leads"))
-    first, low = F.substring("token", 1, 1), F.lower("token")
-    return words.select("id", "court", low.alias("word"), (first != F.lower(first)).alias("cap"), (F.col("token") == F.upper("token")).alias("upper"), F.when((F.col("nth") == 0) & F.col("leads"), F.col("before")).alias("before"))
+    begin, end = "\x01", "\x02"
+    bare = F.translate(F.col("text"), begin + end, "  ")
+    split = docs.select("id", "court", F.split(F.regexp_replace(bare, r"\p{L}{2,}", f"{begin}$0{end}"), begin).alias("ps"))
+    none = F.array(F.lit(None).cast("string"))
+    zipped = F.arrays_zip(F.col("ps").alias("piece"), F.concat(none, "ps").alias("one"), F.concat(none, none, "ps").alias("two"))
+    pieces = split.select("id", "court", F.explode(zipped).alias("p")).select("id", "court", "p.*").where(F.col("piece").contains(end))
+    token = F.substring_index("piece", end, 1)
+    rows = pieces.select("id", "court", token.alias("token"), F.lower(token).alias("word"), "one", F.concat(F.coalesce("two", F.lit("")), F.col("one")).alias("before"))
+    lead = F.when(F.col("one").rlike(rf"^\p{{Lu}}\p{{L}}+{end} $"), F.lower(F.substring_index("one", end, 1)))
+    first = F.substring("token", 1, 1)
+    context = F.right(F.translate("before", end, ""), F.lit(TITLE_REACH))
+    return rows.select("id", "court", "word", (first != F.lower(first)).alias("cap"), (F.col("token") == F.upper("token")).alias("upper"), lead.alias("lead"), context.alias("context"))
 
 
 def word_statistics(docs: DataFrame, first_names: DataFrame) -> DataFrame:
     """word, docs, courts, cap, low, upper, titled, firsted over the admitted rows of *docs* (id, court, text).
 
-    A capitalised word is titled if a title stands right before it, else firsted if a capitalised first name does.
+    A capitalised word is titled if a title stands close before it, else firsted if a capitalised first name does.
     Hot words are reduced in every task before they are dealt out.
     """
-    rows = word_rows(docs)
     names = first_names.select(F.col("name").alias("__first")).distinct()
-    rows = rows.withColumn("lead", F.when(F.col("before").rlike(r"^\p{Lu}\p{L}+$"), F.lower("before"))).join(names, F.col("lead") == F.col("__first"), "left")
-    titled = F.col("cap") & F.coalesce(F.col("before").isin(*TITLES), F.lit(False))
+    # Most words have no lead: their keys are spread by the word, so that a join that deals by key does not gather them.
+    key = F.coalesce("lead", F.concat(F.lit("\0"), F.col("word")))
+    rows = word_rows(docs).withColumn("__key", key).join(names, F.col("__key") == F.col("__first"), "left")
+    titled = F.col("cap") & F.col("context").rlike(rf"(?:{'|'.join(TITLE_FORMS)})\s+$")
     counts = {"cap": F.col("cap"), "low": ~F.col("cap"), "upper": F.col("cap") & F.col("upper"), "titled": titled, "firsted": F.col("cap") & ~titled & F.col("__first").isNotNull()}
     per = rows.groupBy("word", "court", "id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
     return per.groupBy("word").agg(F.count("*").alias("docs"), F.count_distinct("court").alias("courts"), *[F.sum(n).alias(n) for n in counts])
@@ -95,14 +112,16 @@ def decide(stats: DataFrame, names: DataFrame, residents: int, total_docs: int,
     mark ^) and name (dropped); mark ~ is a name that is ordinary in lower case only.
     """
     r = rules
-    known = names.select(F.col("part").alias("__n"), F.col("bearers").alias("__b"))
-    stem = lambda s: F.when(F.col("word").endswith(s), F.expr(f"substring(word, 1, length(word) - {len(s)})"))
     rows = stats.where((F.col("docs") >= r.min_docs) & ((F.col("courts") >= r.min_courts) | (F.col("docs") >= r.or_docs)))
-    for i, column in enumerate((F.col("word"), stem("s"), stem("es"), stem("in"))):
-        rows = rows.withColumn(f"__k{i}", column).join(known.select(F.col("__n").alias(f"__n{i}"), F.col("__b").alias(f"__b{i}")), F.col(f"__k{i}") == F.col(f"__n{i}"), "left")
-    listed = F.col("__n0").isNotNull()
-    inflected = F.coalesce(*[F.when(F.col(f"__n{i}").isNotNull(), F.col(f"__b{i}")) for i in (1, 2, 3)])
-    is_name = listed | F.col("__n1").isNotNull() | F.col("__n2").isNotNull() | F.col("__n3").isNotNull()
+    # The word and its stems meet the names in one join, as rows of their own.
+    stem = lambda s: F.when(F.col("word").endswith(s), F.expr(f"substring(word, 1, length(word) - {len(s)})"))
+    stems = rows.select("word", F.posexplode(F.array(F.col("word"), stem("s"), stem("es"), stem("in"))).alias("nth", "part")).where("part IS NOT NULL")
+    met = stems.join(names.select("part", F.col("bearers").alias("b")), "part")
+    best = F.min(F.when(F.col("nth") > 0, F.struct("nth", "b")))
+    met = met.groupBy("word").agg(F.max(F.when(F.col("nth") == 0, F.col("b"))).alias("__b0"), F.bool_or(F.col("nth") == 0).alias("__listed"), best.alias("__stem"))
+    rows = rows.join(met, "word", "left")
+    listed, is_name = F.coalesce("__listed", F.lit(False)), F.col("__listed").isNotNull()
+    inflected = F.col("__stem.b")
     people = F.when(F.coalesce("__b0", F.lit(0)) > 0, F.col("__b0")).otherwise(F.coalesce(inflected, F.lit(0)))
     marked = F.col("titled") + F.col("firsted")
     caps = F.greatest(F.lit(1), F.col("cap"))

@@ -35,6 +35,20 @@ def word_stats(spark, sf):
     return _stats(spark, sf)
 
 
+#: Words before a name: titles, parts of titles, and words that are none.
+_TITLES = ("Herr", "Frau", "Dr.", "Sig.ra", "M.", "Prof. Dr.", "Richterin", "Herrn Dr", "Haus")
+
+
+def title_reach(spark, sf):
+    """Titles at 1 to 60 characters of white space before a name."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, _TITLES)), (F.col("o_custkey") % len(_TITLES)).cast("int")).alias("title"), (F.col("o_orderkey") % 60 + 1).cast("int").alias("gap"))
+    white = F.when(F.col("gap") % 2 == 0, F.concat(F.repeat(F.lit(" "), F.col("gap") - 1), F.lit("\n"))).otherwise(F.repeat(F.lit(" "), F.col("gap")))
+    docs = o.select(F.col("o_orderkey").alias("id"), F.lit("c").alias("court"), F.concat(F.lit("Es sagt "), "title", white, F.lit("Muster "), F.concat(F.lit("nummer"), F.translate(F.col("gap").cast("string"), "0123456789", "abcdefghij"))).alias("text"))
+    rows = v.word_rows(docs)
+    titled = F.col("context").rlike(rf"(?:{'|'.join(v.TITLE_FORMS)})\s+$")
+    return rows.where("word = 'muster'").select("id", F.length("context").cast("long").alias("seen"), titled.alias("titled"))
+
+
 def vocabulary_decide(spark, sf):
     stats = _written(spark, sf)
     total = v.admitted(_docs(spark, sf), 10).count()
@@ -83,19 +97,17 @@ def given_name_runs(spark, sf):
     return v.given_name_runs(_docs(spark, sf), _firsts(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (word_stats, vocabulary_decide, vocabulary_marks, name_bearers, holdout_split, compound_depth0, compound_exceptions, language_by_line, dehyphenate, unknown_runs, given_name_runs)}
+QUERIES = {f.__name__: f for f in (word_stats, title_reach, vocabulary_decide, vocabulary_marks, name_bearers, holdout_split, compound_depth0, compound_exceptions, language_by_line, dehyphenate, unknown_runs, given_name_runs)}
 
 _HOLD = "list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 33), lambda i: CAST(instr('0123456789abcdef', substr(md5(CAST(doc_id AS VARCHAR)), CAST(i AS INT), 1)) - 1 AS BIGINT))), lambda a, d: (a * 16 + d) % 10) = 0"
 _STATS = f"""
 docs AS (SELECT doc_id AS id, source AS court, text, {_HOLD} AS held FROM documents WHERE text IS NOT NULL),
 firsts AS (SELECT DISTINCT lower(regexp_extract(t, '^(\\p{{Lu}}\\p{{L}}+) ', 1)) AS name FROM (SELECT unnest(string_split(text, chr(10))) AS t FROM docs) WHERE regexp_matches(t, '^\\p{{Lu}}\\p{{L}}+ ')),
-split AS (SELECT id, court, string_split(text, ' ') AS ps FROM docs WHERE length(text) >= 300 AND NOT held),
-pieces AS (SELECT id, court, ps[i] AS piece, CASE WHEN i > 1 THEN ps[i - 1] END AS before FROM (SELECT id, court, ps, unnest(range(1, len(ps) + 1)) AS i FROM split)),
-tokens AS MATERIALIZED (SELECT id, court, before, piece, ts[n] AS token, n FROM (SELECT id, court, before, piece, ts, unnest(range(1, len(ts) + 1)) AS n FROM (SELECT *, regexp_extract_all(piece, '\\p{{L}}{{2,}}') AS ts FROM pieces))),
+tokens AS MATERIALIZED (SELECT id, court, ts[i] AS token, gs[i] AS gap, ts[i - 1] AS prev, coalesce(gs[i - 1], '') AS gap1, coalesce(ts[i - 2], '') AS prev2 FROM (
+  SELECT id, court, ts, gs, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT id, court, regexp_extract_all(text, '\\p{{L}}{{2,}}') AS ts, string_split_regex(text, '\\p{{L}}{{2,}}') AS gs FROM docs WHERE length(text) >= 300 AND NOT held))),
 words AS (SELECT id, court, lower(token) AS word, substr(token, 1, 1) <> lower(substr(token, 1, 1)) AS cap, token = upper(token) AS upper,
-  CASE WHEN n = 1 AND regexp_matches(piece, '^\\p{{L}}{{2,}}') THEN before END AS before,
-  CASE WHEN n = 1 AND regexp_matches(piece, '^\\p{{L}}{{2,}}') AND regexp_matches(before, '^\\p{{Lu}}\\p{{L}}+$') THEN lower(before) END AS lead FROM tokens),
-marked AS (SELECT w.*, cap AND coalesce(before IN ({", ".join(f"'{t}'" for t in v.TITLES)}), false) AS titled, f.name IS NOT NULL AS first
+  right(prev2 || gap1 || coalesce(prev, '') || gap, {v.TITLE_REACH}) AS context, CASE WHEN gap = ' ' AND regexp_matches(prev, '^\\p{{Lu}}\\p{{L}}+$') THEN lower(prev) END AS lead FROM tokens),
+marked AS (SELECT w.*, cap AND regexp_matches(context, '(?:{"|".join(v.TITLE_FORMS)})\\s+$') AS titled, f.name IS NOT NULL AS first
   FROM words w LEFT JOIN firsts f ON f.name = w.lead),
 stats AS MATERIALIZED (SELECT word, count(DISTINCT id)::BIGINT AS docs, count(DISTINCT court)::BIGINT AS courts, count(*) FILTER (WHERE cap)::BIGINT AS cap, count(*) FILTER (WHERE NOT cap)::BIGINT AS low,
   count(*) FILTER (WHERE cap AND upper)::BIGINT AS upper, count(*) FILTER (WHERE titled)::BIGINT AS titled, count(*) FILTER (WHERE cap AND NOT titled AND first)::BIGINT AS firsted FROM marked GROUP BY word)"""
@@ -116,7 +128,12 @@ decided AS (SELECT word, cap, low, CASE
     WHEN low >= cap OR ((people = 0 OR (docs / (SELECT n FROM total)::DOUBLE) / (people / 100000.0::DOUBLE) >= 100) AND marked / caps::DOUBLE < 0.1::DOUBLE) THEN 'name_as_word'
     WHEN docs >= 60 AND marked / caps::DOUBLE < 0.05::DOUBLE AND low * 10 < cap THEN 'noun_name' ELSE 'name' END AS verdict FROM j),
 marks AS (SELECT word, verdict, CASE WHEN verdict = 'noun_name' THEN '^' WHEN verdict = 'name_as_word' AND cap * 10 <= low THEN '~' ELSE '' END AS mark FROM decided)"""
+_TITLE_LIST = ", ".join(f"'{t}'" for t in _TITLES)
 ORACLE_SQL = {
+    "title_reach": f"""WITH o AS (SELECT o_orderkey AS id, [{_TITLE_LIST}][CAST(o_custkey % {len(_TITLES)} AS INT) + 1] AS title, o_orderkey % 60 + 1 AS gap FROM orders),
+t AS (SELECT *, CASE title WHEN 'Herrn Dr' THEN NULL WHEN 'Haus' THEN NULL WHEN 'Prof. Dr.' THEN 3 ELSE length(title) END AS size FROM o)
+SELECT id, least({v.TITLE_REACH}, gap + CASE title WHEN 'M.' THEN length('Es sagt M.') ELSE length(CASE title WHEN 'Prof. Dr.' THEN title WHEN 'Sig.ra' THEN title WHEN 'Herrn Dr' THEN title ELSE 'sagt ' || title END) END)::BIGINT AS seen,
+  coalesce(size + gap <= {v.TITLE_REACH}, false) AS titled FROM t""",
     "word_stats": f"WITH {_STATS} SELECT * FROM stats",
     "name_bearers": """WITH n AS (SELECT lower(replace(c_mktsegment || '-von-' || substr(c_mktsegment, 1, 4), ' ', '-')) AS name, CAST(c_nationkey AS BIGINT) AS b, c_custkey % 2 = 0 AS given FROM customer)
 SELECT part, sum(b)::BIGINT AS bearers, sum(CASE WHEN given THEN b ELSE 0 END)::BIGINT AS given FROM (SELECT unnest(regexp_extract_all(name, '\\p{L}{2,}')) AS part, b, given FROM n) WHERE part <> 'von' GROUP BY part""",
