@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import keys
-from lexforge.operators import citelist, finder, places, references, spans
+from lexforge.operators import citelist, finder, places, references, spans, terms
 from lexforge.plans import citations, domain
 from lexforge.plans.domain import LINES_SQL, REFS_SQL
 from lexforge.session import Scratch, table
@@ -162,7 +162,43 @@ def snippets(spark, sf):
     return at.select("id", around["before"].alias("before"), around["after"].alias("after"), finder.snippet(F.col("text"), F.col("start"), F.col("end")).alias("snippet"))
 
 
-QUERIES = {f.__name__: f for f in (qualified_labels, label_chains, raw_spans, replaced_in_raw, document_findings, widest_spans, earliest_spans, free_spans, finding_pages, date_suggestions, occurrences, snippets)}
+#: Terms of one to five words as a user enters them, and the ways a text has them.
+_TERMS = (
+    ("St. Gallen", ("St. Gallen", "st.gallen", "ST.  GALLEN", "St.-Gallen")), ("Müller-Meier", ("Müller Meier", "mu\u0308ller-meier", "MÜLLER\u00a0MEIER", "Müller‑Meier")),
+    ("Haus zum Roten Hirschen AG", ("Haus zum Roten Hirschen AG", "haus-zum-roten-hirschen ag", "HAUS ZUM ROTEN HIRSCHEN AG", "Haus  zum Roten Hirschen AG")), ("E-Mail", ("E-Mail", "e mail", "E‑MAIL", "E - Mail")),
+    ("Roten", ("Roten", "roten", "ROTEN", "Roten")), ("A.B.", ("A.B.", "a. b.", "A.-B.", "A. B.")), ("(x)", ("(x)", "(X)", "(x)", "(x)")), ("Hirsch", ("Hirsch", "hirsch", "HIRSCH", "Hirsch")),
+)
+_NONE = ("Hirschen", "xHirsch", "Müllermeier", "St Gallen", "E_Mail", "Rotens")
+
+
+def _own_terms(spark):
+    return spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_TERMS)], "term_id long, term string")
+
+
+def _term_texts(spark, sf):
+    """Two terms in one of four ways each, between words that only look like terms."""
+    o = table(spark, sf, "orders")
+    way = (F.col("o_orderkey") % 4).cast("int")
+    pick = lambda c: _pick(c * 4 + way, [v for _, ways in _TERMS for v in ways])
+    one, two = F.col("o_orderkey") % len(_TERMS), F.col("o_custkey") % len(_TERMS)
+    other = _pick(F.col("o_custkey") + F.col("o_orderkey"), _NONE)
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(other, F.lit(": "), pick(one), F.lit(", dann "), other, F.lit("; "), pick(two), F.lit("! "), other).alias("text"))
+
+
+def user_terms(spark, sf):
+    """Every place of a user's terms, overlapping ones included."""
+    return terms.find_terms(_term_texts(spark, sf), _own_terms(spark)).select("id", "term_id", "start", "end")
+
+
+def user_terms_chosen(spark, sf):
+    """A user's places against shown ones: half of them at the same place, others wider."""
+    texts = _term_texts(spark, sf)
+    own = terms.find_terms(texts, _own_terms(spark))
+    shown = own.where("term_id IN (0, 1, 4)").select("id", "start", (F.col("end") + F.when(F.col("id") % 2 == 0, 0).otherwise(3)).alias("end"), (F.col("term_id") + 100).alias("row"))
+    return terms.choose(own, shown).select("id", "start", "end", "source", "row")
+
+
+QUERIES = {f.__name__: f for f in (qualified_labels, label_chains, raw_spans, replaced_in_raw, document_findings, widest_spans, earliest_spans, free_spans, finding_pages, date_suggestions, occurrences, snippets, user_terms, user_terms_chosen)}
 
 
 def _list(values) -> str:
@@ -247,3 +283,18 @@ SELECT id, substr(t, greatest(s - 48, 0) + 1, s - greatest(s - 48, 0)) AS before
   CASE WHEN s > 60 THEN '…' || regexp_replace(substr(t, s - 59, 60), '^\S*\s', '') ELSE substr(t, 1, s) END || substr(t, s + 1, e - s)
   || CASE WHEN e + 60 < length(t) THEN regexp_replace(substr(t, e + 1, 60), '\s\S*$', '') || '…' ELSE substr(t, e + 1, 60) END AS snippet FROM m""",
 }
+
+_WAYS = [v for _, ways in _TERMS for v in ways]
+#: Where the terms stand in the texts; "Roten" also inside the longest one, at its third word.
+_TERM_PLACES = f"""o AS (SELECT o_orderkey AS id, o_orderkey % {len(_TERMS)} AS t1, o_custkey % {len(_TERMS)} AS t2, {_at(_WAYS, f"(o_orderkey % {len(_TERMS)}) * 4 + o_orderkey % 4")} AS v1,
+  {_at(_WAYS, f"(o_custkey % {len(_TERMS)}) * 4 + o_orderkey % 4")} AS v2, {_at(_NONE, "o_custkey + o_orderkey")} AS other FROM orders),
+p AS (SELECT id, t1 AS term_id, length(other) + 2 AS start, v1 AS v FROM o UNION ALL SELECT id, t2, 2 * length(other) + 2 + length(v1) + 7 + 2, v2 FROM o),
+h AS (SELECT id, term_id, CAST(start AS INT) AS start, CAST(start + length(v) AS INT) AS stop FROM p
+  UNION ALL SELECT id, 4, CAST(start + strpos(lower(v), 'roten') - 1 AS INT), CAST(start + strpos(lower(v), 'roten') + 4 AS INT) FROM p WHERE term_id = 2)"""
+ORACLE_SQL |= {
+    "user_terms": f"""WITH {_TERM_PLACES} SELECT id, CAST(term_id AS BIGINT) AS term_id, start, stop AS "end" FROM h""",
+    "user_terms_chosen": f"""WITH {_TERM_PLACES},
+b AS (SELECT id, start, stop, 0 AS source, CAST(term_id AS BIGINT) AS row FROM h UNION ALL SELECT id, start, CAST(stop + CASE WHEN id % 2 = 0 THEN 0 ELSE 3 END AS INT), 1, CAST(term_id + 100 AS BIGINT) FROM h WHERE term_id IN (0, 1, 4)),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stop - start DESC, source, row, start) AS nr FROM b)
+SELECT id, start, stop AS "end", source, row FROM k WHERE NOT EXISTS (SELECT 1 FROM k w WHERE w.id = k.id AND w.nr < k.nr AND w.start < k.stop AND k.start < w.stop)""",
+}
