@@ -9,12 +9,38 @@ DECISION_COLUMNS = ("decision_id", "court", "canton", "decision_date", "docket_n
 ALIAS_SCHEMA = "alias_docket_norm string, canonical_decision_id string"
 
 
+def not_beginning(prefix: str) -> str:
+    """A path pattern for names that do not begin with *prefix*: one alternative for each place at which they differ."""
+    return "{" + ",".join(f"{prefix[:k]}[^{prefix[k]}]*" for k in range(len(prefix))) + "}"
+
+
 def court_files(spark: SparkSession, folder: str, columns: tuple[str, ...] = DECISION_COLUMNS) -> DataFrame:
     """Per-court Parquet files with the columns asked for (absent ones null) and the file name; hidden and delta files left out."""
-    df = spark.read.option("mergeSchema", "true").parquet(folder)
+    df = spark.read.option("mergeSchema", "true").option("pathGlobFilter", not_beginning("delta-")).parquet(folder)
     name = F.regexp_extract(F.col("_metadata.file_path"), "[^/]+$", 0)
-    rows = df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns], name.alias("file"))
-    return rows.where(~F.col("file").rlike(r"^delta-|^[._]"))
+    return df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns], name.alias("file"))
+
+
+def rotated_logs(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """value of all lines of a log and its rotated generations (any suffix, plain or gzipped) in *folder*.
+
+    Other files are pruned by their paths and never opened. A gzipped generation is read by one task, as its format wants.
+    """
+    return spark.read.text(f"{folder}/{name}*")
+
+
+def record_rows(lines: DataFrame, text: str = "value") -> DataFrame:
+    """day, downloads, unique, bots of a tab-separated record; rows of the old form have no bots, which are null then.
+
+    Headers of either form, empty lines and lines without a day are left out; of rows of one day the first form that
+    counts bots stays, then the larger count.
+    """
+    parts = F.split(F.rtrim(F.col(text)), "\t")
+    number = lambda i: F.try_to_number(F.get(parts, i), F.lit("999999999999")).cast("long")
+    rows = lines.select(F.get(parts, 0).alias("day"), number(1).alias("downloads"), number(2).alias("unique"), number(3).alias("bots"))
+    rows = rows.where(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("downloads").isNotNull())
+    best = F.max(F.struct(F.col("bots").isNotNull().alias("whole"), "downloads", "unique", "bots")).alias("r")
+    return rows.groupBy("day").agg(best).select("day", "r.downloads", "r.unique", "r.bots")
 
 
 def gap_filled(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
