@@ -250,15 +250,28 @@ def test_merged_sketches_are_those_of_the_union():
 
 
 def test_likeness_is_near_the_true_containment():
-    """Of texts of all lengths to their edited texts: exact for short ones, a mean error below 0.05 for others."""
-    rng, errors = random.Random(14), {True: [], False: []}
-    texts = [words(rng, rng.randrange(5, 900), 10**6)[: rng.randrange(30, 6000)] for _ in range(300)]
+    """Of texts to their edited texts, in bands of lengths without a cliff: exact for short ones, a mean error below 0.05 in every band."""
+    rng, errors = random.Random(14), {}
+    texts = [words(rng, 1300, 10**6)[: rng.choice([rng.randrange(30, 300), rng.randrange(272, 700), rng.randrange(700, 2000), rng.randrange(2000, 7000)])] for _ in range(500)]
     for text, after in zip(texts, texts[1:], strict=False):
         changed = sketch.edited(text, after)
         a, b = shingles_of(text), shingles_of(changed)
         error = abs(sketch.likeness(sketch.sketch(text), sketch.sketch(changed)) - len(a & b) / min(len(a), len(b)))
-        errors[max(len(text), len(changed)) - 15 <= sketch.SHORT].append(error)
-    assert max(errors[True]) == 0 and sum(errors[False]) / len(errors[False]) < 0.05 and min(map(len, errors.values())) > 20
+        band = next(k for k, top in enumerate((272, 400, 527, 800, 1100, 2000, 4000, 8000)) if len(text) < top)
+        errors.setdefault(band, []).append(error)
+    assert sorted(errors) == list(range(8)) and min(map(len, errors.values())) > 15
+    assert max(max(errors[k]) for k in (0, 1)) == 0 and all(sum(e) / len(e) < 0.05 for e in errors.values()), {k: sum(e) / len(e) for k, e in errors.items()}
+
+
+def test_fractions_follow_the_distinct_shingles():
+    rng = random.Random(15)
+    repeated = "Read our newsletter daily.\n" * 40
+    assert (sketch.sketch(repeated).scale, len(sketch.sketch(repeated).hashes)) == (1, len(set(sketch.shingle_hashes(repeated).tolist())))
+    for n in (100, 511, 512, 1023, 1024, 4095, 4096, 9000, 40_000):
+        text = words(rng, n, 10**6)[: n + 15]
+        s = sketch.sketch(text)
+        assert s.scale == sketch.own_scale(n) and len(s.hashes) > min(n, 256) * 0.75
+    assert [sketch.own_scale(n) for n in (0, 511, 512, 1023, 1024, 2048, 4095, 4096, 10**9)] == [1, 1, 2, 2, 4, 8, 8, 16, 16]
 
 
 def test_next_documents(spark):
@@ -396,8 +409,27 @@ def test_a_benchmark_in_parts_and_texts_beyond_a_shard(spark):
         assert [(got[i].n_words, got[i].n_hit, got[i].item_ids) for i, _ in docs] == want
         for i, t in docs:
             assert sum(len(decontaminate.words_of(t[s.start : s.end])) for s in got[i].spans) == got[i].n_hit
-    kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"), part_bytes=300)
-    assert {r.doc_id for r in kept.collect()} == {i for i, (n, hit, _) in zip(range(40), want, strict=True) if not (hit > 0 and 20 * hit >= n)}
+    clean = {i for i, (n, hit, _) in zip(range(40), want, strict=True) if not (hit > 0 and 20 * hit >= n)}
+    clash = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("__hash", "__digest", "digest", "gone", "hits", "item_ids", "n", "asking")})
+    for options in ({}, {"part_bytes": 300}):
+        kept = decontaminate.drop_contaminated(clash, spark.createDataFrame(items, "item_id int, text string"), **options)
+        assert {r.doc_id for r in kept.collect()} == clean and kept.columns == clash.columns
+
+
+def test_parts_of_a_benchmark_do_not_live_together(spark, monkeypatch):
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"w{rng.randrange(40)}" for _ in range(n))
+    items = [(i, text(20)) for i in range(30)]
+    docs = [(i, f"{text(30)} {items[i % 30][1] if i % 3 else ''} {text(5)}") for i in range(60)] + [(100 + i, items[0][1]) for i in range(400)] + [(None, None), (7, "")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    whole = decontaminate.contamination(df, bench)
+    assert len(list(decontaminate.benchmark_parts(bench, 350))) >= 5
+    rows = lambda found: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), tuple(map(tuple, r.spans)), r.contaminated) for r in found.collect())
+    for limit in (10**6, 0):  # all hits broadcast, or only those of hot texts
+        monkeypatch.setattr(decontaminate, "SENT_TEXTS", limit)
+        parts = decontaminate.contamination(df, bench, part_bytes=350)
+        assert parts._jdf.queryExecution().toString().split("Physical Plan")[1].count("MapInArrow") == 1
+        assert rows(parts) == rows(whole)
 
 
 # -- 3: lines
