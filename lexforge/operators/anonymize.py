@@ -455,15 +455,22 @@ def check_documents(parts: DataFrame, words: Words) -> DataFrame:
 def check_with(parts: DataFrame, rows: DataFrame, sent_words: int = SENT_WORDS) -> DataFrame:
     """As :func:`check_documents`, with a vocabulary table (word, mark) of any size.
 
-    A larger one than *sent_words* is joined: each document's words, and all their beginnings, ends and middles of
-    three letters or more, are what the rules may ask for.
+    A larger one than *sent_words* is joined: the words of each document, composed as the check reads them, and all their
+    pieces from three letters up to the vocabulary's longest word are what the rules may ask for.
     """
     if rows.limit(sent_words + 1).count() <= sent_words:
         return check_documents(parts, vocabulary(rows))
     ship(parts.sparkSession)
-    longest = F.col("w")
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(longest) - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length(longest) - i + 1), lambda n: F.substr(longest, i, n))))
-    asked = parts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("w")).distinct()
+
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t or ""))
+
+    longest = max(3, rows.agg(F.max(F.length("word"))).first()[0] or 0)
+    word = F.col("w")
+    ends = lambda i: F.least(F.lit(longest), F.length(word) - i + 1)
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(word) - 2), lambda i: F.transform(F.sequence(F.lit(3), ends(i)), lambda n: F.substr(word, i, n))))
+    asked = parts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(composed("text")), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("w")).distinct()
     asked = asked.select("id", F.explode(F.when(F.length("w") < 3, F.array("w")).otherwise(pieces)).alias("word")).distinct()
     known = asked.join(rows.select("word", F.coalesce("mark", F.lit("")).alias("mark")), "word").groupBy("id").agg(F.collect_list(F.struct("word", "mark")).alias("known"))
 

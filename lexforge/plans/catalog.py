@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("citations", "finding", "prose", "words", "privacy", "traffic")
+MODULES: tuple[str, ...] = ("citations", "finding", "prose", "words", "privacy", "reports", "traffic")
 
 
 def _modules():

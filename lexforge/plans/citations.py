@@ -98,8 +98,10 @@ def asof_probe(spark, sf):
 
 
 def one_edit_suggestions(spark, sf):
-    rows = Scratch(spark).cut(_lines(spark, sf), "lines")
-    missing = citelist.lookup(_refs(spark, sf), rows.select("key"), "left_anti").where("key NOT LIKE 'BGE%'")
+    scratch = Scratch(spark)
+    rows = scratch.cut(_lines(spark, sf).where("key NOT LIKE 'BGE%'"), "lines")
+    # Parsed once; what is missing is read several times.
+    missing = scratch.cut(citelist.lookup(_refs(spark, sf).where("key NOT LIKE 'BGE%'"), rows.select("key"), "left_anti"), "missing")
     return citelist.suggest(missing, rows)
 
 
@@ -127,7 +129,7 @@ def nearby_numbers(spark, sf):
 
 
 def finding_status(spark, sf):
-    found = references.check(_refs(spark, sf), _lines(spark, sf))
+    found = references.check(Scratch(spark).cut(_refs(spark, sf), "refs"), _lines(spark, sf))
     return found.select("ref_id", "key", "status", F.array_join("issues", ",").alias("issues"), F.array_join("notes", ",").alias("notes"), "n_listed", "n_scoped")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DECISION_COLUMNS = ("decision_id", "court", "canton", "decision_date", "docket_number", "docket_number_2", "canonical_decision_id")
@@ -71,10 +71,26 @@ def paragraphs(df: DataFrame, key: str, text: str = "text", separator: str = "\n
     return df.select(key, F.posexplode(F.split(text, separator)).alias("paragraph", "text"))
 
 
+def _numbered(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, block, seq, text) of text files, and first seq and number of lines of each block.
+
+    Numbers that rise within a task are consecutive within a block of a file, which one task reads from start to end.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", r"\r$", "").alias("text"))
+    return rows, rows.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.min_by("text", "seq").alias("head"))
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, paragraph, text of plain text files, one paragraph a line, counted from 0 in each file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r?\n$", "").alias("value"))
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("paragraph", "text"))
+    """file, paragraph, text of plain text files, one paragraph a line, counted from 0 in each file.
+
+    A file may be read by many tasks: the lines of the blocks before are added to a line's number in its block.
+    """
+    rows, blocks = _numbered(spark, path)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first", "offset")
+    met = rows.join(blocks, ["file", "block"])
+    return met.select("file", (F.col("offset") + F.col("seq") - F.col("first")).cast("int").alias("paragraph"), "text")
 
 
 def surname_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +107,12 @@ def quoted_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def headed_tsv(spark: SparkSession, path: str, header: str, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of a (gzipped) TSV list whose first line must be *header*; lines that start with # are never data."""
-    rows = spark.read.text(path)
-    first = rows.limit(1).collect()
-    if not first or first[0][0] != header:
+    """Rows of a (gzipped) TSV list of which each file's first line must be *header*; lines that start with # are never data."""
+    lines, blocks = _numbered(spark, path)
+    wrong = blocks.groupBy("file").agg(F.min_by("head", "block").alias("head")).where(~F.col("head").eqNullSafe(F.lit(header)))
+    if lines.limit(1).count() == 0 or wrong.limit(1).count():
         raise ValueError(f"{path} does not start with {header!r}")
+    rows = lines.select(F.col("text").alias("value"))
     parts = F.split("value", "\t")
     return rows.where(~F.col("value").startswith("#")).select(*[F.get(parts, i).alias(c) for i, c in enumerate(columns)])
 

@@ -81,24 +81,42 @@ def vocabulary_list(decided: DataFrame, folder: str, header: str = "#vocabulary
     head.unionByName(words.unionByName(marked).orderBy("value")).write.mode("overwrite").option("compression", "gzip").text(folder)
 
 
-def kept(df: DataFrame, path: str) -> DataFrame:
-    """*df* as it was written under *path*; it is computed and written only if nothing is there."""
+def input_version(df: DataFrame) -> str:
+    """A digest of names, sizes and times of the files that *df* reads; it changes when they do."""
+    digest = hashlib.sha256()
+    for name in sorted(df.inputFiles()):
+        fs, at = _fs(df.sparkSession, name)
+        status = fs.getFileStatus(at)
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
+def _text(spark: SparkSession, path: str) -> str | None:
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def kept(df: DataFrame, path: str, version: str | None = None) -> DataFrame:
+    """*df* as it was written under *path*; it is computed and written if nothing is there or its *version* has changed.
+
+    The version is :func:`input_version` unless one is given; it is written after the table, so that a writer that is
+    killed leaves a table that the next one replaces.
+    """
     spark = df.sparkSession
+    version = input_version(df) if version is None else version
     fs, done = _fs(spark, f"{path}/_SUCCESS")
-    if not fs.exists(done):
+    if not fs.exists(done) or _text(spark, f"{path}.version") != version:
         df.write.mode("overwrite").parquet(path)
+        write_bytes(spark, f"{path}.version", version.encode())
     return spark.read.parquet(path)
 
 
-def append_record(days: DataFrame, path: str) -> None:
-    """Add to a Parquet record the days that it does not have."""
-    spark = days.sparkSession
-    fs, at = _fs(spark, path)
-    if fs.exists(at):
-        days = days.join(spark.read.parquet(path).select("day").distinct(), "day", "left_anti")
-    days.write.mode("append").parquet(path)
-
-
 def markdown(rows: list, columns: list[str]) -> str:
     """A small result as a Markdown table."""
     lines = [f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]

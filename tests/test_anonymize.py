@@ -1,6 +1,6 @@
 """The check of whole documents, with invented people."""
 
-from lexforge.operators import anonymize
+from lexforge.operators import anonymize, identifiers
 
 WORDS = anonymize.Words(frozenset("der die das klagt gegen und wohnt in am hat ein haus gekauft wein flasche ist frau herr gericht urteil vom rechtsanwalt streit".split()), {"streit": "^", "hofmann": "!"})
 
@@ -77,7 +77,16 @@ def test_literature_and_exhibits():
 
 
 def test_a_vocabulary_that_is_joined_gives_the_same(spark):
-    parts = [(1, "body", 0, "Anna Muster klagt gegen das Gericht."), (1, "body", 1, "Der Hofmann hat eine Weinflasche."), (2, "body", 0, None)]
+    long = "a" * 300 + "weinflasche" + "b" * 300
+    parts = [(1, "body", 0, "Anna Muster klagt gegen das Gericht."), (1, "body", 1, "Der Hofmann hat eine Weinflasche."), (2, "body", 0, None), (3, "body", 0, f"Das Gericht {long} Weinflasche"), (4, "body", 0, "Das Gera\u0308t im Geba\u0308ude klagt. Frau Mu\u0308nzer.")]
     docs = spark.createDataFrame(parts, "id long, kind string, index int, text string")
-    rows = spark.createDataFrame([(w, "") for w in WORDS.common] + list(WORDS.marks.items()), "word string, mark string")
-    assert sorted(anonymize.check_with(docs, rows).collect()) == sorted(anonymize.check_with(docs, rows, sent_words=3).collect())
+    rows = spark.createDataFrame([(w, "") for w in [*WORDS.common, "gerät", "gebäude", "münzer"]] + list(WORDS.marks.items()), "word string, mark string")
+    sent, joined = (sorted(anonymize.check_with(docs, rows, **limit).collect()) for limit in ({}, {"sent_words": 3}))
+    assert sent == joined and len(sent) == 4
+
+
+def test_the_filter_before_the_scan_loses_no_digits(spark):
+    texts = ["Parzelle Nr. １２３", "Parzelle Nr. 123", "Parzelle Nr. ١٢٣", "keine Zahl"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = sorted((i, s["start"], s["end"]) for i, t in enumerate(texts) for s in identifiers.scan(t))
+    assert sorted((r.id, r.start, r.end) for r in identifiers.identifiers(docs).collect()) == want and {i for i, *_ in want} >= {0, 1}

@@ -97,3 +97,38 @@ def test_gap_filled_and_names(spark, tmp_path):
     (tmp_path / "l.tsv").write_text('"Anna"@de\nnoise\n')
     assert [r.name for r in corpus.quoted_labels(spark, str(tmp_path / "l.tsv")).collect()] == ["Anna"]
     assert corpus.table_or_empty(spark, "no_such_table").count() == 0
+
+
+def test_lines_are_numbered_over_blocks_of_a_file(spark, tmp_path):
+    lines = [f"line {k} {'x' * (k % 50)}" for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\r\n".join(lines) + "\r\n")
+    (tmp_path / "b.txt").write_text("one\n\ntwo")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = corpus.text_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    of = lambda name: [r.text for r in sorted((r for r in rows if r.file.endswith(name)), key=lambda r: r.paragraph)]
+    assert of("a.txt") == lines and of("b.txt") == ["one", "", "two"]
+    assert sorted(r.paragraph for r in rows if r.file.endswith("a.txt")) == list(range(3000))
+
+
+def test_every_file_of_a_list_starts_with_its_header(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("#list 1\nx\t1\n#note\n")
+    (tmp_path / "b.tsv").write_text("#list 1\ny\t2\n")
+    read = lambda: sorted(map(tuple, corpus.headed_tsv(spark, str(tmp_path), "#list 1", ("name", "n")).collect()))
+    assert read() == [("x", "1"), ("y", "2")]
+    (tmp_path / "c.tsv").write_text("z\t3\n#list 1\n")
+    with pytest.raises(ValueError, match="does not start"):
+        read()
+
+
+def test_a_kept_table_is_made_anew_when_its_input_has_changed(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "kept")
+    spark.range(3).coalesce(1).write.parquet(source)
+    assert sinks.kept(spark.read.parquet(source), path).count() == 3
+    first = (tmp_path / "kept.version").read_text()
+    assert sinks.kept(spark.read.parquet(source), path).count() == 3 and (tmp_path / "kept.version").read_text() == first
+    spark.range(5).coalesce(1).write.mode("append").parquet(source)
+    assert sinks.kept(spark.read.parquet(source), path).count() == 8 and (tmp_path / "kept.version").read_text() != first
