@@ -6,8 +6,9 @@ the benchmark are searched backward in the index at once; the occurrences are lo
 sampled position, and overlapping ones are merged into removal spans. Words outside the benchmark cannot take part in
 an occurrence, so they are left out of the index along with runs too short for any window; nothing is lost by it.
 
-A large benchmark is searched in parts of bounded size, one after the other: each pass adds its spans to those that
-the rows bring along, so neither the driver nor a task ever holds more than a part.
+A large benchmark is searched in parts of bounded size. Each part is a job of its own, of which only the spans of texts
+that are hit are written, under the texts' digests; so neither the driver nor a task ever holds more than a part. The
+spans of all parts are then united by text and meet the rows once.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import Columns, bounded_batches, map_columns
-from lexforge.session import table
+from lexforge.llm.common import HOT_ROWS, HOT_SHARE, Columns, bounded_batches, map_columns, unused
+from lexforge.session import Scratch, table
 
 #: Consecutive words of a window; an item of fewer is one window.
 WINDOW = 13
@@ -34,6 +35,8 @@ SHARE = 20
 SHARD_WORDS, SAMPLE = 1 << 21, 8
 #: A part of the benchmark that is sent to the tasks at once has about so many bytes of text.
 PART_BYTES = 4 << 20
+#: Spans of so many texts and hits at most are broadcast; beyond that only those of texts with very many rows are.
+SENT_TEXTS = 100_000
 
 _KEEP = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: A-Z in lower case, bytes that are not of words as spaces.
@@ -277,42 +280,79 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     than a shard are searched in overlapping pieces, and other columns are ignored whatever their names. No shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("*", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("hits"))
-    parts = benchmark_parts(benchmark, part_bytes)
-    items = next(parts)
-    for following in parts:
-        rows = map_columns(rows, _pass(Phrases.of(items, window), window, shard_words, last=False), f"doc_id long, text string, item_ids array<string>, hits {_SPANS}")
-        items = following
-    found = map_columns(rows, _pass(Phrases.of(items, window), window, shard_words, last=True), f"doc_id long, n_words long, n_hit long, item_ids array<string>, spans {_SPANS}")
+    parts = list(itertools.islice(benchmark_parts(benchmark, part_bytes), 2))
+    if len(parts) > 1:
+        keyed = rows.withColumn("digest", F.md5("text"))
+        rows = _met(keyed, _hits_by_text(keyed, benchmark, window, shard_words, part_bytes), "digest").drop("digest")
+        phrases = Phrases.of([], window)
+    else:
+        rows = rows.select("*", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("hits"))
+        phrases = Phrases.of(parts[0], window)
+    found = map_columns(rows, _pass(phrases, window, shard_words, last=True), f"doc_id long, n_words long, n_hit long, item_ids array<string>, spans {_SPANS}")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
+def _hits_by_text(rows: DataFrame, benchmark: DataFrame, window: int, shard_words: int, part_bytes: int) -> DataFrame:
+    """digest, n (rows), item_ids and hits (word spans) of all texts of *rows* (text, digest) that some part of the benchmark hits."""
+    scratch, tables = Scratch(rows.sparkSession), []
+    plain = rows.select("text", "digest", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_SPANS).alias("hits"))
+    for items in benchmark_parts(benchmark, part_bytes):
+        found = map_columns(plain, _pass(Phrases.of(items, window), window, shard_words, last=False), f"digest string, item_ids array<string>, hits {_SPANS}")
+        # Equal texts have equal hits; copies are one row for each task before they meet.
+        once = found.groupBy("digest").agg(F.count("*").alias("n"), F.first("item_ids").alias("item_ids"), F.first("hits").alias("hits"))
+        tables.append(scratch.cut(once, "part"))
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    # One row for each part at most.
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "hits")]
+    return scratch.cut(every.groupBy("digest").agg(F.max("n").alias("n"), *lists), "hits")
+
+
+def _met(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """*rows* with item_ids and hits of their texts, empty where there are none; rows of hot texts stay where they are."""
+    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("hits") + F.size("item_ids")), F.lit(0)).alias("hits")).first()
+    often = found if size["n"] + size["hits"] <= SENT_TEXTS else found.where(F.col("n") > max(HOT_ROWS, int(rows.count() * HOT_SHARE)))
+    out = rows.join(F.broadcast(often.drop("n")), key, "left")
+    if often is not found:
+        rest = found.join(F.broadcast(often.select(key)), key, "left_anti").select(key, F.col("item_ids").alias("more_ids"), F.col("hits").alias("more_hits"))
+        # Rows that have their hits already ask under keys that no text has, each its own.
+        asking = F.when(F.col("hits").isNull(), F.col(key)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+        out = out.withColumn("asking", asking).join(rest.withColumnRenamed(key, "asking"), "asking", "left")
+        out = out.withColumn("item_ids", F.coalesce("item_ids", "more_ids")).withColumn("hits", F.coalesce("hits", "more_hits")).drop("asking", "more_ids", "more_hits")
+    none = F.array().cast("array<string>"), F.array().cast(_SPANS)
+    return out.withColumn("item_ids", F.coalesce("item_ids", none[0])).withColumn("hits", F.coalesce("hits", none[1]))
+
+
 def _pass(phrases: Phrases, window: int, shard_words: int, last: bool):
     """A pass over rows that adds the item_ids and hits (word spans) of *phrases* to those they have.
 
-    The last one gives no texts, but the number of words and of words hit, and the spans as code points.
+    The last one gives the number of words and of words hit, and the spans as code points, of every row; another one
+    gives what it found under the texts' digests, of texts that are hit only.
     """
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         held: list[tuple] = []
         lists: list[list[bytes]] = []
         size = 0
+        as_rows = lambda found: [{"start": a, "end": b} for a, b in found]
 
         def flush() -> Columns:
-            spans, items = _search(lists, phrases, window, shard_words)
-            spans = [_union([*((h["start"], h["end"]) for h in row[3]), *s]) if row[3] else s for row, s in zip(held, spans, strict=True)]
-            out: Columns = {"doc_id": [row[0] for row in held], "item_ids": [sorted({*row[2], *i}) for row, i in zip(held, items, strict=True)]}
-            as_rows = lambda found: [{"start": a, "end": b} for a, b in found]
+            spans, items = _search(lists, phrases, window, shard_words) if phrases.windows else ([[] for _ in held], [set() for _ in held])
             if last:
+                spans = [_union([*((h["start"], h["end"]) for h in row[3]), *s]) if row[3] else s for row, s in zip(held, spans, strict=True)]
+                out: Columns = {"doc_id": [row[0] for row in held], "item_ids": [sorted({*row[2], *i}) for row, i in zip(held, items, strict=True)]}
                 out |= {"n_words": list(map(len, lists)), "n_hit": [sum(b - a for a, b in s) for s in spans]}
                 out["spans"] = [as_rows(_places(row[1], s)) for row, s in zip(held, spans, strict=True)]
             else:
-                out |= {"text": [row[1] for row in held], "hits": list(map(as_rows, spans))}
+                hit = [k for k, s in enumerate(spans) if s]
+                out = {"digest": [held[k][0] for k in hit], "item_ids": [sorted(items[k]) for k in hit], "hits": [as_rows(spans[k]) for k in hit]}
             held.clear(), lists.clear()
             return out
 
+        name = "doc_id" if last else "digest"
         for b in batches:
-            for row in zip(b["doc_id"], b["text"], b["item_ids"], b["hits"], strict=True):
+            for row in zip(b[name], b["text"], b["item_ids"], b["hits"], strict=True):
                 words = words_of(row[1])
                 if lists and size + len(words) > shard_words:
                     yield flush()
@@ -324,17 +364,34 @@ def _pass(phrases: Phrases, window: int, shard_words: int, last: bool):
     return run
 
 
+def _shares(share: int):
+    """Whether the hits (word spans, unordered) of a text make it contaminated."""
+
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            hit = [sum(z - a for a, z in _union([(h["start"], h["end"]) for h in hits])) for hits in b["hits"]]
+            yield {"digest": b["digest"], "gone": [n * share >= len(words_of(t)) for n, t in zip(hit, b["text"], strict=True)]}
+
+    return run
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of *docs* that are not contaminated, all columns.
 
-    With a benchmark of one part each batch of rows is a shard and only texts reach Python. One of several parts is
-    judged by :func:`contamination` for the distinct texts, since a document's words may be hit by items of all parts.
+    With a benchmark of one part each batch of rows is a shard and only texts reach Python. With several parts the texts
+    that are hit are judged once each, by the hits of all parts together.
     """
     parts = list(itertools.islice(benchmark_parts(benchmark, part_bytes), 2))
     if len(parts) > 1:
-        texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
-        bad = contamination(texts, benchmark, window, share, part_bytes=part_bytes).where("contaminated").select(F.col("doc_id").alias("__hash")).distinct()
-        return docs.join(bad, F.xxhash64("text") == F.col("__hash"), "left_anti")
+        (digest,) = unused(docs, "__digest")
+        keyed = docs.withColumn(digest, F.md5("text"))
+        texts = keyed.where("text IS NOT NULL").select("text", F.col(digest).alias("digest"))
+        hits = _hits_by_text(texts, benchmark, window, SHARD_WORDS, part_bytes)
+        # Only texts that are hit need their words counted, each once.
+        asked = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")).join(hits, "digest")
+        judged = map_columns(asked.select("digest", "text", "hits"), _shares(share), "digest string, gone boolean").where("gone")
+        gone = Scratch(docs.sparkSession).cut(judged.select(F.col("digest").alias(digest)), "contaminated")
+        return keyed.join(gone, digest, "left_anti").drop(digest)
     phrases = Phrases.of(parts[0], window)
     bounded_batches(docs.sparkSession)
 
