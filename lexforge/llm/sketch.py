@@ -4,9 +4,10 @@ Of all shingle hashes of a text those below a fixed fraction of the hash range a
 a union is therefore the union of the sketches, and the share of one sketch that is found in another estimates
 containment even between texts of very unequal length. Shingles are runs of code points.
 
-A short text would have too few hashes below the fraction, so a sketch states its fraction: texts of up to SHORT
-shingles keep all their hashes, others one in SCALE. Sketches of unlike fractions are compared and merged at the
-smaller one: of the fuller sketch the hashes below it are taken, which are just what it would have kept.
+A short text would have too few hashes below the fraction, so a sketch states its fraction: that of long texts is one
+in SCALE, and a text with fewer distinct shingles takes the smallest power of two that still keeps LEAST hashes or more
+by expectation, down to all of them. Sketches of unlike fractions are compared and merged at the smaller one: of the
+fuller sketch the hashes below it are taken, which are just what it would have kept.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from lexforge.llm.common import Columns, bounded_batches, map_columns
 from lexforge.session import table
 
-#: Code points of a shingle (a power of two); one hash in SCALE is kept, of texts of up to SHORT shingles every one.
-SHINGLE, SCALE, SHORT = 16, 16, 256
+#: Code points of a shingle (a power of two); one hash in SCALE is kept, or more of them where that would be fewer than LEAST.
+SHINGLE, SCALE, LEAST = 16, 16, 256
 #: Hashes are written with this many bytes.
 WIDTH = 6
 
@@ -68,11 +69,23 @@ class Sketch(NamedTuple):
 
 def sketch(text: str, scale: int = SCALE, size: int = SHINGLE) -> Sketch:
     """The sketch of a text; an empty one has no hashes."""
-    h = shingle_hashes(text, size)
-    if len(h) <= SHORT:
-        scale = 1
-    h = h >> np.uint64(64 - 8 * WIDTH)
-    return Sketch(scale, np.unique(h[h < (1 << 8 * WIDTH) // scale]))
+    h = shingle_hashes(text, size) >> np.uint64(64 - 8 * WIDTH)
+    if len(h) < 2 * scale * LEAST:  # else there may still be few distinct ones, which the hashes kept tell
+        h = np.unique(h)
+        scale = own_scale(len(h), scale)
+    found = np.unique(h[h < (1 << 8 * WIDTH) // scale])
+    if len(found) < LEAST and scale > 1:
+        h = np.unique(h)
+        scale = own_scale(len(h), scale)
+        found = h[h < (1 << 8 * WIDTH) // scale]
+    return Sketch(scale, found)
+
+
+def own_scale(distinct: int, scale: int = SCALE) -> int:
+    """The scale of a text with so many distinct shingles: it halves whenever fewer than LEAST hashes would be kept."""
+    while scale > 1 and distinct < scale * LEAST:
+        scale //= 2
+    return scale
 
 
 def encode(s: Sketch) -> str:
