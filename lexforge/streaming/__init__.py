@@ -23,6 +23,8 @@ def daily_stream(rows: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 RECORD = "downloads long, unique long, bots long, day string"
+#: The column by which a record is partitioned: a copy of the day, so that the day itself is read as it was written.
+PART = "of_day"
 
 
 def read_record(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +32,7 @@ def read_record(spark: SparkSession, path: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).parquet(path)
+    return spark.read.schema(RECORD).parquet(path).select("downloads", "unique", "bots", "day")
 
 
 def record_days(days: DataFrame, path: str) -> None:
@@ -41,8 +43,8 @@ def record_days(days: DataFrame, path: str) -> None:
     """
     spark = days.sparkSession
     new = days.join(read_record(spark, path).select("day").distinct(), "day", "left_anti")
-    writer = new.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("day").parquet(path)
+    writer = new.withColumn(PART, F.col("day")).repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(PART).parquet(path)
 
 
 def record_stream(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

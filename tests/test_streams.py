@@ -40,7 +40,7 @@ def test_files_of_a_day_that_a_killed_writer_left_are_replaced(spark, tmp_path):
     stale = row.cache()
     stale.count()
     for _ in range(2):  # both passed the check before either wrote
-        stale.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        stale.withColumn("of_day", F.col("day")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("of_day").parquet(path)
     assert read_record(spark, path).count() == 1
 
 
@@ -130,7 +130,7 @@ def test_terms_and_what_only_looks_like_them(spark):
     df, tf = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(own, "term_id long, term string")
     raw = dict(texts)
     found = sorted((r.id, r.start, r.term_id, raw[r.id][r.start : r.end]) for r in terms.find_terms(df, tf).collect())
-    assert [(i, t, x) for i, _, t, x in found] == [(1, 0, "St.Gallen"), (1, 0, "st. gallen"), (2, 1, "MÜLLER  MEIER"), (2, 1, "Müller-Meier"), (3, 2, "A. B."), (3, 2, "a.b."), (5, 4, "Bau AG"), (5, 4, "Bau-AG")]
+    assert sorted((i, t, x) for i, _, t, x in found) == sorted([(1, 0, "St.Gallen"), (1, 0, "st. gallen"), (2, 1, "MÜLLER  MEIER"), (2, 1, "Müller-Meier"), (3, 2, "A. B."), (3, 2, "a.b."), (5, 4, "Bau AG"), (5, 4, "Bau-AG")])
     assert terms.find_terms(df, tf.limit(0)).count() == 0
     shown = spark.createDataFrame([(1, 7, 3, 12), (1, 8, 17, 40)], "id long, row long, start int, end int")
     kept = terms.choose(terms.find_terms(df.where("id = 1"), tf), shown).collect()
