@@ -139,8 +139,7 @@ def finding_pages(spark, sf):
 
 def date_suggestions(spark, sf):
     """For labels of which no date fits: lines of the written date one typing error away."""
-    refs = citations._refs(spark, sf)
-    rows = Scratch(spark).cut(citations._lines(spark, sf), "lines")
+    refs, rows = citations._cut(spark, sf)
     wrong = references.date_issues(refs, rows).select("ref_id").distinct()
     asked = refs.where("key NOT LIKE 'BGE%'").join(wrong, "ref_id", "left_semi")
     return citelist.date_suggestions(asked, rows)
