@@ -112,7 +112,8 @@ def find(paragraphs: DataFrame) -> DataFrame:
     pages = F.when((F.size("pages") == 0) & (page > first) & (page <= first + references.PAGE_REACH), F.array(page)).otherwise(F.col("pages"))
     end = F.col("start") + F.length("label") + F.length("tail")
     out = rows.select("paragraph", F.array(F.col("start"), end).alias("ends"), F.concat("label", "tail").alias("written"), F.when(F.col("full"), F.col("label")).otherwise(F.concat(F.lit("BGE "), F.col("label"))).alias("label"), key.alias("key"), named.alias("courts"), "pinpoints", pages.alias("pages"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
-    back = out.join(texts.select("paragraph", F.struct("plain.at", "plain.raw").alias("plain")), "paragraph")
+    # Texts may be derived from narrow files, whose size tells nothing of theirs: they are dealt out, never sent to all.
+    back = out.join(texts.select("paragraph", F.struct("plain.at", "plain.raw").alias("plain")).hint("merge"), "paragraph")
     raw = back.withColumn("ends", places.raw_places(F.col("plain"), F.col("ends")))
     return raw.select("paragraph", F.col("ends")[0].alias("start"), F.col("ends")[1].alias("end"), *out.columns[2:])
 

@@ -128,5 +128,6 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def letters(texts: pd.Series, asked: pd.Series) -> pd.Series:
         return pd.Series([[(t or "")[s["start"] : s["end"]] for s in spans] for t, spans in zip(texts, asked, strict=True)])
 
-    met = docs.select("id", "text").join(listed, "id").select("id", F.explode(F.arrays_zip("spans", letters("text", "spans").alias("letters"))).alias("x"))
+    # Texts are dealt out whatever their files' size promises: they are never sent to all.
+    met = docs.select("id", "text").join(listed.hint("merge"), "id").select("id", F.explode(F.arrays_zip("spans", letters("text", "spans").alias("letters"))).alias("x"))
     return met.select("id", "x.spans.start", "x.spans.end", "x.letters")

@@ -73,7 +73,7 @@ def replace_shown(docs: DataFrame, shown: DataFrame) -> DataFrame:
     earlier, then the longer, is applied.
     """
     whole = shown.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "written", "label"))).alias("all"))
-    met = docs.select("id", "text").join(whole, "id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,back:int,written:string,label:string>>")))
+    met = docs.select("id", "text").join(whole.hint("merge"), "id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<start:int,back:int,written:string,label:string>>")))
     good = F.filter("all", lambda s: still_reads(F.col("text"), s["start"], -s["back"], s["written"]))
     met = met.withColumn("good", good)
     zero = F.lit(0).cast("long")

@@ -67,7 +67,7 @@ def raw_spans(spark, sf):
     """The raw letters of references found in normalised texts."""
     docs = _raw(spark, sf)
     found = finder.find(docs.withColumnRenamed("id", "paragraph")).select(F.col("paragraph").alias("id"), "start", "end", "written")
-    return places.cut(docs, found).join(found, ["id", "start", "end"]).select("id", "start", "end", "letters", "written")
+    return places.cut(docs, found).join(found.hint("merge"), ["id", "start", "end"]).select("id", "start", "end", "letters", "written")
 
 
 def replaced_in_raw(spark, sf):
@@ -141,7 +141,7 @@ def date_suggestions(spark, sf):
     """For labels of which no date fits: lines of the written date one typing error away."""
     refs, rows = citations._cut(spark, sf)
     wrong = references.date_issues(refs, rows).select("ref_id").distinct()
-    asked = refs.where("key NOT LIKE 'BGE%'").join(wrong, "ref_id", "left_semi")
+    asked = Scratch(spark).cut(refs.where("key NOT LIKE 'BGE%'").join(wrong, "ref_id", "left_semi"), "asked")
     return citelist.date_suggestions(asked, rows)
 
 
