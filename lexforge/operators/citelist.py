@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,8 +94,17 @@ def absent_volumes(rows: DataFrame) -> DataFrame:
     return every.join(at, "volume", "left_anti").select("first", "last", "volume")
 
 
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """*left* beside the rows of *right* that are equal in *on*, nulls too; the other columns of both."""
+    named = right.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in right.columns if c not in on])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+    return left.join(named, same, how).drop(*[f"__{c}" for c in on])
+
+
 def lookup(references: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
     """References beside every line under their key; *how* may be ``left_semi`` (listed) or ``left_anti`` (missing)."""
+    if how in ("left_semi", "left_anti"):
+        rows = rows.select("key").distinct()  # each key once, so that a key of many lines is dealt out as one row
     return references.join(rows, "key", how)
 
 
@@ -223,18 +235,17 @@ def suggest(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
 def date_suggestions(references: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """ref_id, rank, key, court, date: for a listed label of which no date fits, lines of that date one typing error away.
 
-    The number may be the error and not the date: the written date is the first key of this search, nearness the second.
-    Ties go by scope, key, court, canton.
+    The number may be the error and not the date. Near keys are found once a label, then asked for their lines of the
+    written date, once for all references that ask alike. Ties go by scope, key, court, canton.
     """
     listed = rows.select(F.col("key").alias("variant"), F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), F.col("date").alias("written_date"))
-    asked = references.select("key", "written_date").distinct()
-    near = asked.join(listed.select("variant", "written_date").distinct(), "written_date").where(F.abs(F.length("key") - F.length("variant")) <= 1)
-    near = near.where(one_edit(F.col("key"), F.col("variant")))
-    met = references.select("ref_id", "key", "written_date", "courts", "canton").join(near, ["key", "written_date"]).join(listed, ["variant", "written_date"])
+    fields = ["key", "written_date", "courts", "canton"]
+    asked = references.select(*fields).where("written_date IS NOT NULL").distinct()
+    met = asked.join(near_keys(references, rows), "key").join(listed, ["variant", "written_date"])
     outside = ~F.coalesce(keys.in_scope(F.col("courts"), F.col("canton"), F.col("row_court"), F.col("row_canton")), F.lit(False))
-    order = Window.partitionBy("ref_id").orderBy(outside, "variant", "row_court", "row_canton")
+    order = Window.partitionBy(*fields).orderBy(outside, "variant", "row_court", "row_canton")
     ranked = met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
-    return ranked.select("ref_id", "rank", F.col("variant").alias("key"), F.col("row_court").alias("court"), F.col("written_date").alias("date"))
+    return joined(references.select("ref_id", *fields), ranked, fields, "inner").select("ref_id", "rank", F.col("variant").alias("key"), F.col("row_court").alias("court"), F.col("written_date").alias("date"))
 
 
 def other_part(references: DataFrame, rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,13 +135,6 @@ def all_findings(checked: DataFrame, loose: DataFrame) -> DataFrame:
     return first.unionByName(loose.select(F.lit("loose").alias("source"), F.col("paragraph").cast("long").alias("at"), "label", "status", "kind"))
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """*left* beside the rows of *right* that are equal in *on*, nulls too; the other columns of both."""
-    named = right.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in right.columns if c not in on])
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
-    return left.join(named, same, how).drop(*[f"__{c}" for c in on])
-
-
 def _places(rows: DataFrame, *about: Column) -> DataFrame:
     """One row for each key and court of the list, with what *about* tells of its lines."""
     return rows.groupBy("key", F.col("court").alias("row_court"), F.col("canton").alias("row_canton")).agg(*about)
@@ -164,14 +157,14 @@ def _full(date: Column) -> Column:
 def court_issues(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """ref_id, key, listed (courts in order) and n of references whose label is listed, but at no court they name."""
     met = _scopes(refs, _places(rows, F.count("*").alias("n"))).groupBy(*SCOPE).agg(F.bool_or("scoped").alias("inside"), F.array_sort(F.collect_set("row_court")).alias("listed"), F.sum("n").alias("n"))
-    return _joined(refs.select("ref_id", *SCOPE), met.where("NOT inside"), SCOPE, "inner").select("ref_id", "key", "listed", "n")
+    return citelist.joined(refs.select("ref_id", *SCOPE), met.where("NOT inside"), SCOPE, "inner").select("ref_id", "key", "listed", "n")
 
 
 def date_issues(refs: DataFrame, rows: DataFrame) -> DataFrame:
     """ref_id, key, written_date and listed (dates in order) where every line in scope has a full date and none is the written one."""
     places = _places(rows, F.bool_and(_full(F.col("date"))).alias("full"), F.collect_set("date").alias("dates"))
     met = _scopes(refs, places).where("scoped").groupBy(*SCOPE).agg(F.bool_and("full").alias("full"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("dates")))).alias("listed"))
-    found = _joined(refs.select("ref_id", *SCOPE, "written_date").where("written_date IS NOT NULL"), met.where("full"), SCOPE, "inner")
+    found = citelist.joined(refs.select("ref_id", *SCOPE, "written_date").where("written_date IS NOT NULL"), met.where("full"), SCOPE, "inner")
     return found.where(~F.array_contains("listed", F.col("written_date"))).select("ref_id", "key", "written_date", "listed")
 
 
@@ -195,12 +188,12 @@ def check(refs: DataFrame, rows: DataFrame, *carried: str) -> DataFrame:
         (F.min(only("low")) != F.max(only("high"))).alias("unlike"),
         F.array_distinct(F.flatten(F.collect_list(only("es")))).alias("enums"),
     )
-    pins = _joined(refs.select(*SCOPE, "pinpoint").distinct(), scopes, SCOPE).withColumn("n_listed", F.coalesce("n_listed", F.lit(0))).withColumn("n_scoped", F.coalesce("n_scoped", F.lit(0)))
+    pins = citelist.joined(refs.select(*SCOPE, "pinpoint").distinct(), scopes, SCOPE).withColumn("n_listed", F.coalesce("n_listed", F.lit(0))).withColumn("n_scoped", F.coalesce("n_scoped", F.lit(0)))
     pins = pins.withColumn("pin_state", F.when(F.col("pinpoint").isNotNull() & (F.col("n_scoped") > 0), citelist.pinpoint_state(F.col("pinpoint"), F.col("enums")))).drop("enums")
     days = rows.select("key", F.col("court").alias("row_court"), F.col("canton").alias("row_canton"), F.col("date").alias("written_date")).distinct()
     same = refs.select(*SCOPE, "written_date").distinct().join(days, ["key", "written_date"])
     same = same.where(keys.in_scope(F.col("courts"), F.col("canton"), F.col("row_court"), F.col("row_canton"))).select(*SCOPE, "written_date").distinct().withColumn("same", F.lit(True))
-    g = _joined(_joined(refs.select("ref_id", *SCOPE, "written_date", "invalid_date", "pinpoint", *carried), pins, [*SCOPE, "pinpoint"]), same, [*SCOPE, "written_date"])
+    g = citelist.joined(citelist.joined(refs.select("ref_id", *SCOPE, "written_date", "invalid_date", "pinpoint", *carried), pins, [*SCOPE, "pinpoint"]), same, [*SCOPE, "written_date"])
     court = (F.col("n_listed") > 0) & (F.col("n_scoped") == 0)
     inside = F.col("n_scoped") > 0
     date = inside & F.col("written_date").isNotNull() & (F.col("n_dated") == F.col("n_scoped")) & F.col("same").isNull()
