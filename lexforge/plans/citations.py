@@ -88,7 +88,7 @@ def contains_page(spark, sf):
 
 def asof_probe(spark, sf):
     """The last decision of a court before each reference's date."""
-    refs = _refs(spark, sf).select("ref_id", F.col("written_date").alias("at"))
+    refs = Scratch(spark).cut(_refs(spark, sf).select("ref_id", F.col("written_date").alias("at")), "refs")  # parsed once, read twice
     days = domain.decisions(spark, sf).where("court = 'bger'").select(F.col("decision_date").alias("at")).distinct().withColumn("listed", F.col("at"))
     from pyspark.sql import Window
 
