@@ -171,3 +171,14 @@ def test_kept_tables_and_replaced_files(spark, tmp_path):
     assert (tmp_path / "f.txt").read_bytes() == b"new" and not (tmp_path / "f.txt.tmp").exists()
     (tmp_path / "p.txt").write_bytes(b"a\r\n\nb\n")
     assert [(r.paragraph, r.text) for r in corpus.text_lines(spark, f"file://{tmp_path}/p.txt").orderBy("paragraph").collect()] == [(0, "a"), (1, ""), (2, "b")]
+
+
+def test_words_are_summed_up_in_the_tasks(spark):
+    """What is dealt out are sums by word and court, not words; rows of one id are one document, numbers are no letters."""
+    from lexforge.operators import vocabulary as v
+
+    docs = spark.createDataFrame([(1, "a", "Herr Muster kam. Anna Muster kam x²y ab²cd"), (1, "a", "MUSTER"), (2, "b", "muster Anna  Muster Dr.\nMuster"), (None, None, "kam"), (None, None, "kam")] + [(9, "c", "kam kam")] * 50, "id long, court string, text string")
+    told = v._told(docs.where("id = 9").coalesce(1).withColumn("id", F.lit(None).cast("string")))
+    assert [(r.word, r.docs, r.low) for r in told.collect()] == [("kam", 50, 100)]
+    got = {r.word: tuple(r)[1:] for r in v.word_statistics(docs, spark.createDataFrame([("anna",)], "name string")).collect()}
+    assert got["muster"] == (2, 2, 5, 1, 1, 2, 1) and got["kam"] == (3, 2, 0, 104, 0, 0, 0) and got["ab"] == (1, 1, 0, 1, 0, 0, 0) and "ab²cd" not in got
