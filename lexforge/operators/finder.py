@@ -3,6 +3,7 @@
 A paragraph is cut once at everything that may begin a reference: labels, and bare volume-part-page triples, which count
 only as links of a chain. Each piece then starts with its label and holds what follows up to the next one, so tails are
 read from the piece, courts from the end of the piece before, and places are running sums of the pieces' lengths.
+:func:`find` does all of this within the text's row.
 """
 
 from __future__ import annotations
@@ -64,14 +65,15 @@ def cited_pages(tail: Column) -> Column:
     return F.transform(F.regexp_extract_all(tail, F.lit(rf"(?u)(?:^|[ ,])(?:{PAGES}) *(\d{{1,4}})"), F.lit(1)), lambda p: p.cast("int"))
 
 
-def _pieces(paragraphs: DataFrame, pattern: str) -> DataFrame:
-    """paragraph, nth, piece, start: texts cut before every match of *pattern*, with places in the text without marks.
+def _marked(text: Column, pattern: str) -> Column:
+    """A text cut before every match of *pattern*, which a mark ends. Marks are control characters that the text is freed of first, one space for each."""
+    bare = F.translate(text, _B + _E + _C, "   ")
+    return F.split(F.regexp_replace(bare, pattern, f"{_B}$0{_E}"), _B)
 
-    Marks are control characters that the text is freed of first, one space for each.
-    """
-    bare = F.translate(F.col("text"), _B + _E + _C, "   ")
-    marked = F.regexp_replace(bare, pattern, f"{_B}$0{_E}")
-    cutted = paragraphs.select("paragraph", F.posexplode(F.split(marked, _B)).alias("nth", "piece"))
+
+def _pieces(paragraphs: DataFrame, pattern: str) -> DataFrame:
+    """paragraph, nth, piece, start: texts cut before every match of *pattern*, with places in the text without marks."""
+    cutted = paragraphs.select("paragraph", F.posexplode(_marked(F.col("text"), pattern)).alias("nth", "piece"))
     before = Window.partitionBy("paragraph").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     size = F.length(F.replace(F.col("piece"), F.lit(_E), F.lit("")))
     return cutted.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
@@ -84,22 +86,27 @@ def find(paragraphs: DataFrame) -> DataFrame:
     ("BGE 140 III 115 E. 2; 141 III 569") take the collection's name. A null or empty text has no references; ids that
     repeat give the references of a text each only if the texts differ in id.
     """
-    texts = places.with_places(paragraphs.select("paragraph", "text")).withColumn("text", keys.normalise(F.col("plain.text")))
-    rows = _pieces(texts.select("paragraph", "text"), f"{_STRONG}|{_BARE}")
-    label, rest = F.substring_index("piece", _E, 1), F.regexp_extract("piece", f"(?s){_E}(.*)$", 1)
-    rows = keys.computed(rows, F.when(F.col("nth") > 0, label).alias("label"), F.when(F.col("nth") > 0, rest).otherwise(F.col("piece")).alias("rest"))
-    rows = keys.computed(rows, F.coalesce(F.col("label").rlike("^[A-Z]|^\\d[A-Z]"), F.lit(False)).alias("full"))
+    # Texts are dealt out once, so that few large files are work for all. From there on a text's pieces stay side by side
+    # until those that count are known: nothing is sorted.
+    texts = places.with_places(paragraphs.select("paragraph", "text").repartition("paragraph"))
+    texts = keys.computed(texts, _marked(keys.normalise(F.col("plain.text")), f"{_STRONG}|{_BARE}").alias("pieces"))
+    label, rest = lambda p: F.substring_index(p, _E, 1), lambda p: F.regexp_extract(p, f"(?s){_E}(.*)$", 1)
+    parts = F.transform("pieces", lambda p, i: F.struct(F.when(i > 0, label(p)).alias("label"), F.when(i > 0, rest(p)).otherwise(p).alias("rest")))
+    full = lambda x: F.coalesce(x["label"].rlike("^[A-Z]|^\\d[A-Z]"), F.lit(False))
     # A bare triple cannot be taken for another label, so its tails are read as those of the collection.
-    as_read = F.when(F.col("full"), F.col("label")).otherwise(F.concat(F.lit("BGE "), F.col("label")))
-    rows = keys.computed(rows, F.coalesce(tails(as_read, F.col("rest")), F.lit("")).alias("tail"))
-    order = Window.partitionBy("paragraph").orderBy("nth")
-    left = F.substr(F.col("rest"), F.length("tail") + 1, F.length("rest"))
-    rows = rows.withColumn("left", left).withColumn("gap", F.lag("left").over(order)).withColumn("group", F.sum(F.col("full").cast("int")).over(order))
-    chain = Window.partitionBy("paragraph", "group").orderBy("nth")
-    collection = F.col("label").rlike("^(?:BGE|ATF|DTF) ")
-    linked = F.when(F.col("full"), collection).otherwise(F.col("gap").rlike(_LINK))
-    rows = rows.withColumn("chained", F.min(F.coalesce(linked, F.lit(False))).over(chain))
-    rows = rows.where("label IS NOT NULL AND (full OR (group > 0 AND chained))")
+    as_read = lambda x: F.when(full(x), x["label"]).otherwise(F.concat(F.lit("BGE "), x["label"]))
+    tailed = F.transform(parts, lambda x: F.struct(x["label"], x["rest"], full(x).alias("full"), F.coalesce(tails(as_read(x), x["rest"]), F.lit("")).alias("tail")))
+    left = lambda x: F.substr(x["rest"], F.length(x["tail"]) + 1, F.length(x["rest"]))
+    texts = keys.computed(texts, F.transform(tailed, lambda x: F.struct(x["label"], x["full"], x["tail"], left(x).alias("left"))).alias("parts"))
+    # One letter a piece: C a label of the collection, F another one, L a bare triple behind a link. A chain is a C and its Ls.
+    gap = lambda i: F.get("parts", i - 1)["left"]
+    kind = F.transform("parts", lambda x, i: F.when(x["full"], F.when(x["label"].rlike("^(?:BGE|ATF|DTF) "), "C").otherwise("F")).when(gap(i).rlike(_LINK), "L").otherwise("x"))
+    kept = F.split(F.regexp_replace(F.array_join(kind, ""), "(?:\\G(?!^)|(?<=C))L", "K"), "")
+    size = F.transform("pieces", lambda p: F.length(F.replace(p, F.lit(_E), F.lit(""))))
+    width = F.transform("parts", lambda x: F.coalesce(F.length(x["label"]) + F.length(x["tail"]), F.lit(0)))
+    texts = texts.select("paragraph", "parts", kept.alias("kept"), places.laid(F.col("plain"), size, width).alias("laid"))
+    each = F.transform("parts", lambda x, i: F.struct(F.get("kept", i).alias("kept"), F.get("laid", i)["start"].alias("start"), F.get("laid", i)["end"].alias("end"), x["label"], x["full"], x["tail"], x["left"], gap(i).alias("gap")))
+    rows = texts.select("paragraph", F.explode(F.filter(each, lambda x: x["kept"].isin("C", "F", "K"))).alias("x")).select("paragraph", "x.*")
     part = lambda i: F.regexp_extract("label", rf"(\d+) ({_PART}) (\d+)$", i)
     rows = keys.computed(rows, part(1).alias("v"), part(2).alias("p"), part(3).alias("n"), cited_numbers(F.col("tail")).alias("pinpoints"), cited_pages(F.col("tail")).alias("pages"), dates.parts(F.col("tail")).alias("at"))
     key = F.when(F.col("v") != "", keys.collection_key(F.col("v"), F.col("p"), F.col("n"))).otherwise(keys.docket_key(F.col("label")))
@@ -110,12 +117,7 @@ def find(paragraphs: DataFrame) -> DataFrame:
     comma = F.regexp_extract("left", rf"^, ?(\d{{1,4}})(?![\d/]|\.\d| *{_PART}\b)", 1)
     first, page = F.col("n").try_cast("int"), comma.try_cast("int")
     pages = F.when((F.size("pages") == 0) & (page > first) & (page <= first + references.PAGE_REACH), F.array(page)).otherwise(F.col("pages"))
-    end = F.col("start") + F.length("label") + F.length("tail")
-    out = rows.select("paragraph", F.array(F.col("start"), end).alias("ends"), F.concat("label", "tail").alias("written"), F.when(F.col("full"), F.col("label")).otherwise(F.concat(F.lit("BGE "), F.col("label"))).alias("label"), key.alias("key"), named.alias("courts"), "pinpoints", pages.alias("pages"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
-    # Texts may be derived from narrow files, whose size tells nothing of theirs: they are dealt out, never sent to all.
-    back = out.join(texts.select("paragraph", F.struct("plain.at", "plain.raw").alias("plain")).hint("merge"), "paragraph")
-    raw = back.withColumn("ends", places.raw_places(F.col("plain"), F.col("ends")))
-    return raw.select("paragraph", F.col("ends")[0].alias("start"), F.col("ends")[1].alias("end"), *out.columns[2:])
+    return rows.select("paragraph", "start", "end", F.concat("label", "tail").alias("written"), F.when(F.col("full"), F.col("label")).otherwise(F.concat(F.lit("BGE "), F.col("label"))).alias("label"), key.alias("key"), named.alias("courts"), "pinpoints", pages.alias("pages"), dates.iso(F.col("at")).alias("written_date"), dates.impossible(F.col("at")).alias("invalid_date"))
 
 
 # Forms of Ticino file numbers, and the words before one that make it a reference.

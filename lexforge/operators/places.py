@@ -94,7 +94,9 @@ def normalised_text(text: str) -> Step:
     """Composition, then single spaces, then slashes, with break points into the raw text."""
     step: Step = (text, [], [])
     for make in (composed, collapsed, unspaced):
-        step = then(step, make(step[0]))
+        made = make(step[0])
+        if made[1]:  # most texts need none of the steps, and few more than one
+            step = then(step, made) if step[1] else made
     return step
 
 
@@ -119,6 +121,22 @@ def raw_places(plain: Column, places: Column) -> Column:
     return F.when(F.size(plain["at"]) == 0, places.cast("array<int>")).otherwise(found(plain["at"], plain["raw"], places.cast("array<int>")))
 
 
+def laid(plain: Column, sizes: Column, widths: Column) -> Column:
+    """Raw struct(start, end) of each of a text's pieces: *sizes* are those of the pieces that ``plain``'s text consists of, in order, *widths* what counts of them."""
+
+    @F.pandas_udf("struct<start:array<int>,end:array<int>>")
+    def found(at: pd.Series, raw: pd.Series, sizes: pd.Series, widths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, r, s, w in zip(at, raw, sizes, widths, strict=True):
+            start = np.cumsum(s) - s
+            ends = (start, start + w)
+            rows.append([(place(a, r, x) if len(a) else x).astype(np.int32) for x in ends])
+        return pd.DataFrame(rows, columns=["start", "end"])
+
+    at = found(plain["at"], plain["raw"], sizes.cast("array<int>"), widths.cast("array<int>"))
+    return F.arrays_zip(at["start"].alias("start"), at["end"].alias("end"))
+
+
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """id, start, end, letters of spans (id, start, end) of the raw texts (id, text), each text read once."""
     ship(docs.sparkSession)
