@@ -34,10 +34,15 @@ def earliest_first(spans: DataFrame, by: str = "id") -> DataFrame:
     return spans.join(kept.select(by, F.col("s.start").alias("start"), (-F.col("s.back")).alias("end")), [by, "start", "end"])
 
 
-def widest_first(spans: DataFrame, by: str = "id", tie: str = "row") -> DataFrame:
+#: Spans of a text up to which they are compared with those kept in the text's own row.
+SMALL = 64
+
+
+def widest_first(spans: DataFrame, by: str = "id", tie: str = "row", small: int = SMALL) -> DataFrame:
     """Spans without overlap, the widest first, ties to the lower *tie* (then the earlier start); empty spans are left out.
 
-    Widths are taken by octaves, the widest first: what overlaps a kept span of a wider octave goes by places in order.
+    Texts of at most *small* spans, repeated ones included, are chosen from span by span, each in its own row. Of longer
+    ones widths are taken by octaves, the widest first: what overlaps a kept span of a wider octave goes by places in order.
     Within an octave the choice is made by local maxima: a span that beats all those it overlaps is kept, those that
     overlap a kept one go, and the rest is judged again. Spans meet in the cells of a grid as wide as the octave, so a
     span meets those around its place and never the whole text, however wide another span is.
@@ -45,7 +50,16 @@ def widest_first(spans: DataFrame, by: str = "id", tie: str = "row") -> DataFram
     scratch, columns = Scratch(spans.sparkSession), spans.columns
     size = F.col("end") - F.col("start")
     rank = F.struct((-size).alias("size"), F.col(tie).alias("tie"), F.col("start").alias("start"), F.col("end").alias("end"))
-    every = scratch.cut(spans.where(size > 0).dropDuplicates([by, "start", "end", tie]).withColumn("__rank", rank).withColumn("__octave", F.floor(F.log2(size + 0.5))), "spans")
+    read = scratch.cut(spans.where((size > 0) & F.col(by).isNotNull()), "spans")
+    long = scratch.cut(read.groupBy(by).count().where(F.col("count") > small).select(by), "long")
+    listed = read.join(long, by, "left_anti").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.struct(*columns).alias("span")))).alias("all"))
+    listed = listed.select(F.transform("all", lambda x: x["span"]).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    over = lambda kept, s: F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+    short = listed.select(F.inline(F.aggregate("all", none, lambda kept, s: F.when(over(kept, s), kept).otherwise(F.array_append(kept, s)))))
+    if not long.limit(1).count():
+        return short
+    every = scratch.cut(read.join(long, by, "left_semi").dropDuplicates([by, "start", "end", tie]).withColumn("__rank", rank).withColumn("__octave", F.floor(F.log2(size + 0.5))), "every")
     kept = spans.limit(0)
     for octave in sorted((r[0] for r in every.select("__octave").distinct().collect()), reverse=True):  # 31 at most
         step = 2 << octave
@@ -58,7 +72,7 @@ def widest_first(spans: DataFrame, by: str = "id", tie: str = "row") -> DataFram
             won = judged.where(F.col("__best") == F.col("__rank"))
             kept = scratch.cut(kept.unionByName(won.select(*columns)), "kept")
             left = scratch.cut(free(judged.where(F.col("__best") != F.col("__rank")).drop("__best"), won.select(by, "start", "end"), by), "left")
-    return kept
+    return short.unionByName(kept)
 
 
 def still_reads(text: Column, start: Column, end: Column, written: Column) -> Column:

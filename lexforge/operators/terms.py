@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions import keys
 from lexforge.operators import places, spans
+from lexforge.session import Scratch
 
 # What stands between the words of a term.
 _BETWEEN = r"[\s  \-‐‑]"
@@ -50,27 +52,26 @@ def find_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     Occurrences may overlap; :func:`choose` picks among them.
     """
-    read = read_terms(terms)
+    # Written, so that its size is known and Spark may send it to the texts; texts are dealt out once, as they are.
+    read = Scratch(texts.sparkSession).cut(read_terms(terms), "terms")
     sizes = sorted(r["n"] for r in read.select("n").distinct().collect())  # a term's numbers of tokens: a few
-    docs = places.with_places(texts.select("id", "text"))
-    rows = _tokens(docs.select("id", F.col("plain.text").alias("plain")), "id")
-    order = Window.partitionBy("id").orderBy("pos")
-    at = rows
+    docs = places.with_places(texts.select("id", "text").repartition("id"))
     if not sizes:
         return docs.limit(0).select("id", F.lit(0).cast("long").alias("term_id"), F.lit(0).alias("start"), F.lit(0).alias("end"))
-    for n in sizes:
-        frame = order.rowsBetween(0, n - 1)
-        whole = F.array_join(F.collect_list("token").over(frame), "")
-        at = at.withColumn(f"run{n}", F.when(F.count("*").over(frame) == n, F.left(whole, F.length(whole) - 1))).withColumn(f"end{n}", F.last("end").over(frame))
-    starts = at.join(read.select("first").distinct(), "first", "left_semi")
-    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"run{n}").alias("run"), F.col(f"end{n}").alias("end")) for n in sizes]))
-    asked = starts.select("id", "start", runs.alias("r")).where("r.run IS NOT NULL").select("id", "start", "r.*")
-    met = asked.join(read.select("n", "run", "term_id"), ["n", "run"])
-    listed = met.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "term_id"))).alias("all"))
-    back = docs.select("id", F.struct("plain.at", "plain.raw").alias("plain")).join(listed, "id")
-    raw = lambda name: places.raw_places(F.col("plain"), F.transform("all", lambda x: x[name])).alias(name)
-    found = back.select("id", F.explode(F.arrays_zip(raw("start"), raw("end"), F.transform("all", lambda x: x["term_id"]).alias("term_id"))).alias("x"))
-    return found.select("id", "x.term_id", "x.start", "x.end")
+    rows = keys.computed(docs, F.regexp_extract_all("plain.text", F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    size = F.transform("tokens", F.length)
+    rows = rows.select("id", "tokens", places.laid(F.col("plain"), size, size).alias("laid"))
+    gap = lambda t: F.coalesce(t.rlike(f"^{_BETWEEN}"), F.lit(False))
+    low, place = F.lower, lambda i: F.get("laid", i)
+    mark = lambda t, i: F.when(gap(F.get("tokens", i + 1)) & (t != "."), "\x01").otherwise("\x02")
+    each = F.transform("tokens", lambda t, i: F.struct(gap(t).alias("gap"), low(t).alias("first"), F.concat(low(t), mark(t, i)).alias("token"), place(i)["start"].alias("start"), place(i)["end"].alias("end")))
+    rows = keys.computed(rows.select("id", F.filter(each, lambda x: ~x["gap"]).alias("words")), F.transform("words", lambda x, i: F.struct(x["first"], x["start"], F.slice("words", i + 1, F.lit(sizes[-1])).alias("next"))).alias("all"))
+    starts = rows.select("id", F.explode("all").alias("x")).select("id", "x.*").join(read.select("first").distinct(), "first", "left_semi")
+    whole = lambda n: F.array_join(F.transform(F.slice("next", 1, n), lambda x: x["token"]), "")
+    run = lambda n: F.struct(F.lit(n).alias("n"), F.left(whole(n), F.length(whole(n)) - 1).alias("run"), F.get("next", F.lit(n - 1))["end"].alias("end"))
+    runs = F.explode(F.filter(F.array(*map(run, sizes)), lambda r: r["n"] <= F.size("next")))
+    asked = starts.select("id", "start", runs.alias("r")).select("id", "start", "r.*")
+    return asked.join(read.select("n", "run", "term_id"), ["n", "run"]).select("id", "term_id", "start", "end")
 
 
 def choose(own: DataFrame, shown: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def user_terms(spark, sf):
 def user_terms_chosen(spark, sf):
     """A user's places against shown ones: half of them at the same place, others wider."""
     texts = _term_texts(spark, sf)
-    own = terms.find_terms(texts, _own_terms(spark))
+    own = Scratch(spark).cut(terms.find_terms(texts, _own_terms(spark)), "own")  # found once, read twice
     shown = own.where("term_id IN (0, 1, 4)").select("id", "start", (F.col("end") + F.when(F.col("id") % 2 == 0, 0).otherwise(3)).alias("end"), (F.col("term_id") + 100).alias("row"))
     return terms.choose(own, shown).select("id", "start", "end", "source", "row")
 
