@@ -182,3 +182,12 @@ def test_words_are_summed_up_in_the_tasks(spark):
     assert [(r.word, r.docs, r.low) for r in told.collect()] == [("kam", 50, 100)]
     got = {r.word: tuple(r)[1:] for r in v.word_statistics(docs, spark.createDataFrame([("anna",)], "name string")).collect()}
     assert got["muster"] == (2, 2, 5, 1, 1, 2, 1) and got["kam"] == (3, 2, 0, 104, 0, 0, 0) and got["ab"] == (1, 1, 0, 1, 0, 0, 0) and "ab²cd" not in got
+
+
+def test_pairs_of_joined_applications_are_dealt_to_many_tasks(spark):
+    numbers = spark.range(0, 20_000, numPartitions=1)
+    listed = numbers.select(F.concat((F.col("id") % 100).cast("string"), F.lit("/20_"), F.col("id").cast("string"), F.lit("/20")).alias("key"))
+    references = numbers.select(F.col("id").alias("ref_id"), F.concat((F.col("id") % 200).cast("string"), F.lit("/20")).alias("key"))
+    found = citelist.joined_applications(references, listed)
+    in_tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(in_tasks) == 10_000 * 200 and max(in_tasks) < sum(in_tasks) / 4 and len(in_tasks) > 16
