@@ -191,3 +191,18 @@ def test_pairs_of_joined_applications_are_dealt_to_many_tasks(spark):
     found = citelist.joined_applications(references, listed)
     in_tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(in_tasks) == 10_000 * 200 and max(in_tasks) < sum(in_tasks) / 4 and len(in_tasks) > 16
+
+
+def test_pairs_of_a_lookup_are_dealt_to_many_tasks_in_lists_of_bounded_length(spark):
+    numbers = spark.range(0, 6_000, numPartitions=1)
+    key = lambda n: F.concat(F.lit("1A_"), (F.col("id") % n).cast("string"), F.lit("/1995"))
+    references = numbers.select(F.when(F.col("id") > 5, F.col("id")).alias("ref_id"), F.when(F.col("id") % 7 > 0, key(60)).alias("key"), F.lit("x").alias("more"))
+    hot = spark.range(3 * citelist.GATHERED).select("id", F.lit("hot").alias("key"), F.lit(None).cast("string").alias("more"))
+    references = references.unionByName(hot.withColumnRenamed("id", "ref_id"))
+    rows = numbers.select(key(30).alias("key"), F.col("id").alias("line")).unionByName(spark.createDataFrame([("hot", -1), (None, -2)], "key string, line long"))
+    lists = citelist.gathered(references, ["key"], "key").select("key", F.size("refs").alias("n")).collect()
+    assert max(r.n for r in lists) <= citelist.GATHERED and sum(r.n for r in lists) == references.where("key IS NOT NULL").count()
+    found, want = citelist.lookup(references, rows), references.join(rows, "key")
+    assert found.schema.simpleString() == want.schema.simpleString() and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+    in_tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(in_tasks) > 12 and max(in_tasks) < sum(in_tasks) / 4
