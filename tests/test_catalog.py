@@ -4,6 +4,7 @@ import os
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.operators import identifiers
 from lexforge.plans import catalog
@@ -35,3 +36,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["pinpoint_check", "nearby_numbers", "absent_pins"])
+def test_answers_are_not_dealt_out_again_before_they_meet_their_references(spark, name):
+    """Lines meet lists of references by their key, and these lists are what is laid out, in many tasks."""
+    found = catalog.queries()[name](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(refs") < plan.index("Join") and "RepartitionByExpression" in plan
+    assert found.groupBy(F.spark_partition_id()).count().count() > 12

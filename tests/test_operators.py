@@ -206,3 +206,12 @@ def test_pairs_of_a_lookup_are_dealt_to_many_tasks_in_lists_of_bounded_length(sp
     assert found.schema.simpleString() == want.schema.simpleString() and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
     in_tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert len(in_tasks) > 12 and max(in_tasks) < sum(in_tasks) / 4
+
+
+def test_what_lines_cover_tells_the_same_states(spark):
+    enums = [[], ["1", "2.1", "3a", "3c/aa", "4.10b"], ["10.2.3", "7bb/cc/d"], ["3"]]
+    pins = [None, "", "1", "2", "2.1", "2.1a", "3", "3a", "3b", "3c", "3c/a", "3c/aa", "3c/aa/b", "4", "4.1", "4.10", "10", "10.2", "1a", "7", "7b", "7bb", "7bb/c", "7bb/cc", "77"]
+    both = spark.createDataFrame([(e, p) for e in enums for p in pins], "enums array<string>, pin string").withColumn("known", citelist.covered(F.col("enums")))
+    state = lambda *known: citelist.pinpoint_state(F.col("pin"), F.col("enums"), *known)
+    rows = both.select("enums", "pin", state().alias("plain"), state(F.col("known")).alias("told")).collect()
+    assert len(rows) == 100 and all(r.plain == r.told for r in rows) and len({r.plain for r in rows}) == 4
